@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import leaks, sentences
+from tidemark.llm import leaks, mixing, sentences
 from tidemark.sources.tables import table
 
 
@@ -13,6 +13,8 @@ def _docs(op, *others):
 QUERIES = {
     "p6_found": _docs(leaks.leaks, "eval_items"),
     "p6_leak_counts": _docs(leaks.leak_counts, "eval_items"),
+    "p7_mix_shares": _docs(mixing.mix_shares, "mix_targets"),
+    "p7_mix_blocks": _docs(mixing.mix_blocks, "mix_targets"),
     "p8_found": _docs(sentences.sentence_units),
 }
 ORACLES: dict[str, str] = {}
