@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import metrics, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**problems.QUERIES, **metrics.QUERIES}
+ORACLES = {**problems.ORACLES, **metrics.ORACLES}
 FLAGSHIP = "p5_periods"
