@@ -253,6 +253,15 @@ def latency_percentiles(log: DataFrame, qs: list[float] = QS) -> DataFrame:
     return quantiles(merge(daily_sketches(log), by), by, qs)
 
 
+def daily_and_overall(log: DataFrame, qs: list[float] = QS) -> DataFrame:
+    """``namespace, primary_class, day, q, n, value, rank_error``: the answers of every daily piece and, with day 'all', of the pieces
+    put together.  The pieces are made once; both answers read the same shuffle.  A null created_at is the day 'none'."""
+    by = ["namespace", "primary_class"]
+    daily = daily_sketches(log)
+    each = quantiles(daily, [*by, "day"], qs).withColumn("day", F.coalesce(F.col("day").cast("string"), F.lit("none")))
+    return each.unionByName(quantiles(merge(daily, by), by, qs).withColumn("day", F.lit("all")))
+
+
 def bound_check(log: DataFrame, qs: list[float] = QS) -> DataFrame:
     """Per group and q, whether the exact rank of the answer lies within the stated bound of q n."""
     by = ["namespace", "primary_class"]

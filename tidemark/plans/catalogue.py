@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import metrics, problems
+from tidemark.plans import memory, metrics, problems
 
-QUERIES = {**problems.QUERIES, **metrics.QUERIES}
-ORACLES = {**problems.ORACLES, **metrics.ORACLES}
+QUERIES = {**problems.QUERIES, **metrics.QUERIES, **memory.QUERIES}
+ORACLES = {**problems.ORACLES, **metrics.ORACLES, **memory.ORACLES}
 FLAGSHIP = "p5_periods"

@@ -36,6 +36,7 @@ QUERIES = {
     "p3_found": _of("loom_new_episodes", deliveries.found),
     "p3_kept_per_batch": _of("loom_new_episodes", deliveries.kept_per_batch),
     "p3_new_batches": new_batches,
+    "p4_daily_and_overall": _of("loom_audit_log", percentiles.daily_and_overall),
     "p4_latency_percentiles": _of("loom_audit_log", percentiles.latency_percentiles),
     "p4_bound_check": _of("loom_audit_log", percentiles.bound_check),
     "p5_found": _of("loom_facts", intervals.found),
