@@ -38,3 +38,12 @@ def latest(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFra
     """The first ``n`` rows per group; only n rows per group and task are shuffled."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread over all cores where a small input comes in fewer splits than half of them; otherwise the input as it is, unshuffled.
+
+    For work that is heavy per row.  At scale a table has far more splits than cores and nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
