@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
 
+from tidemark.operators.common import spread
+
 # Words and marks of the ten languages.
 ROLES = "user assistant system agent me you reviewer human bot ai tool operator".split()
 TITLES = "dr mr mrs ms prof st fr hr sr sra srta dra mme mlle д-р г-н г-жа د डॉ श्री".split()
@@ -57,9 +59,14 @@ RUN = re.compile(r"[.!?…。！？।॥؟۔．｡]+|(?<=[\u0900-\u097f])\|")
 WORD_BEFORE = re.compile(r"[^\s\"«»„“”「」『』()（）\[\],;:]+$")
 NEXT = re.compile(r"\S+")
 CJK = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+QUOTES = re.compile(r"[\"«»„“”「」『』()（）\[\]【】《》]")
+ONE_LETTER = re.compile(r"(?:^|[\s(])(\p{L})\.\s+$")
+MEASURE = re.compile(r"\d\s+\S{1,2}$")
+ORDINAL = re.compile(r"(?:^|[\s\"„«])([^\s\"„«]+)\s+\d{1,2}$")
 GLUED = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}!?…。！？．｡।]+|(?<=\w\w)\.(?=\p{Lu})")
 FILELIKE = re.compile(r"^[\w\-]+(?:[/._][\w\-]+)+[.,;:!?…]*$")
 
+NO = -12.0  # what never ends a unit
 WINDOW = 24
 TOO_LONG = 600
 
@@ -124,7 +131,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
 def pairs(text: str) -> dict[int, int]:
     """Matched quotation marks and brackets of a block, opening place to closing place; an opener without its closer is none."""
     found, stack = {}, []
-    for i, c in enumerate(text):
+    for m in QUOTES.finditer(text):
+        i, c = m.start(), m[0]
         if c == '"':
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
             before, after = text[i - 1 : i], text[i + 1 : i + 2]
@@ -135,8 +143,10 @@ def pairs(text: str) -> dict[int, int]:
             elif k is None and (opens or not before.isalnum()):
                 stack.append((c, i))
             continue
-        k = next((k for k in range(len(stack) - 1, -1, -1) if OPEN_QUOTES.get(stack[k][0]) == c), None)
-        if k is not None:
+        k = len(stack) - 1
+        while k >= 0 and OPEN_QUOTES.get(stack[k][0]) != c:
+            k -= 1
+        if k >= 0:
             found[stack[k][1]] = i
             del stack[k:]
         elif c in OPEN_QUOTES:
@@ -150,7 +160,7 @@ def _abbreviation(before: str) -> str:
     if not m:
         return ""
     word = GLUED.split(m[0].rstrip("."))[-1].lower()
-    if len(word) <= 2 and (p := re.search(r"(?:^|[\s(])(\p{L})\.\s+$", before[: m.start()])):
+    if len(word) <= 2 and (p := ONE_LETTER.search(before[: m.start()])):
         word = f"{p[1].lower()}.{word}"
     return word
 
@@ -177,11 +187,11 @@ def boundary(text: str, mark: str, at: int, end: int, quote: int | None, spaced:
     upper = first.isupper() or first.isdigit()
     lower = word[0].islower() and not FILELIKE.match(word)
     if word[0] in ",;:，；、—–":
-        return -12.0
+        return NO
     if quote is not None:  # the mark stands inside the quotation or bracket that closes here
         if CJK.match(first) and first in TAG_KANA:
-            return -12.0
-        return -12.0 if lower and _goes_on(bare, rest) else 2.0 if lower else 4.0
+            return NO
+        return NO if lower and _goes_on(bare, rest) else 2.0 if lower else 4.0
     if mark[0] == "…" or mark.endswith("…") or mark.endswith(".."):
         return 3.0 if upper or quoted else -6.0
     if mark != ".":
@@ -191,14 +201,14 @@ def boundary(text: str, mark: str, at: int, end: int, quote: int | None, spaced:
     tail = abbr.rsplit(".", 1)[-1]
     if not spaced:  # a full stop with a letter right after it
         known = len(tail) == 1 and tail.isalpha() and abbr not in MAYBE
-        return -12.0 if known or abbr in TITLES or abbr in NEVER else 3.0
-    measured = re.search(r"\d\s+\S{1,2}$", before) is not None and abbr not in MAYBE  # '7 ms.', '9 s.'
+        return NO if known or abbr in TITLES or abbr in NEVER else 3.0
+    measured = MEASURE.search(before) is not None and abbr not in MAYBE  # '7 ms.', '9 s.'
     if abbr in TITLES and not measured:
-        return -12.0
+        return NO
     if abbr in NEVER and not measured:
-        return -6.0 if abbr in ("s", "тыс") and (quoted or upper) else -12.0
+        return -6.0 if abbr in ("s", "тыс") and (quoted or upper) else NO
     if first.isdigit() and abbr in BEFORE_NUMBER:
-        return -12.0
+        return NO
     if abbr in MAYBE:
         if abbr in BEFORE_NUMBER:  # min, max, no: plain words unless a number follows
             return 4.0 if upper or quoted else 3.0 if bare in OPENERS and bare not in PREPOSITIONS else -6.0
@@ -207,11 +217,11 @@ def boundary(text: str, mark: str, at: int, end: int, quote: int | None, spaced:
             return -8.0 if _goes_on(bare, rest) or not (ends or bare in OPENERS) else 3.0
         return 4.0 if upper or quoted or FILELIKE.match(word) else -3.0
     if len(tail) == 1 and tail.isalpha() and not CJK.match(tail) and not measured:
-        return -12.0
+        return NO
     if tail.isdigit() and not first.isdigit():
-        lead = re.search(r"(?:^|[\s\"„«])([^\s\"„«]+)\s+\d{1,2}$", before)
+        lead = ORDINAL.search(before)
         if lead and lead[1].lower() in ORDINAL_LEAD:
-            return -12.0
+            return NO
     return 3.0 if lower else 5.0
 
 
@@ -229,6 +239,8 @@ def candidates(text: str) -> tuple[list[tuple[int, float, int | None]], dict[int
             reach = b
     for m in RUN.finditer(text):
         at, end, mark = m.start(), m.end(), m[0]
+        if mark == "." and ((c := text[end : end + 1]).isdigit() or c.islower()):
+            continue  # decimals, versions, file names
         while k < len(closed_by) and closed_by[k][1] < at:
             k += 1
         inside = closed_by[k] if k < len(closed_by) and closed_by[k][0] < at < closed_by[k][1] else None
@@ -314,7 +326,7 @@ def units(text: str) -> list[tuple[int, int]]:
             continue
         body = text[head:end]
         cands, match = candidates(body)
-        places = [c for c in cands if body[c[0] :].strip()]
+        places = [c for c in cands if c[1] > NO and NEXT.search(body, c[0])]
         if not places:
             put(start, end)
             continue
@@ -363,5 +375,5 @@ def sentence_units(documents: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    rows = documents.select("doc_id", "text").filter("text is not null and doc_id is not null")
+    rows = spread(documents.select("doc_id", "text").filter("text is not null and doc_id is not null"), "doc_id")
     return rows.mapInArrow(run, "doc_id bigint, start_char bigint, end_char bigint")
