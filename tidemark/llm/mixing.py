@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.common import spread
+
 from tidemark.llm.tokens import TOKENIZER, with_token_counts
 from tidemark.session import shared_dir
 
@@ -60,7 +62,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, n_tokens``, tokenized once and kept in the shared folder.  A null or blank source is null."""
     shared_dir(documents.sparkSession)
     rows = documents.filter("doc_id is not null").withColumn("source", F.nullif(_source("source"), F.lit("")))
-    return with_token_counts(rows, ["doc_id", "source"], tokenizer=tokenizer).checkpoint()
+    return with_token_counts(spread(rows.select("doc_id", "source", "text"), "doc_id"), ["doc_id", "source"], tokenizer=tokenizer).checkpoint()
 
 
 def packed(counts: DataFrame, n_docs: int, block: int = BLOCK) -> DataFrame:
