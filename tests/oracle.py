@@ -13,10 +13,13 @@ import pandas as pd
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+def connect(sf_dir: str, but: tuple[str, ...] = ()) -> duckdb.DuckDBPyConnection:
+    """The tables as views, without string columns that are named in ``but``."""
     con = duckdb.connect()
     for p in sorted(Path(sf_dir).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
+        source = f"read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')"
+        extra = [c[0] for c in con.execute(f"DESCRIBE SELECT * FROM {source}").fetchall() if c[0] in but]
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT *{' EXCLUDE (' + ', '.join(extra) + ')' if extra else ''} FROM {source}")
     return con
 
 

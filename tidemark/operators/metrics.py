@@ -79,8 +79,8 @@ def metric_totals(episodes: DataFrame) -> DataFrame:
 
 
 def custom_predicate_growth(facts: DataFrame, predicates: DataFrame) -> DataFrame:
-    """Per day and unregistered predicate, new facts."""
-    rows = once(live(facts).select("id", "predicate", "created_at")).filter("created_at is not null")
+    """Per day and unregistered predicate, new facts; null days and predicates are left out."""
+    rows = once(live(facts).select("id", "predicate", "created_at")).filter("created_at is not null and predicate is not null")
     return rows.join(predicates.select("predicate"), "predicate", "left_anti").groupBy(day("created_at").alias("day"), "predicate").agg(rows_as("facts"))
 
 
@@ -154,7 +154,7 @@ def extraction_metrics(facts: DataFrame, predicates: DataFrame) -> DataFrame:
 
 def candidate_occurrences(facts: DataFrame, predicates: DataFrame, examples: int = 3) -> DataFrame:
     """Unregistered predicates with their number and the least ids as examples (bounded per task before the shuffle)."""
-    rows = once(live(facts).select("id", "predicate")).join(predicates.select("predicate"), "predicate", "left_anti")
+    rows = once(live(facts).select("id", "predicate")).filter("predicate is not null").join(predicates.select("predicate"), "predicate", "left_anti")
     few = latest(rows, ["predicate"], [F.asc("id")], examples).groupBy("predicate").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("examples"))
     return rows.groupBy("predicate").agg(rows_as("occurrences")).join(few, "predicate")
 

@@ -98,10 +98,13 @@ def parse_classes(log: DataFrame) -> DataFrame:
 
 
 def salience(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """``entity_id, namespace, accesses, salience``: every fact about an entity is an access; 0.5 moves to 1 as 1 - 0.5 * 0.9**n."""
+    """``entity_id, namespace, accesses, salience``: every fact about an entity is an access; 0.5 moves to 1 as 1 - 0.5 * 0.9**n.
+
+    Entities without id are left out.
+    """
     f = facts_once(facts, "subject_id", "object_id")
     n = f.select(F.explode(F.array("subject_id", "object_id")).alias("entity_id")).groupBy("entity_id").agg(rows_as("accesses"))
-    ids = once(live(entities).select("id", "namespace")).select(F.lower("id").alias("entity_id"), "namespace")
+    ids = once(live(entities).select("id", "namespace").filter("id is not null")).select(F.lower("id").alias("entity_id"), "namespace")
     rows = ids.join(n, "entity_id", "left").fillna(0, ["accesses"])
     return rows.withColumn("salience", F.round(1 - 0.5 * F.pow(F.lit(0.9), F.col("accesses")), 6))
 
@@ -181,6 +184,6 @@ def entity_match(items_: DataFrame) -> DataFrame:
 
 def running_share(log: DataFrame) -> DataFrame:
     """Per day the compilations so far: one row a day enters the window."""
-    rows = once(log.select("id", "created_at")).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(rows_as("n"))
+    rows = once(log.select("id", "created_at")).filter("created_at is not null").groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(rows_as("n"))
     w = Window.orderBy("day")
     return rows.withColumn("so_far", F.sum("n").over(w))  # one row per day, a calendar

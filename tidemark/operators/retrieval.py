@@ -97,7 +97,7 @@ def episode_recall(documents: DataFrame, embeddings: DataFrame, k: int = 10) ->
     """The top k by cosine among texts that have a vector, then scored 0.7 similarity + 0.3 recency, at most 1."""
     have = embeddings.join(documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     top = nearest(have, embeddings.filter("vec_id % 50 = 0"), k)
-    rows = top.join(documents.select(F.col("doc_id").alias("vec_id"), "created_at"), "vec_id")
+    rows = top.join(documents.groupBy(F.col("doc_id").alias("vec_id")).agg(F.min("created_at").alias("created_at")), "vec_id")
     return rows.select("query_id", F.col("vec_id").alias("doc_id"), "rank", F.round(F.least(F.lit(1.0), 0.7 * F.col("similarity") + 0.3 * F.coalesce(recency(F.col("created_at")), F.lit(0.0))), 5).alias("score"))
 
 

@@ -1,4 +1,4 @@
-"""Event-time windows over an event table."""
+"""Event-time windows over an event table.  Events without a time belong to no window."""
 
 from __future__ import annotations
 

@@ -67,7 +67,7 @@ ORACLES = {
         , r AS (SELECT id, unnest(source_episodes) AS e FROM f), b AS (SELECT r.id, min(m) AS m FROM r JOIN p ON p.e = lower(r.e) GROUP BY 1)
         SELECT f.id, CASE m WHEN 1 THEN 'live_mcp_capture' WHEN 2 THEN 'user_authored_seed' WHEN 3 THEN 'vendor_import' END AS mode FROM f LEFT JOIN b USING (id)""",
     "semi_join_in": FN_ + "SELECT lower(id) AS id FROM f WHERE lower(id) IN (SELECT superseded_by FROM f WHERE superseded_by IS NOT NULL)",
-    "anti_join_not_in": E_ + ", c AS (SELECT DISTINCT lower(x) AS id FROM (SELECT unnest(source_episodes) AS x FROM loom_facts WHERE deleted_at IS NULL) WHERE x IS NOT NULL) SELECT lower(e.id) AS id, namespace FROM e WHERE lower(e.id) NOT IN (SELECT id FROM c)",
+    "anti_join_not_in": E_ + ", c AS (SELECT DISTINCT lower(x) AS id FROM (SELECT unnest(source_episodes) AS x FROM loom_facts WHERE deleted_at IS NULL) WHERE x IS NOT NULL) SELECT lower(e.id) AS id, namespace FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = lower(e.id))",
     "seed_exists": """WITH d AS (SELECT *, coalesce(regexp_replace(lower(content_hash), '^sha256:', ''), sha256(content)) AS h FROM loom_new_episodes), e AS (SELECT *, regexp_replace(lower(content_hash), '^sha256:', '') AS h FROM loom_episodes)
         SELECT delivery_id, 'content_hash' AS matched FROM d WHERE EXISTS (SELECT 1 FROM e WHERE e.namespace = d.namespace AND e.h = d.h)
         UNION ALL SELECT delivery_id, 'source_event_id' FROM d WHERE EXISTS (SELECT 1 FROM e WHERE e.namespace = d.namespace AND e.source = d.source AND e.source_event_id = d.source_event_id)""",
@@ -85,7 +85,7 @@ ORACLES = {
         UNION ALL SELECT id, 'parser_without_vendor' FROM e WHERE ingestion_mode <> 'vendor_import' AND (parser_version IS NOT NULL OR parser_source_schema IS NOT NULL)
         UNION ALL SELECT id, 'ingested_before_it_happened' FROM e WHERE ingested_at < occurred_at""",
     "alias_set_merge": "WITH " + N_ + """, x AS (SELECT lower(name) AS key, entity_type, namespace, unnest(list_concat([name], coalesce(json_extract_string(properties, '$.aliases[*]'), []))) AS a FROM n)
-        SELECT key, entity_type, namespace, array_to_string(list_sort(list(DISTINCT a)), '|') AS aliases FROM x GROUP BY 1, 2, 3""",
+        SELECT key, entity_type, namespace, coalesce(array_to_string(list_sort(list(DISTINCT a) FILTER (WHERE a IS NOT NULL)), '|'), '') AS aliases FROM x GROUP BY 1, 2, 3""",
     "resolve_entity": "WITH " + N_ + ", " + _ALIAS + """
         , nm AS (SELECT lower(name) AS k, entity_type, namespace, min(lower(id)) AS exact_id FROM n GROUP BY 1, 2, 3)
         , fm AS (SELECT alias, entity_type, namespace, min(entity_id) AS alias_id FROM al GROUP BY 1, 2, 3 HAVING count(DISTINCT entity_id) = 1)

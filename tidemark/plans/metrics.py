@@ -73,7 +73,7 @@ ORACLES = {
         sum((extraction_metrics->>'$.facts_extracted')::BIGINT)::BIGINT AS facts, round(avg((extraction_metrics->>'$.processing_time_ms')::BIGINT), 4) AS avg_ms
         FROM e WHERE extraction_metrics IS NOT NULL GROUP BY 1""",
     "resolution_method_counts": E_ + ", x AS (" + " UNION ALL ".join(f"SELECT namespace, '{c}' AS field, (extraction_metrics->>'$.{c}')::BIGINT AS v FROM e WHERE extraction_metrics IS NOT NULL" for c in ("extracted", "facts_extracted", "processing_time_ms")) + ") SELECT namespace, field, sum(v)::BIGINT AS total FROM x GROUP BY 1, 2",
-    "custom_predicate_growth": "WITH " + F_ + "SELECT strftime(created_at, '%Y-%m-%d') AS day, predicate, count(*) AS facts FROM f WHERE created_at IS NOT NULL AND predicate NOT IN (SELECT predicate FROM loom_predicates) GROUP BY 1, 2",
+    "custom_predicate_growth": "WITH " + F_ + "SELECT strftime(created_at, '%Y-%m-%d') AS day, predicate, count(*) AS facts FROM f WHERE created_at IS NOT NULL AND predicate IS NOT NULL AND NOT EXISTS (SELECT 1 FROM loom_predicates p WHERE p.predicate = f.predicate) GROUP BY 1, 2",
     "confidence_buckets": A_ + """SELECT primary_class, CASE WHEN primary_confidence < 0.2 THEN '0.0-0.2' WHEN primary_confidence < 0.4 THEN '0.2-0.4' WHEN primary_confidence < 0.6 THEN '0.4-0.6'
         WHEN primary_confidence < 0.8 THEN '0.6-0.8' ELSE '0.8-1.0' END AS bucket, count(*) AS n FROM a GROUP BY 1, 2""",
     "class_distribution": A_ + "SELECT namespace, primary_class, count(*) AS n FROM a GROUP BY 1, 2",
@@ -90,9 +90,9 @@ ORACLES = {
         FROM f WHERE superseded_by IS NULL GROUP BY 1, 2 HAVING count(*) >= 10""",
     "extraction_metrics": "WITH " + F_ + """, x AS (SELECT DISTINCT id, predicate, evidence_strength, lower(unnest(source_episodes)) AS episode_id FROM f)
         SELECT episode_id, count(*) AS facts, count(*) FILTER (WHERE evidence_strength = 'explicit') AS explicit, count(*) FILTER (WHERE evidence_strength = 'implied') AS implied,
-          count(*) FILTER (WHERE predicate IN (SELECT predicate FROM loom_predicates)) AS canonical, count(*) FILTER (WHERE predicate NOT IN (SELECT predicate FROM loom_predicates)) AS custom
+          count(*) FILTER (WHERE coalesce(predicate IN (SELECT predicate FROM loom_predicates WHERE predicate IS NOT NULL), false)) AS canonical, count(*) FILTER (WHERE NOT coalesce(predicate IN (SELECT predicate FROM loom_predicates WHERE predicate IS NOT NULL), false)) AS custom
         FROM x WHERE episode_id IS NOT NULL GROUP BY 1""",
-    "candidate_occurrences": "WITH " + F_ + "SELECT predicate, count(*) AS occurrences, array_to_string(list_sort(list(id))[1:3], ',') AS examples FROM f WHERE predicate NOT IN (SELECT predicate FROM loom_predicates) GROUP BY 1",
+    "candidate_occurrences": "WITH " + F_ + "SELECT predicate, count(*) AS occurrences, array_to_string(list_sort(list(id))[1:3], ',') AS examples FROM f WHERE predicate IS NOT NULL AND NOT EXISTS (SELECT 1 FROM loom_predicates p WHERE p.predicate = f.predicate) GROUP BY 1",
     "predicate_usage": "WITH " + F_ + "SELECT p.predicate, category, pack, count(f.id) AS uses FROM loom_predicates p LEFT JOIN f USING (predicate) GROUP BY 1, 2, 3",
     "packs_with_counts": "WITH " + F_ + "SELECT pack, count(DISTINCT p.predicate) AS predicates, count(f.id) AS uses FROM loom_predicates p LEFT JOIN f USING (predicate) GROUP BY 1",
     "condition_summary": A_ + f"""SELECT output_format, coalesce(target_model, 'none') AS target_model, count(*) AS n, round({_PREC}, 6) AS precision, round(avg(compiled_tokens), 6) AS tokens,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.operators import ranking as k
 from tidemark.operators import retrieval as r
 from tidemark.operators import windows as w
+from tidemark.sources import exports as ex
 from tidemark.plans.memory import FN_, _MODES
 from tidemark.plans.metrics import A_, AU, E_, EN, EP, F_, FA, N_, of
 
@@ -32,6 +33,7 @@ QUERIES = {
     "latency_thresholds": of(k.latency_levels, AU),
     "entity_match_fraction": of(k.entity_match, IT),
     "running_compilations": of(k.running_share, AU),
+    "session_chunker": of(ex.text_chunks, DO),
     "event_tumbling": of(w.tumbling, EV),
     "event_sliding": of(w.sliding, EV),
     "event_sessions": of(w.sessions, EV),
@@ -55,14 +57,14 @@ _XML = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '
 _TOP = FN_ + ", " + N_ + """, t AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY valid_from DESC NULLS LAST, id) AS rank FROM f WHERE valid_until IS NULL)
     , x AS (SELECT subject_id, s.name AS subject, predicate, o.name AS object, rank, valid_from FROM t JOIN n s ON lower(s.id) = subject_id JOIN n o ON lower(o.id) = object_id WHERE rank <= 20)"""
 _SAL = FN_ + ", " + N_ + """, g AS (SELECT e, count(*) AS c FROM (SELECT subject_id AS e FROM f UNION ALL SELECT object_id FROM f) GROUP BY 1)
-    , sal AS (SELECT lower(n.id) AS entity_id, namespace, coalesce(c, 0) AS accesses, round(1 - 0.5::DOUBLE * pow(0.9::DOUBLE, coalesce(c, 0)), 6) AS salience FROM n LEFT JOIN g ON g.e = lower(n.id))"""
+    , sal AS (SELECT lower(n.id) AS entity_id, namespace, coalesce(c, 0) AS accesses, round(1 - 0.5::DOUBLE * pow(0.9::DOUBLE, coalesce(c, 0)), 6) AS salience FROM n LEFT JOIN g ON g.e = lower(n.id) WHERE n.id IS NOT NULL)"""
 ORACLES = {
     "knn_entities": _COS + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, similarity, rank::INT AS rank FROM k WHERE rank <= 10",
     "resolve_pass3_semantic": _COS + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s WHERE ql = vl), t AS (SELECT * FROM k WHERE rank <= 10)
         , b AS (SELECT t.*, coalesce((SELECT similarity FROM t u WHERE u.query_id = t.query_id AND u.rank = 2), 0) AS second, (SELECT count(*) FROM t u WHERE u.query_id = t.query_id AND u.similarity > t.similarity - 0.03) AS near FROM t WHERE rank = 1)
         , d AS (SELECT *, CASE WHEN similarity < 0.35 THEN 'new' WHEN round(similarity - second, 6) >= 0.03 THEN 'merge' ELSE 'conflict' END AS method FROM b)
         SELECT query_id, method, CASE WHEN method = 'merge' THEN vec_id END AS target, similarity, CASE WHEN method = 'conflict' THEN near ELSE 0 END AS candidates FROM d""",
-    "episode_recall": _COS + f""", k AS (SELECT s.*, d.created_at, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s JOIN documents d ON d.doc_id = s.vec_id)
+    "episode_recall": _COS + f""", k AS (SELECT s.*, d.created_at, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s JOIN (SELECT doc_id, min(created_at) AS created_at FROM documents GROUP BY 1) d ON d.doc_id = s.vec_id)
         SELECT query_id, vec_id AS doc_id, rank::INT AS rank, round(least(1.0, 0.7 * similarity + 0.3 * coalesce(exp(-greatest(floor((epoch_us({_AS_OF}) // 1000000 - epoch_us(created_at) // 1000000) / 3600.0::DOUBLE) / 24.0::DOUBLE, 0.0::DOUBLE) * ln(2.0::DOUBLE) / 30), 0)), 5) AS score FROM k WHERE rank <= 10""",
     "query_terms": "SELECT DISTINCT namespace, term FROM (SELECT namespace, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS term FROM loom_audit_log WHERE query_text IS NOT NULL) WHERE strlen(term) >= 3",
     "keyword_entity_match": "WITH " + N_ + """, t AS (SELECT DISTINCT namespace, term FROM (SELECT namespace, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS term FROM loom_audit_log WHERE query_text IS NOT NULL) WHERE strlen(term) >= 3)
@@ -93,10 +95,10 @@ ORACLES = {
         SELECT namespace, source, CASE WHEN s <= 86400 THEN 'fresh' WHEN s <= 604800 THEN 'aging' ELSE 'stale' END AS freshness, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' ELSE (s // 86400)::VARCHAR || 'd ago' END AS age FROM s""",
     "latency_thresholds": A_ + "SELECT namespace, CASE WHEN latency_total_ms >= 1000 THEN 'critical' WHEN latency_total_ms >= 500 THEN 'warn' ELSE 'ok' END AS level, count(*) AS n FROM a WHERE latency_total_ms >= 0 GROUP BY 1, 2",
     "entity_match_fraction": "SELECT item_id, (CASE WHEN len(coalesce(expected_entities, [])) > 0 THEN round(len(list_filter(expected_entities, lambda n: contains(lower(concat_ws(' ', query, passage)), lower(n)))) / len(expected_entities)::DOUBLE, 6) ELSE 0.0 END)::DOUBLE AS fraction FROM eval_items",
-    "running_compilations": A_ + ", d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM a GROUP BY 1) SELECT day, n, (sum(n) OVER (ORDER BY day))::BIGINT AS so_far FROM d",
-    "event_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "event_sliding": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (h) HOUR, '%Y-%m-%d %H:%M') AS start, count(*) AS events FROM events, range(0, 6) AS t(h) GROUP BY 1",
-    "event_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    "running_compilations": A_ + ", d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM a WHERE created_at IS NOT NULL GROUP BY 1) SELECT day, n, (sum(n) OVER (ORDER BY day))::BIGINT AS so_far FROM d",
+    "event_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
+    "event_sliding": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (h) HOUR, '%Y-%m-%d %H:%M') AS start, count(*) AS events FROM events, range(0, 6) AS t(h) WHERE ts IS NOT NULL GROUP BY 1",
+    "event_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM s GROUP BY user_id, k""",
     "ring_buffer": "WITH r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank, event_id, value FROM events) SELECT event_type, rank::INT AS rank, event_id, value FROM r WHERE rank <= 60",
 }
