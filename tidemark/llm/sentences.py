@@ -78,7 +78,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
         lines.append((at, line))
         at += len(line)
     start = head = None
-    number, after_break, i = None, True, 0
+    number, after_break, listed, i = None, True, False, 0
 
     def close(end: int):
         nonlocal start
@@ -99,7 +99,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
             continue
         if not line.strip():
             yield from close(at)
-            after_break, i = True, i + 1
+            after_break, listed, i = True, False, i + 1
             continue
         if HEADING.match(line):
             yield from close(at)
@@ -115,10 +115,11 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
         elif m := NUMBERED.match(line):
             n = int(m[1])
             ended = after_break or start is None or text[start:at].rstrip()[-1:] in MARKS + CLOSERS + ":："
-            if m[2] == ")" or after_break or (number is not None and n == number + 1) or (n == 1 and ended):
+            if m[2] == ")" or after_break or (number is not None and n == number + 1) or (n == 1 and (ended or listed)):
                 opens, number = m.end() - 1, n
         if opens is not None:
             yield from close(at)
+            listed = not LABEL.match(line)
         if start is None:
             start, head = at, at + (opens if opens is not None else HEAD.match(line).end() if line.lstrip().startswith(">") else len(line) - len(line.lstrip()))
             if opens is not None and (m := HEAD.match(line, opens)):
