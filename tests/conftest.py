@@ -19,6 +19,5 @@ def spark(tmp_path_factory):
     s = get_session(master="local[4]", shuffle_partitions=4)
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir("file://" + str(tmp_path_factory.mktemp("checkpoints")))
-    s.conf.set("spark.checkpoint.dir", "file:///unused") if s.conf.get("spark.checkpoint.dir", None) is None else None
     yield s
     s.stop()

@@ -73,6 +73,7 @@ def supersede(facts: DataFrame) -> DataFrame:
     step = Window.partitionBy(*key, "slot", "us").orderBy("id")
     rows = rows.withColumn("n", F.row_number().over(step)).withColumn("win", F.first(F.struct("object_id", "id", "us")).over(step))
     own = Window.partitionBy(*key, "slot").orderBy("us", "id")
+    back = Window.partitionBy(*key, "slot").orderBy(F.desc("us"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)  # growing frames are linear
     winner = F.when(F.col("n") == 1, F.col("object_id"))
     prev = F.last(winner, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("prev", prev)
@@ -82,7 +83,7 @@ def supersede(facts: DataFrame) -> DataFrame:
         ends = ends.select(*key, "slot", F.lag("end").over(w).alias("carried"))
         rows = rows.join(F.broadcast(ends), [*key, "slot"], "left").withColumn("prev", F.coalesce("prev", "carried")).drop("carried")  # at most SLOTS rows a hot key
     change = F.when((F.col("n") == 1) & (F.col("prev").isNull() | (F.col("prev") != F.col("object_id"))), F.struct("us", "id"))
-    rows = rows.withColumn("change", change).withColumn("next", F.first("change", ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("change", change).withColumn("next", F.last("change", ignorenulls=True).over(back))
     if hot:
         heads = rows.filter("slot > 0").groupBy(*key, "slot").agg(F.min("change").alias("head"))
         w = Window.partitionBy(*key).orderBy("slot").rowsBetween(1, Window.unboundedFollowing)

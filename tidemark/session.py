@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,12 +25,16 @@ def get_session(app: str = "tidemark", master: str | None = None, shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set to a fresh local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        spark.sparkContext.setCheckpointDir(found)
-        os.environ.setdefault("TIDEMARK_LOCAL_CHECKPOINTS", found)
-    return found
+    """Makes sure checkpoints have a folder that all executors share, and names it.
+
+    That is the one the cluster names in ``spark.checkpoint.dir``; a fresh local one is set only where none is, and never on a cluster.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+            found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(found)
+    return sc.getCheckpointDir()
