@@ -155,3 +155,42 @@ def neighborhood(facts: DataFrame, entities: DataFrame) -> DataFrame:
     t = t.withColumn("ones", F.sum(F.when(F.col("hop") == 1, F.col("paths")).otherwise(0)).over(w)).filter("hop = 1 or ones < 3")
     best = t.groupBy("seed", "entity_id").agg(F.min("hop").alias("hop"))
     return best.select("seed", "entity_id", "hop", F.when(F.col("hop") == 1, 0.9).otherwise(0.7).alias("score"))
+
+
+def fact_lookup(log: DataFrame, facts: DataFrame, entities: DataFrame, most: int = 20) -> DataFrame:
+    """``namespace, term, fact_id, score, rank``: per query term the best current facts about the entities it names.
+
+    The score is the fact's confidence (0.5 without) plus 0.05 for each end that the term names, at most 1; ties go to the lesser id.
+    A term names at most five entities, so the join multiplies no more than their facts.
+    """
+    hit = keyword_entities(log, entities).select("namespace", "term", F.col("entity_id").alias("e"))
+    f = facts_once(facts, "namespace", "subject_id", "object_id", "valid_until", "properties").filter("valid_until is null")
+    conf = F.coalesce(F.get_json_object("properties", "$.confidence").cast("double"), F.lit(0.5))
+    ends = f.select("namespace", F.col("id").alias("fact_id"), conf.alias("c"), F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("e")).filter("e is not null")
+    rows = hit.join(ends, ["namespace", "e"]).groupBy("namespace", "term", "fact_id").agg(F.max("c").alias("c"), F.count(F.lit(1)).alias("n"))
+    rows = rows.select("namespace", "term", "fact_id", F.round(F.least(F.lit(1.0), F.col("c") + F.least(F.lit(0.1), 0.05 * F.col("n"))), 6).alias("score"))
+    return latest(rows, ["namespace", "term"], [F.desc("score"), F.asc("fact_id")], most)
+
+
+# The retrieval profiles of a task class.
+PROFILES = {"debug": ["graph_neighborhood", "episode_recall"], "architecture": ["fact_lookup", "graph_neighborhood"], "compliance": ["episode_recall", "fact_lookup"], "writing": ["fact_lookup"], "chat": ["fact_lookup"]}
+
+
+def merge_profiles(log: DataFrame) -> DataFrame:
+    """Per pair of classes the profiles to run (the first's, then what the second adds, three at most) and how often just these ran."""
+    rows = once(log.select("id", "primary_class", "secondary_class", "profiles_executed"))
+    none = F.array().cast("array<string>")
+    of = lambda c: F.coalesce(F.create_map(*[x for k, v in PROFILES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.coalesce(c, F.lit(""))], none)
+    plan = F.slice(F.array_distinct(F.concat(of(F.col("primary_class")), of(F.col("secondary_class")))), 1, 3)
+    rows = rows.withColumn("planned", F.array_join(plan, ",")).withColumn("ran", F.array_join(F.coalesce("profiles_executed", none), ","))
+    return rows.groupBy("primary_class", F.coalesce("secondary_class", F.lit("none")).alias("secondary"), "planned").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("planned") == F.col("ran"), 1)).alias("as_planned"))
+
+
+def predicate_blocks(facts: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Per pack one text with a line per category: its predicates in order with the number of facts that use them."""
+    n = facts_once(facts, "predicate").groupBy("predicate").agg(F.count(F.lit(1)).alias("uses"))
+    rows = predicates.filter("predicate is not null").select("predicate", "category", "pack").join(n, "predicate", "left").fillna(0, ["uses"])
+    word = F.concat("predicate", F.lit(" ("), F.col("uses").cast("string"), F.lit(")"))
+    lines = rows.groupBy("pack", "category").agg(F.array_join(F.array_sort(F.collect_list(word)), ", ").alias("words"))
+    line = F.concat("category", F.lit(": "), "words")
+    return lines.groupBy("pack").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("block"))

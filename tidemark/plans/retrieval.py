@@ -7,7 +7,7 @@ from tidemark.operators import retrieval as r
 from tidemark.operators import windows as w
 from tidemark.sources import exports as ex
 from tidemark.plans.memory import FN_, _MODES
-from tidemark.plans.metrics import A_, AU, E_, EN, EP, F_, FA, N_, of
+from tidemark.plans.metrics import A_, AU, E_, EN, EP, F_, FA, N_, PR, of
 
 EM, EV, DO, IT = "embeddings", "events", "documents", "eval_items"
 
@@ -17,6 +17,9 @@ QUERIES = {
     "episode_recall": of(r.episode_recall, DO, EM),
     "query_terms": of(r.query_terms, AU),
     "keyword_entity_match": of(r.keyword_entities, AU, EN),
+    "fact_lookup": of(r.fact_lookup, AU, FA, EN),
+    "merge_profiles": of(r.merge_profiles, AU),
+    "predicate_prompt_block": of(r.predicate_blocks, FA, PR),
     "traverse": of(r.traverse, FA, EN),
     "graph_neighborhood": of(r.neighborhood, FA, EN),
     "score_dimensions": of(k.fact_scores, FA, EP),
@@ -58,7 +61,18 @@ _TOP = FN_ + ", " + N_ + """, t AS (SELECT *, row_number() OVER (PARTITION BY su
     , x AS (SELECT subject_id, s.name AS subject, predicate, o.name AS object, rank, valid_from FROM t JOIN n s ON lower(s.id) = subject_id JOIN n o ON lower(o.id) = object_id WHERE rank <= 20)"""
 _SAL = FN_ + ", " + N_ + """, g AS (SELECT e, count(*) AS c FROM (SELECT subject_id AS e FROM f UNION ALL SELECT object_id FROM f) GROUP BY 1)
     , sal AS (SELECT lower(n.id) AS entity_id, namespace, coalesce(c, 0) AS accesses, round(1 - 0.5::DOUBLE * pow(0.9::DOUBLE, coalesce(c, 0)), 6) AS salience FROM n LEFT JOIN g ON g.e = lower(n.id) WHERE n.id IS NOT NULL)"""
+_PROF = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k_}' THEN {v}" for k_, v in r.PROFILES.items()) + " ELSE [] END"
+_HIT = """t AS (SELECT DISTINCT namespace, term FROM (SELECT namespace, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS term FROM loom_audit_log WHERE query_text IS NOT NULL) WHERE strlen(term) >= 3)
+    , h AS (SELECT t.namespace, term, lower(id) AS e, row_number() OVER (PARTITION BY t.namespace, term ORDER BY name, lower(id)) AS rn FROM t JOIN n ON n.namespace = t.namespace AND contains(lower(name), term))"""
 ORACLES = {
+    "fact_lookup": FN_ + ", " + N_ + ", " + _HIT + """, ends AS (SELECT namespace, id, coalesce((properties->>'$.confidence')::DOUBLE, 0.5) AS c, unnest(list_distinct([subject_id, object_id])) AS e FROM f WHERE valid_until IS NULL)
+        , g AS (SELECT h.namespace, h.term, ends.id AS fact_id, max(c) AS c, count(*) AS cnt FROM h JOIN ends ON ends.namespace = h.namespace AND ends.e = h.e WHERE rn <= 5 GROUP BY 1, 2, 3)
+        , s AS (SELECT namespace, term, fact_id, round(least(1.0::DOUBLE, c + least(0.1::DOUBLE, 0.05::DOUBLE * cnt)), 6) AS score FROM g)
+        , q AS (SELECT *, row_number() OVER (PARTITION BY namespace, term ORDER BY score DESC, fact_id) AS rank FROM s) SELECT namespace, term, fact_id, score, rank::INT AS rank FROM q WHERE rank <= 20""",
+    "merge_profiles": A_ + f""", p AS (SELECT *, list_concat({_PROF("primary_class")}, list_filter({_PROF("secondary_class")}, lambda x: NOT list_contains({_PROF("primary_class")}, x)))[1:3] AS pl FROM a)
+        SELECT primary_class, coalesce(secondary_class, 'none') AS secondary, array_to_string(pl, ',') AS planned, count(*) AS n, count(*) FILTER (WHERE array_to_string(pl, ',') = array_to_string(coalesce(profiles_executed, []), ',')) AS as_planned FROM p GROUP BY 1, 2, 3""",
+    "predicate_prompt_block": "WITH " + F_ + """, u AS (SELECT predicate, count(*) AS uses FROM f GROUP BY 1), w AS (SELECT pack, category, p.predicate || ' (' || coalesce(uses, 0) || ')' AS word FROM loom_predicates p LEFT JOIN u USING (predicate) WHERE p.predicate IS NOT NULL)
+        , l AS (SELECT pack, category || ': ' || array_to_string(list_sort(list(word)), ', ') AS line FROM w GROUP BY pack, category) SELECT pack, array_to_string(list_sort(list(line)), chr(10)) AS block FROM l GROUP BY pack""",
     "knn_entities": _COS + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, similarity, rank::INT AS rank FROM k WHERE rank <= 10",
     "resolve_pass3_semantic": _COS + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s WHERE ql = vl), t AS (SELECT * FROM k WHERE rank <= 10)
         , b AS (SELECT t.*, coalesce((SELECT similarity FROM t u WHERE u.query_id = t.query_id AND u.rank = 2), 0) AS second, (SELECT count(*) FROM t u WHERE u.query_id = t.query_id AND u.similarity > t.similarity - 0.03) AS near FROM t WHERE rank = 1)
