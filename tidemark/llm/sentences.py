@@ -53,7 +53,6 @@ BULLET = re.compile(r"^[ \t]*(?:>[ \t]?)*[ \t]*[-*+•‣–][ \t]+\S")
 NUMBERED = re.compile(r"^[ \t]*(?:>[ \t]?)*[ \t]*(\d{1,3})([.)])[ \t]+\S")
 LABEL = re.compile(r"^[ \t]*(?:\[[^\]\n]{4,40}\][ \t]*)(?:[^\s:：][^:：\n]{0,30})[:：](?=\s|$)|^[ \t]*(?:" + "|".join(ROLES) + r")[ \t]*[:：](?=\s|$)", re.I)
 HEAD = re.compile(r"(?:\s|>|#{1,6}(?=\s)|[-*+•‣–](?=\s)|\d{1,3}[.)](?=\s))*")
-LETTER_TH = re.compile(r"[ก-ฺเ-๎]")
 THAI_SPACE = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
 RUN = re.compile(r"[.!?…。！？।॥؟۔．｡]+|(?<=[\u0900-\u097f])\|")
 WORD_BEFORE = re.compile(r"[^\s\"«»„“”「」『』()（）\[\],;:]+$")
