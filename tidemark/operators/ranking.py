@@ -72,7 +72,7 @@ def apply_weights(log: DataFrame) -> DataFrame:
 def greedy_pack(log: DataFrame, share: float = 0.25) -> DataFrame:
     """``id, kept, tokens, skipped``: candidates of each compilation in order of score (ties by position), kept while they fit ``share`` of
     its tokens; one that does not fit is skipped and later, smaller ones may still be kept.  A fold over one row's short list."""
-    cost = lambda k: F.when(k == "fact", 50).when(k == "graph", 30).when(k == "procedure", 40).otherwise(100)
+    cost = lambda k: F.coalesce(*[F.when(k == t, n) for t, n in ITEM_TOKENS.items()], F.lit(ITEM_TOKENS["episode"]))
     ranked = F.array_sort(F.transform("items", lambda x, i: F.struct((-x["score"]).alias("s"), i.alias("i"), x["type"].alias("t"))))
     start = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("tokens"), F.lit(0).alias("skipped"))
     step = lambda acc, x: F.when(acc["tokens"] + cost(x["t"]) <= F.col("budget"), F.struct((acc["kept"] + 1).alias("kept"), (acc["tokens"] + cost(x["t"])).alias("tokens"), acc["skipped"].alias("skipped"))).otherwise(F.struct(acc["kept"].alias("kept"), acc["tokens"].alias("tokens"), (acc["skipped"] + 1).alias("skipped")))
