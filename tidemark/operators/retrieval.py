@@ -111,8 +111,8 @@ def _grams(c: str):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.col(c), i, 3)))
 
 
-def keyword_entities(log: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
-    """For each term of a namespace's queries the first entities whose name contains it (by name, then id).
+def term_entities(log: DataFrame, entities: DataFrame) -> DataFrame:
+    """``namespace, term, name, entity_id``: for each term of a namespace's queries every entity whose name contains it.
 
     Terms meet names through their first three characters, an equi-join on (namespace, trigram), and are then checked as a whole;
     no term is held against every name.
@@ -120,7 +120,12 @@ def keyword_entities(log: DataFrame, entities: DataFrame, most: int = 5) -> Data
     terms = query_terms(log).withColumn("gram", F.substring("term", 1, 3))
     names = once(live(entities).select("id", "name", "namespace")).withColumn("low", F.lower("name"))
     hit = terms.join(names.withColumn("gram", F.explode(_grams("low"))), ["namespace", "gram"]).filter(F.contains("low", "term"))
-    return latest(hit.select("namespace", "term", "name", F.lower("id").alias("entity_id")), ["namespace", "term"], [F.asc("name"), F.asc("entity_id")], most)
+    return hit.select("namespace", "term", "name", F.lower("id").alias("entity_id"))
+
+
+def keyword_entities(log: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
+    """For each term of a namespace's queries the first entities whose name contains it (by name, then id)."""
+    return latest(term_entities(log, entities), ["namespace", "term"], [F.asc("name"), F.asc("entity_id")], most)
 
 
 def edges(facts: DataFrame) -> DataFrame:
@@ -161,9 +166,9 @@ def fact_lookup(log: DataFrame, facts: DataFrame, entities: DataFrame, most: int
     """``namespace, term, fact_id, score, rank``: per query term the best current facts about the entities it names.
 
     The score is the fact's confidence (0.5 without) plus 0.05 for each end that the term names, at most 1; ties go to the lesser id.
-    A term names at most five entities, so the join multiplies no more than their facts.
+    All entities a term names take part; the only cut is the one at rank ``most``.
     """
-    hit = keyword_entities(log, entities).select("namespace", "term", F.col("entity_id").alias("e"))
+    hit = term_entities(log, entities).select("namespace", "term", F.col("entity_id").alias("e"))
     f = facts_once(facts, "namespace", "subject_id", "object_id", "valid_until", "properties").filter("valid_until is null")
     conf = F.coalesce(F.get_json_object("properties", "$.confidence").cast("double"), F.lit(0.5))
     ends = f.select("namespace", F.col("id").alias("fact_id"), conf.alias("c"), F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("e")).filter("e is not null")
