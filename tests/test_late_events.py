@@ -98,3 +98,44 @@ def test_watermarks_with_idle_sources(spark):
     df = spark.createDataFrame([(s, "g", e, a) for s, e, a in rows], "source string, grp string, event_us bigint, arrival_us bigint")
     got = {r["period_us"]: r["closed_us"] for r in le.closings(df, bound_us=6 * HOUR, idle_us=12 * HOUR).collect()}
     assert got == brute_closings(rows, 6 * HOUR, 12 * HOUR)
+
+
+def exact_closings(rows, bound, idle):
+    """The same record by record: the mark after every single arrival, silences between any two."""
+    out = {}
+    for p in {e - e % DAY for _, e, _ in rows}:
+        end, per = p + DAY, []
+        for s in {s for s, _, _ in rows}:
+            mine = sorted((a, e) for x, e, a in rows if x == s)
+            times = [a for a, e in mine if min(e, a) - bound >= end][:1] if bound is not None else []
+            for (a, _), nxt in zip(mine, [a for a, _ in mine[1:]] + [2**62]):
+                if idle is not None and nxt - a > idle and nxt > end:
+                    times.append(max(a + idle, end))
+                    break
+            per.append(min(times) if times else None)
+        out[p] = None if None in per else max(per)
+    return out
+
+
+def test_watermarks_record_by_record(spark):
+    rnd = random.Random(7)
+    for bound, idle, step in ((6 * HOUR, 12 * HOUR, HOUR // 4), (0, None, HOUR // 9), (None, HOUR // 3, HOUR // 6), (2 * HOUR, HOUR // 2, HOUR // 3)):
+        rows = []
+        for s in "ab":
+            t = 0
+            while t < 4 * DAY:
+                t += rnd.randrange(1, 2 * step)
+                rows.append((s, max(0, t - rnd.choice([0, HOUR // 7, 10 * HOUR])), t))
+        df = spark.createDataFrame([(s, "g", e, a) for s, e, a in rows], "source string, grp string, event_us bigint, arrival_us bigint")
+        got = {r["period_us"]: r["closed_us"] for r in le.closings(df, bound_us=bound, idle_us=idle).collect()}
+        assert got == exact_closings(rows, bound, idle)
+
+
+def test_a_record_after_the_mark_is_a_correction(spark):
+    """The mark passes the end at 00:05; a record of the old period at 00:50 of the same hour is late."""
+    m = HOUR // 60
+    rows = [("s", 0, 0), ("s", DAY, DAY + 5 * m), ("s", HOUR, DAY + 50 * m)]
+    df = spark.createDataFrame([(s, "g", e, a) for s, e, a in rows], "source string, grp string, event_us bigint, arrival_us bigint")
+    closed = le.closings(df, bound_us=0)
+    assert {r["period_us"]: r["closed_us"] for r in closed.collect()}[0] == DAY + 5 * m
+    assert sorted((r["arrival_us"], r["state"]) for r in le.classify(df, closed).collect()) == [(0, "on_time"), (DAY + 5 * m, "on_time"), (DAY + 50 * m, "correction")]

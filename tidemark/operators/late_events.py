@@ -33,22 +33,25 @@ def arrivals(df: DataFrame, id_col: str, event: str, arrival: str, group: str, s
     )
 
 
-def source_progress(records: DataFrame, bound_us: int, bucket_us: int = HOUR) -> DataFrame:
-    """``source, at_us, mark_us, next_us``: the low watermark of each source after each bucket of arrivals.
+def mark_passes(records: DataFrame, bound_us: int, period_us: int = DAY) -> DataFrame:
+    """``source, k, t``: when the low watermark of a source was first shown to lie in the period beginning at k.
 
-    Pre-aggregated to one row per source and bucket before the window, so a source with a third of all rows costs no
-    more than any other.  Buckets end at ``at_us``; the time is that of the bucket's last arrival.
+    The mark reaches an end with the first arrival whose own event time, less the bound, does.  Ends are multiples of the period, so the
+    earliest arrival per source and period of the mark is exact, and a source with a third of all rows costs no more than any other.
     """
-    buckets = (
-        records.groupBy("source", floor_to(F.col("arrival_us"), bucket_us).alias("b"))
-        .agg(F.max("arrival_us").alias("at_us"), F.min("arrival_us").alias("first_us"), F.max(F.least("event_us", "arrival_us")).alias("seen_us"))
-    )
+    mark = F.least("event_us", "arrival_us") - F.lit(bound_us)
+    return records.groupBy("source", floor_to(mark, period_us).alias("k")).agg(F.min("arrival_us").alias("t"))
+
+
+def silences(records: DataFrame, idle_us: int, bucket_us: int = HOUR) -> DataFrame:
+    """``source, at_us, next_us``: consecutive arrivals of a source that are more than ``idle_us`` apart; next_us is FOREVER after the last.
+
+    Pre-aggregated to one row per source and bucket before the window; buckets are no longer than the timeout, so none hides a silence.
+    """
+    bucket = max(1, min(bucket_us, idle_us))
+    buckets = records.groupBy("source", floor_to(F.col("arrival_us"), bucket).alias("b")).agg(F.max("arrival_us").alias("at_us"), F.min("arrival_us").alias("first_us"))
     w = Window.partitionBy("source").orderBy("at_us")
-    return buckets.select(
-        "source", "at_us",
-        (F.max("seen_us").over(w) - F.lit(bound_us)).alias("mark_us"),
-        F.coalesce(F.lead("first_us").over(w), F.lit(FOREVER)).alias("next_us"),
-    )
+    return buckets.select("source", "at_us", F.coalesce(F.lead("first_us").over(w), F.lit(FOREVER)).alias("next_us")).filter(F.col("next_us") - F.col("at_us") > F.lit(idle_us))
 
 
 def closings(records: DataFrame, period_us: int = DAY, bound_us: int | None = None, punctuation_delay_us: int | None = None, idle_us: int | None = None, bucket_us: int = HOUR) -> DataFrame:
@@ -57,35 +60,24 @@ def closings(records: DataFrame, period_us: int = DAY, bound_us: int | None = No
     ``bound_us``: how far events may run behind the newest of their source (null: no watermark from records).
     ``punctuation_delay_us``: each source asserts at any time t that it is through with t less this delay (null: none).
     ``idle_us``: silence after which a source is passed over (null: never).  ``closed_us`` is null while a source holds the
-    period open.  The grid of sources and periods is small: both are dimensions, not rows.
+    period open.  Sources and periods are joined all to all: both are dimensions, not rows, and the periods are a calendar.
     """
     periods = records.select(floor_to(F.col("event_us"), period_us).alias("period_us")).distinct()
     end = F.col("period_us") + F.lit(period_us)
-    by_mark = F.lit(None).cast("bigint")
     by_word = F.lit(None).cast("bigint") if punctuation_delay_us is None else end + F.lit(punctuation_delay_us)
     if bound_us is None and idle_us is None:
         return periods.select("period_us", by_word.alias("closed_us"))  # every source punctuates alike
-    progress = source_progress(records, bound_us or 0, bucket_us)
-    sources = [r[0] for r in records.select("source").distinct().limit(10_001).collect()]
-    if len(sources) > 10_000:
-        raise ValueError("a source must be a feed, not a record: more than 10,000 distinct values")
-    grid = periods.withColumn("source", F.explode(F.array(*[F.lit(s) for s in sources]) if sources else F.array().cast("array<string>")))
-    # Both streams of a source are merged in the order of the watermark: a period takes the first mark at or after its end.
-    marks = progress.select("source", F.col("mark_us").alias("k"), F.lit(1).alias("kind"), F.col("at_us").alias("t"), F.lit(None).cast("bigint").alias("period_us"))
-    asks = grid.select("source", end.alias("k"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("t"), "period_us")
-    # Read backwards, so that the frame grows and the merge is linear.
-    w = Window.partitionBy("source").orderBy(F.desc("k"), F.desc("kind"), F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    passed = marks.unionByName(asks).withColumn("pass_us", F.last("t", ignorenulls=True).over(w)).filter("kind = 0").select("source", "period_us", "pass_us" if bound_us is not None else by_mark.alias("pass_us"))
+    none = F.lit(None).cast("bigint")
+    rows = records.select("source").distinct().crossJoin(F.broadcast(periods)).select("source", end.alias("k"), F.lit(1).alias("kind"), none.alias("pass_us"), none.alias("idle_us"), "period_us")
+    if bound_us is not None:
+        # A period takes the earliest of the arrivals that show a mark at or after its end.
+        rows = rows.unionByName(mark_passes(records, bound_us, period_us).select("source", "k", F.lit(0).alias("kind"), F.col("t").alias("pass_us"), none.alias("idle_us"), none.alias("period_us")))
     if idle_us is not None:
-        # A silence [at + idle, next) passes every end before its own end; a period takes the first such silence.
-        gaps = progress.filter(F.col("next_us") - F.col("at_us") > F.lit(idle_us)).select("source", F.col("next_us").alias("k"), F.lit(0).alias("kind"), (F.col("at_us") + F.lit(idle_us)).alias("t"), F.lit(None).cast("bigint").alias("period_us"))
-        asks = grid.select("source", end.alias("k"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("t"), "period_us")
-        w = Window.partitionBy("source").orderBy(F.desc("k"), F.asc("kind"), F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        # a silence passes ends before its own end only, hence k - 1
-        idle = gaps.withColumn("k", F.col("k") - 1).unionByName(asks).withColumn("idle_us", F.last("t", ignorenulls=True).over(w)).filter("kind = 1").select("source", "period_us", F.greatest("idle_us", F.when(F.col("idle_us").isNotNull(), end)).alias("idle_us"))
-        passed = passed.join(idle, ["source", "period_us"], "left")
-    else:
-        passed = passed.withColumn("idle_us", by_mark)
+        # A silence [at + idle, next) passes every end before its own end, hence k = next - 1; a period takes the first such silence.
+        rows = rows.unionByName(silences(records, idle_us, bucket_us).select("source", (F.col("next_us") - 1).alias("k"), F.lit(0).alias("kind"), none.alias("pass_us"), (F.col("at_us") + F.lit(idle_us)).alias("idle_us"), none.alias("period_us")))
+    # All streams of a source are merged by time and read backwards, so that the frame grows and the merge is linear.
+    w = Window.partitionBy("source").orderBy(F.desc("k"), F.asc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = rows.withColumn("pass_us", F.min("pass_us").over(w)).withColumn("idle_us", F.min("idle_us").over(w)).filter("kind = 1").withColumn("idle_us", F.when(F.col("idle_us").isNotNull(), F.greatest("idle_us", end)))
     each = F.least("pass_us", "idle_us", by_word)
     return passed.groupBy("period_us").agg(F.when(F.count(each) == F.count(F.lit(1)), F.max(each)).alias("closed_us"))
 
