@@ -12,6 +12,7 @@ from tidemark.operators.skew import hot_keys
 AS_OF = "2025-07-01 00:00:00"
 MODES = ["live_mcp_capture", "user_authored_seed", "vendor_import"]  # fixed values, most authoritative first
 COEFFICIENTS = [1.0, 0.8, 0.6]  # fixed values of these modes
+ENTITY_TYPES = ["person", "organization", "project", "service", "technology", "pattern", "environment", "document", "metric", "decision"]
 SLOTS = 32
 
 
@@ -113,6 +114,30 @@ def entity_degree(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return ids.join(n, "e", "left").fillna(0).select(F.col("e").alias("entity_id"), "entity_type", "as_subject", "as_object", "current")
 
 
+def fact_ends(facts: DataFrame, historical: bool = False) -> DataFrame:
+    """``namespace, e, fact_id, subject_id, predicate, object_id, state``: each fact once per entity at its ends, found by two equi-joins, not an OR-join.
+
+    Current facts only, or with ``historical`` closed and deleted ones too; of an id written both live and deleted the live row counts.
+    """
+    cols = ["id", "namespace", "subject_id", "predicate", "object_id", "valid_until", "deleted_at"]
+    f = once(facts.select(*cols), "id", F.asc_nulls_first("deleted_at")) if historical else once(live(facts).select(*cols)).filter("valid_until is null")
+    state = F.when(F.col("deleted_at").isNotNull(), "deleted").when(F.col("valid_until").isNotNull(), "closed").otherwise("current")
+    rows = f.select("namespace", F.lower("id").alias("fact_id"), F.lower("subject_id").alias("subject_id"), "predicate", F.lower("object_id").alias("object_id"), state.alias("state"))
+    return rows.withColumn("e", F.explode(F.array_distinct(F.array("subject_id", "object_id")))).filter("e is not null")
+
+
+def entity_facts(facts: DataFrame, entities: DataFrame, historical: bool = False) -> DataFrame:
+    """The facts of its namespace about every live entity, a fact once per entity."""
+    ids = once(live(entities).select("id", "namespace")).select(F.lower("id").alias("e"), "namespace")
+    return ids.join(fact_ends(facts, historical), ["namespace", "e"]).select(F.col("e").alias("entity_id"), "namespace", "fact_id", "subject_id", "predicate", "object_id", "state")
+
+
+def recall(facts: DataFrame, entities: DataFrame, historical: bool = False) -> DataFrame:
+    """The facts about every name of a namespace: names compare without case and mean their least live id, as the reference takes one row."""
+    ids = once(live(entities).select("id", "name", "namespace")).groupBy("namespace", F.lower("name").alias("name")).agg(F.min(F.lower("id")).alias("e")).dropna()
+    return ids.join(fact_ends(facts, historical), ["namespace", "e"]).select("namespace", "name", F.col("e").alias("entity_id"), "fact_id", "subject_id", "predicate", "object_id", "state")
+
+
 def best_mode(facts: DataFrame, episodes: DataFrame) -> DataFrame:
     """Per fact the most authoritative ingestion mode among its live source episodes, null where none is known."""
     refs = facts_once(facts, "source_episodes").select("id", F.explode_outer(F.array_distinct(F.transform("source_episodes", F.lower))).alias("e"))
@@ -180,6 +205,11 @@ def invalid_episodes(episodes: DataFrame) -> DataFrame:
     return episodes_once(episodes, "content", "source", "namespace", "ingestion_mode", "parser_version", "parser_source_schema", "occurred_at").select("id", F.explode(F.array_compact(rules)).alias("rule"))
 
 
+def valid_types(entities: DataFrame) -> DataFrame:
+    """Live entities whose type, without case, is one of the ten; others and those without type are dropped."""
+    return once(live(entities).select("id", "name", "entity_type", "namespace")).filter(F.lower("entity_type").isin(ENTITY_TYPES)).select(F.lower("id").alias("entity_id"), "name", "entity_type", "namespace")
+
+
 def aliases(entities: DataFrame) -> DataFrame:
     """``entity_id, name, entity_type, namespace, alias``; broken or missing properties have no aliases."""
     rows = once(live(entities).select("id", "name", "entity_type", "namespace", "properties"))

@@ -22,6 +22,11 @@ QUERIES = {
     "supersede_facts": of(m.supersede, FA),
     "fact_subject_object_names": of(m.fact_names, FA, EN),
     "facts_by_entity": of(m.entity_degree, FA, EN),
+    "facts_by_entity_current": of(m.entity_facts, FA, EN),
+    "facts_by_entity_historical": of(m.entity_facts, FA, EN, historical=True),
+    "recall_current": of(m.recall, FA, EN),
+    "recall_historical": of(m.recall, FA, EN, historical=True),
+    "entity_type_validation": of(m.valid_types, EN),
     "best_mode_lateral": of(m.best_mode, FA, EP),
     "semi_join_in": of(m.superseding_facts, FA),
     "anti_join_not_in": of(m.uncited_episodes, EP, FA),
@@ -47,7 +52,16 @@ _MODES = "CASE ingestion_mode WHEN 'live_mcp_capture' THEN 1 WHEN 'user_authored
 _ALIAS = "al AS (SELECT lower(id) AS entity_id, name, entity_type, namespace, unnest(list_distinct(json_extract_string(properties, '$.aliases[*]'))) AS alias FROM n)"
 _REPEAT = """WITH e AS (SELECT DISTINCT ON (lower(id)) * FROM loom_episodes ORDER BY lower(id), ingested_at NULLS LAST),
     r AS (SELECT id, first_value(id) OVER (PARTITION BY {k} ORDER BY ingested_at NULLS LAST, id) AS first_id FROM e WHERE {nn}) SELECT id, first_id FROM r WHERE id <> first_id"""
+_HISTORY = "WITH f AS (SELECT DISTINCT ON (lower(id)) lower(id) AS fact_id, namespace, lower(subject_id) AS subject_id, predicate, lower(object_id) AS object_id, CASE WHEN deleted_at IS NOT NULL THEN 'deleted' WHEN valid_until IS NOT NULL THEN 'closed' ELSE 'current' END AS state FROM loom_facts ORDER BY lower(id), deleted_at NULLS FIRST), "
+_NAMES = ", k AS (SELECT namespace, lower(name) AS name, min(lower(id)) AS e FROM n WHERE name IS NOT NULL GROUP BY 1, 2)"
+_BY_ID = "SELECT lower(n.id) AS entity_id, f.namespace, fact_id, subject_id, predicate, object_id, state FROM n JOIN f ON f.namespace = n.namespace AND (f.subject_id = lower(n.id) OR f.object_id = lower(n.id))"
+_BY_NAME = "SELECT k.namespace, k.name, k.e AS entity_id, fact_id, subject_id, predicate, object_id, state FROM k JOIN f ON f.namespace = k.namespace AND (f.subject_id = k.e OR f.object_id = k.e)"
 ORACLES = {
+    "facts_by_entity_current": _HISTORY + N_ + _BY_ID + " WHERE state = 'current'",
+    "facts_by_entity_historical": _HISTORY + N_ + _BY_ID,
+    "recall_current": _HISTORY + N_ + _NAMES + _BY_NAME + " WHERE state = 'current'",
+    "recall_historical": _HISTORY + N_ + _NAMES + _BY_NAME,
+    "entity_type_validation": "WITH " + N_ + "SELECT lower(id) AS entity_id, name, entity_type, namespace FROM n WHERE lower(entity_type) IN ('person', 'organization', 'project', 'service', 'technology', 'pattern', 'environment', 'document', 'metric', 'decision')",
     "deleted_rows": " UNION ALL ".join(f"SELECT '{t}' AS source_table, id, namespace, strftime(deleted_at, '%Y-%m-%d') AS day FROM (SELECT DISTINCT ON (lower(id)) * FROM {t} WHERE deleted_at IS NOT NULL ORDER BY lower(id))" for t in (EN, FA, EP)),
     "current_facts": FN_ + "SELECT id, namespace, subject_id, predicate, object_id FROM f WHERE valid_until IS NULL",
     "validity_interval_as_of": FN_ + f"SELECT id, subject_id, predicate, object_id FROM f WHERE valid_from <= TIMESTAMP '{m.AS_OF}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{m.AS_OF}')",
