@@ -46,6 +46,16 @@ def test_tree_exports(spark, tmp_path):
     assert [r["content"] for r in got] == ["# T\n\n[1970-01-01T00:01:00] user:\nhi\n\n[1970-01-01T00:01:01] assistant:\nyo\n\nho"]
 
 
+def test_tree_exports_longer_than_ten_thousand(spark, tmp_path):
+    n = 10_020
+    long = {"title": "L", "current_node": f"k{n - 1}", "mapping": {f"k{i}": node(f"k{i - 1}" if i else None, "user", [str(i)]) for i in range(n)}}
+    none = {"title": "N", "current_node": None, "mapping": None}
+    (tmp_path / "e.json").write_text(json.dumps([long, none]))
+    got = {r["title"]: r for r in ex.tree_conversations(spark, str(tmp_path)).collect()}
+    assert got["L"]["state"] == "ok" and [m["content"]["parts"][0] for m in got["L"]["messages"]] == [str(i) for i in range(n)]
+    assert got["N"]["state"] == "ok" and got["N"]["messages"] == []
+
+
 def test_flat_and_audit_exports(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "c.json").write_text(json.dumps([{"uuid": "u", "name": "N", "chat_messages": [{"text": "a", "sender": "human", "created_at": "t"}, {"text": " "}]}, {"uuid": "v"}]))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 SKIPPED = ("file-history-snapshot", "queue-operation")  # fixed values: record types without content
 CHUNK_BYTES = 4096
-MOST_HOPS = 10_000
 
 NODE = "struct<parent: string, message: struct<author: struct<role: string>, content: struct<parts: array<string>>, create_time: double>>"
 TREE = f"title string, create_time double, current_node string, mapping map<string, {NODE}>"
@@ -97,7 +96,7 @@ def tree_conversations(spark: SparkSession, path: str) -> DataFrame:
     state is ok, missing (a node that is not there) or cycle; siblings off the way are left out.
     """
     df = spark.read.schema(TREE).option("multiLine", "true").json(path)
-    # one step per node at most: follow the parent while there is one
+    # one step per node at most, and one to see a circle: follow the parent while there is one
     start = F.struct(F.col("current_node").alias("at"), F.array().cast("array<string>").alias("way"), F.lit("ok").alias("state"))
 
     def step(acc: Column, _: Column) -> Column:
@@ -109,7 +108,7 @@ def tree_conversations(spark: SparkSession, path: str) -> DataFrame:
             .when(circle, F.struct(acc["at"].alias("at"), acc["way"].alias("way"), F.lit("cycle").alias("state")))
             .otherwise(F.struct(F.col("mapping")[acc["at"]]["parent"].alias("at"), F.concat(acc["way"], F.array(acc["at"])).alias("way"), F.lit("ok").alias("state"))))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.least(F.size("mapping") + 1, F.lit(MOST_HOPS))), start, step)
+    walked = F.aggregate(F.sequence(F.lit(0), F.coalesce(F.size("mapping"), F.lit(0)) + 1), start, step)
     df = df.withColumn("w", walked)
     message = lambda k: F.col("mapping")[k]["message"]
     return df.select("title", "create_time", F.col("w.state").alias("state"), F.filter(F.transform(F.reverse("w.way"), message), lambda m: m.isNotNull()).alias("messages"))
