@@ -133,15 +133,21 @@ def xml_escape(c: Column) -> Column:
     return c
 
 
+def newest_named(facts: DataFrame, entities: DataFrame, most: int) -> DataFrame:
+    """The newest current facts of each subject with the names of both ends; facts whose ends are missing or deleted take no rank."""
+    n = once(live(entities).select("id", "name")).select(F.lower("id").alias("e"), F.coalesce("name", F.lit("")).alias("name"))
+    f = facts_once(facts, "subject_id", "predicate", "object_id", "valid_until", "valid_from").filter("valid_until is null").drop("valid_until")
+    f = f.join(n.select(F.col("e").alias("subject_id")), "subject_id", "left_semi").join(n.select(F.col("e").alias("object_id")), "object_id", "left_semi")
+    top = latest(f, ["subject_id"], [F.desc_nulls_last("valid_from"), F.asc("id")], most)
+    return top.join(n.toDF("subject_id", "subject"), "subject_id").join(n.toDF("object_id", "object"), "object_id")
+
+
 def compile_structured(facts: DataFrame, entities: DataFrame, most: int = 20) -> DataFrame:
     """``entity_id, context, tokens``: for every entity with current facts, the newest of them as one element each, newest first.
 
-    Only ``most`` facts per entity are gathered; the rank is taken before they are."""
-    n = once(live(entities).select("id", "name")).select(F.lower("id").alias("e"), "name")
-    f = facts_once(facts, "subject_id", "predicate", "object_id", "valid_until", "valid_from").filter("valid_until is null").drop("valid_until")
-    top = latest(f, ["subject_id"], [F.desc_nulls_last("valid_from"), F.asc("id")], most)
-    rows = top.join(n.toDF("subject_id", "subject"), "subject_id").join(n.toDF("object_id", "object"), "object_id")
-    line = F.concat(F.lit('  <fact subject="'), xml_escape(F.col("subject")), F.lit('" predicate="'), xml_escape(F.col("predicate")), F.lit('" object="'), xml_escape(F.col("object")), F.lit('" since="'), F.date_format("valid_from", "yyyy-MM-dd"), F.lit('"/>'))
+    Only ``most`` facts per entity are gathered; the rank is taken before they are.  Null names, predicates and times are empty."""
+    rows = newest_named(facts, entities, most)
+    line = F.concat(F.lit('  <fact subject="'), xml_escape(F.col("subject")), F.lit('" predicate="'), xml_escape(F.coalesce("predicate", F.lit(""))), F.lit('" object="'), xml_escape(F.col("object")), F.lit('" since="'), F.coalesce(F.date_format("valid_from", "yyyy-MM-dd"), F.lit("")), F.lit('"/>'))
     body = rows.groupBy("subject_id", "subject").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
     context = F.concat(F.lit('<knowledge of="'), xml_escape(F.col("subject")), F.lit('">\n'), F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\n</knowledge>"))
     return body.select(F.col("subject_id").alias("entity_id"), context.alias("context")).withColumn("tokens", F.greatest(F.lit(1), F.floor(F.octet_length("context") / 4).cast("int")))
@@ -149,10 +155,7 @@ def compile_structured(facts: DataFrame, entities: DataFrame, most: int = 20) ->
 
 def compile_compact(facts: DataFrame, entities: DataFrame, most: int = 20) -> DataFrame:
     """The same as JSON lines {s, p, o}, one text per entity."""
-    n = once(live(entities).select("id", "name")).select(F.lower("id").alias("e"), "name")
-    f = facts_once(facts, "subject_id", "predicate", "object_id", "valid_until", "valid_from").filter("valid_until is null").drop("valid_until")
-    top = latest(f, ["subject_id"], [F.desc_nulls_last("valid_from"), F.asc("id")], most)
-    rows = top.join(n.toDF("subject_id", "subject"), "subject_id").join(n.toDF("object_id", "object"), "object_id")
+    rows = newest_named(facts, entities, most)
     one = F.to_json(F.struct(F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o")))
     out = rows.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("line")))).alias("x"))
     return out.select(F.col("subject_id").alias("entity_id"), F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["line"]), ","), F.lit("]")).alias("context"))
