@@ -21,3 +21,9 @@ def test_fact_lookup_asks_all_entities_a_term_names(spark):
     got = [(x["fact_id"], x["rank"]) for x in r.fact_lookup(log(spark, "node"), fa, en).orderBy("rank").collect()]
     assert got == [(f"f{i}", 7 - i) for i in range(6, -1, -1)]
     assert [x["name"][-1] for x in r.keyword_entities(log(spark, "node"), en).orderBy("rank").collect()] == list("abcde")
+
+
+def test_short_terms_of_three_bytes_meet_longer_names(spark):
+    en = entities(spark, "Отдел ИИ и данных", "数据库服务", "ИИ", "node", "库")
+    got = {(x["term"], x["entity_id"]) for x in r.keyword_entities(log(spark, "ИИ", "库", "数据", "服务 node"), en).collect()}
+    assert got == {("ии", "e0"), ("ии", "e2"), ("库", "e1"), ("库", "e4"), ("数据", "e1"), ("服务", "e1"), ("node", "e3")}

@@ -108,13 +108,16 @@ def query_terms(log: DataFrame) -> DataFrame:
 
 
 def _grams(c: str):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.col(c), i, 3)))
+    """Trigrams, and those of one and two characters that are as long as a term in bytes (none in ASCII)."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(F.col(c), i, n))
+    short = F.filter(F.concat(of(1), of(2)), lambda g: F.octet_length(g) >= 3)
+    return F.array_distinct(F.concat(of(3), short))
 
 
 def term_entities(log: DataFrame, entities: DataFrame) -> DataFrame:
     """``namespace, term, name, entity_id``: for each term of a namespace's queries every entity whose name contains it.
 
-    Terms meet names through their first three characters, an equi-join on (namespace, trigram), and are then checked as a whole;
+    Terms meet names through their first three characters, or all of a shorter term, an equi-join on (namespace, gram), and are then checked as a whole;
     no term is held against every name.
     """
     terms = query_terms(log).withColumn("gram", F.substring("term", 1, 3))
