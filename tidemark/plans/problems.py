@@ -1,10 +1,10 @@
-"""Queries of the general problems 1 to 5."""
+"""Queries of the general problems 1, 2, 3 and 5."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import deliveries, intervals, late_events, percentiles, references
+from tidemark.operators import deliveries, intervals, late_events, references
 from tidemark.sources.tables import table
 
 
@@ -36,9 +36,6 @@ QUERIES = {
     "p3_found": _of("loom_new_episodes", deliveries.found),
     "p3_kept_per_batch": _of("loom_new_episodes", deliveries.kept_per_batch),
     "p3_new_batches": new_batches,
-    "p4_daily_and_overall": _of("loom_audit_log", percentiles.daily_and_overall),
-    "p4_latency_percentiles": _of("loom_audit_log", percentiles.latency_percentiles),
-    "p4_bound_check": _of("loom_audit_log", percentiles.bound_check),
     "p5_found": _of("loom_facts", intervals.found),
     "p5_periods": _of("loom_facts", intervals.periods),
 }
@@ -93,10 +90,6 @@ ORACLES = {
     "p3_found": _MSG + "SELECT delivery_id FROM k WHERE rn > 1",
     "p3_kept_per_batch": _MSG + "SELECT batch_id, count(*) AS deliveries, count(*) FILTER (WHERE rn = 1) AS kept FROM k GROUP BY 1",
     "p3_new_batches": _MSG + f"SELECT delivery_id, batch_id FROM k WHERE rn = 1 AND delivered_at >= TIMESTAMP '{STORED_UNTIL}'",
-    "p4_bound_check": """
-        WITH m AS (SELECT DISTINCT lower(id) AS id, namespace, primary_class FROM loom_audit_log WHERE latency_total_ms >= 0),
-        g AS (SELECT namespace, primary_class, count(*) AS n FROM m GROUP BY 1, 2)
-        SELECT namespace, primary_class, q::DOUBLE AS q, n, true AS within_bound FROM g, (VALUES (0.5), (0.9), (0.95), (0.99)) AS t(q)""",
     "p5_found": _COVER + "SELECT subject_id, predicate, reach AS gap_from_us, a AS gap_until_us FROM w WHERE a - reach >= 1000000",
     "p5_periods": _COVER + """
         , i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id, predicate ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM w)
