@@ -56,33 +56,20 @@ def test_corrected_counts_add_up(spark):
     assert [(r["period"], r["diverted"]) for r in late] == [("1970-01-01", 1)]
 
 
-def brute_closings(rows, bound, idle, bucket=HOUR):
-    """Close each period when every source has passed its end by its watermark or has been silent for ``idle``."""
-    sources = sorted({s for s, _, _ in rows})
-    marks = {}
-    for s in sources:
-        buckets = {}
-        for _, e, a in [r for r in rows if r[0] == s]:
-            b = buckets.setdefault(a // bucket, [a, a, min(e, a)])
-            b[0], b[1], b[2] = min(b[0], a), max(b[1], a), max(b[2], min(e, a))
-        seen, line = -(2**62), []
-        for b in sorted(buckets.values(), key=lambda x: x[1]):
-            seen = max(seen, b[2])
-            line.append((b[0], b[1], seen - bound))
-        marks[s] = line
+def exact_closings(rows, bound, idle, said=()):
+    """Each period closes when every source has passed its end, record by record: the mark after every single arrival, punctuations, silences between any two."""
     out = {}
     for p in {e - e % DAY for _, e, _ in rows}:
         end, per = p + DAY, []
-        for s in sources:
-            line = marks[s]
-            t = [a for _, a, m in line if m >= end][:1]
-            silent = []
-            for i, (_, a, _) in enumerate(line):
-                nxt = line[i + 1][0] if i + 1 < len(line) else 2**62
-                if nxt - a > idle and nxt > end:
-                    silent.append(max(a + idle, end))
+        for s in {s for s, _, _ in rows}:
+            mine = sorted((a, e) for x, e, a in rows if x == s)
+            times = [a for a, e in mine if min(e, a) - bound >= end][:1] if bound is not None else []
+            times += [t for x, to, t in said if x == s and to >= end]
+            for (a, _), nxt in zip(mine, [a for a, _ in mine[1:]] + [2**62]):
+                if idle is not None and nxt - a > idle and nxt > end:
+                    times.append(max(a + idle, end))
                     break
-            per.append(min(t + silent) if t + silent else None)
+            per.append(min(times) if times else None)
         out[p] = None if None in per else max(per)
     return out
 
@@ -97,24 +84,29 @@ def test_watermarks_with_idle_sources(spark):
             rows.append((s, max(0, t - rnd.choice([0, HOUR, 10 * HOUR, 30 * HOUR])), t))
     df = spark.createDataFrame([(s, "g", e, a) for s, e, a in rows], "source string, grp string, event_us bigint, arrival_us bigint")
     got = {r["period_us"]: r["closed_us"] for r in le.closings(df, bound_us=6 * HOUR, idle_us=12 * HOUR).collect()}
-    assert got == brute_closings(rows, 6 * HOUR, 12 * HOUR)
-
-
-def exact_closings(rows, bound, idle):
-    """The same record by record: the mark after every single arrival, silences between any two."""
-    out = {}
-    for p in {e - e % DAY for _, e, _ in rows}:
-        end, per = p + DAY, []
-        for s in {s for s, _, _ in rows}:
-            mine = sorted((a, e) for x, e, a in rows if x == s)
-            times = [a for a, e in mine if min(e, a) - bound >= end][:1] if bound is not None else []
-            for (a, _), nxt in zip(mine, [a for a, _ in mine[1:]] + [2**62]):
-                if idle is not None and nxt - a > idle and nxt > end:
-                    times.append(max(a + idle, end))
-                    break
-            per.append(min(times) if times else None)
-        out[p] = None if None in per else max(per)
-    return out
+    assert got == exact_closings(rows, 6 * HOUR, 12 * HOUR)
+
+
+def test_punctuations_of_each_source(spark):
+    """Punctuations, watermarks and silences together and alone; one source never speaks, one has no records."""
+    rnd = random.Random(11)
+    for bound, idle in ((None, None), (HOUR, None), (None, 9 * HOUR), (3 * HOUR, 20 * HOUR)):
+        for quiet in (False, True):
+            rows = [(s, rnd.randrange(0, 5 * DAY), rnd.randrange(0, 6 * DAY)) for s in "abc" for _ in range(rnd.choice([3, 30]))]
+            said = [(s, rnd.randrange(0, 7 * DAY), rnd.randrange(0, 8 * DAY)) for s in ("ab" if quiet else "abc") for _ in range(12)] + [("z", 9 * DAY, 0)]
+            df = spark.createDataFrame([(s, "g", e, a) for s, e, a in rows], "source string, grp string, event_us bigint, arrival_us bigint")
+            words = spark.createDataFrame(said + [(None, 1, 1), ("a", None, 1)], "source string, asserted_us bigint, at_us bigint")
+            got = {r["period_us"]: r["closed_us"] for r in le.closings(df, bound_us=bound, idle_us=idle, punctuations=words).collect()}
+            assert got == exact_closings(rows, bound, idle, said)
+
+
+def test_a_late_punctuation_of_one_source_holds_all_open(spark):
+    df = spark.createDataFrame([("a", "g", 0, 0), ("b", "g", 0, 0), ("a", "g", HOUR, DAY + HOUR)], "source string, grp string, event_us bigint, arrival_us bigint")
+    words = spark.createDataFrame([("a", DAY, DAY), ("b", DAY, DAY + 2 * HOUR)], "source string, asserted_us bigint, at_us bigint")
+    assert [r["closed_us"] for r in le.closings(df, punctuations=words).collect()] == [DAY + 2 * HOUR]
+    assert le.classify(df, le.closings(df, punctuations=words)).filter("state <> 'on_time'").count() == 0
+    assert [r["closed_us"] for r in le.closings(df, punctuations=words.filter("source = 'a'")).collect()] == [None]
+    assert {r["closed_us"] for r in le.closings(df, punctuations=le.calendar_punctuations(df)).collect()} == {DAY}
 
 
 def test_watermarks_record_by_record(spark):

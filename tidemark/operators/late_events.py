@@ -54,32 +54,54 @@ def silences(records: DataFrame, idle_us: int, bucket_us: int = HOUR) -> DataFra
     return buckets.select("source", "at_us", F.coalesce(F.lead("first_us").over(w), F.lit(FOREVER)).alias("next_us")).filter(F.col("next_us") - F.col("at_us") > F.lit(idle_us))
 
 
-def closings(records: DataFrame, period_us: int = DAY, bound_us: int | None = None, punctuation_delay_us: int | None = None, idle_us: int | None = None, bucket_us: int = HOUR) -> DataFrame:
-    """``period_us, closed_us`` of every period in ``records``.
+def calendar_punctuations(records: DataFrame, period_us: int = DAY, delay_us: int = 0) -> DataFrame:
+    """``source, asserted_us, at_us``: every source asserts, ``delay_us`` after the end of each period of ``records``, that it is through with it.
+
+    One row per source and period, as a stream of punctuations carries them; the periods are a calendar, one array of days.
+    """
+    ends = records.select(F.collect_set(floor_to(F.col("event_us"), period_us) + F.lit(period_us))).scalar()
+    return records.select("source").distinct().select("source", F.explode(ends).alias("asserted_us")).withColumn("at_us", F.col("asserted_us") + F.lit(delay_us))
+
+
+def closings(records: DataFrame, period_us: int = DAY, bound_us: int | None = None, punctuations: DataFrame | None = None, idle_us: int | None = None, bucket_us: int = HOUR) -> DataFrame:
+    """``period_us, closed_us`` of every period in ``records``; null while a source holds it open.
 
     ``bound_us``: how far events may run behind the newest of their source (null: no watermark from records).
-    ``punctuation_delay_us``: each source asserts at any time t that it is through with t less this delay (null: none).
-    ``idle_us``: silence after which a source is passed over (null: never).  ``closed_us`` is null while a source holds the
-    period open.  Sources and periods are joined all to all: both are dimensions, not rows, and the periods are a calendar.
+    ``punctuations``: rows (source, asserted_us, at_us): at at_us the source says it is through with everything before asserted_us.
+    ``idle_us``: silence after which a source is passed over (null: never).
+
+    A source passes an end E at min(mark, max(silence, E)): the earliest time its mark or a punctuation reached E, or E itself once it is
+    silent.  Both times are constant between two marks of the source and never less for a later end, so the steps of all sources can be
+    pooled: the closing of E is the greatest over all steps that begin before E.  As min(a, max(b, E)) = max(min(a, b), min(a, E)), two
+    running maxima over the steps, one row per period, suffice; no source is held against every period.
     """
-    periods = records.select(floor_to(F.col("event_us"), period_us).alias("period_us")).distinct()
-    end = F.col("period_us") + F.lit(period_us)
-    by_word = F.lit(None).cast("bigint") if punctuation_delay_us is None else end + F.lit(punctuation_delay_us)
-    if bound_us is None and idle_us is None:
-        return periods.select("period_us", by_word.alias("closed_us"))  # every source punctuates alike
+    end, forever = F.col("period_us") + F.lit(period_us), F.lit(FOREVER)
     none = F.lit(None).cast("bigint")
-    rows = records.select("source").distinct().crossJoin(F.broadcast(periods)).select("source", end.alias("k"), F.lit(1).alias("kind"), none.alias("pass_us"), none.alias("idle_us"), "period_us")
+    # every source takes part, also one without mark or silence: its row at k = -FOREVER is never passed
+    rows = records.select("source").distinct().select("source", (-forever).alias("k"), none.alias("pass_us"), none.alias("idle_us"))
     if bound_us is not None:
-        # A period takes the earliest of the arrivals that show a mark at or after its end.
-        rows = rows.unionByName(mark_passes(records, bound_us, period_us).select("source", "k", F.lit(0).alias("kind"), F.col("t").alias("pass_us"), none.alias("idle_us"), none.alias("period_us")))
+        rows = rows.unionByName(mark_passes(records, bound_us, period_us).select("source", "k", F.col("t").alias("pass_us"), none.alias("idle_us")))
+    if punctuations is not None:
+        # only assertions of sources that have records count; of those within one period the earliest is enough
+        said = punctuations.dropna().groupBy("source", floor_to(F.col("asserted_us"), period_us).alias("k")).agg(F.min("at_us").alias("pass_us"))
+        rows = rows.unionByName(said.join(records.select("source").distinct(), "source", "left_semi").select("source", "k", "pass_us", none.alias("idle_us")))
     if idle_us is not None:
-        # A silence [at + idle, next) passes every end before its own end, hence k = next - 1; a period takes the first such silence.
-        rows = rows.unionByName(silences(records, idle_us, bucket_us).select("source", (F.col("next_us") - 1).alias("k"), F.lit(0).alias("kind"), none.alias("pass_us"), (F.col("at_us") + F.lit(idle_us)).alias("idle_us"), none.alias("period_us")))
-    # All streams of a source are merged by time and read backwards, so that the frame grows and the merge is linear.
-    w = Window.partitionBy("source").orderBy(F.desc("k"), F.asc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    passed = rows.withColumn("pass_us", F.min("pass_us").over(w)).withColumn("idle_us", F.min("idle_us").over(w)).filter("kind = 1").withColumn("idle_us", F.when(F.col("idle_us").isNotNull(), F.greatest("idle_us", end)))
-    each = F.least("pass_us", "idle_us", by_word)
-    return passed.groupBy("period_us").agg(F.when(F.count(each) == F.count(F.lit(1)), F.max(each)).alias("closed_us"))
+        # a silence [at + idle, next) passes every end before its own end, hence k = next - 1
+        rows = rows.unionByName(silences(records, idle_us, bucket_us).select("source", (F.col("next_us") - 1).alias("k"), none.alias("pass_us"), (F.col("at_us") + F.lit(idle_us)).alias("idle_us")))
+    # The streams of a source are merged by k and read backwards: a step is what is still to come at or after k; it holds for ends after the k before.
+    w = Window.partitionBy("source").orderBy(F.desc("k")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = rows.select("source", "k", F.coalesce(F.min("pass_us").over(w), forever).alias("a"), F.coalesce(F.min("idle_us").over(w), forever).alias("b"))
+    steps = steps.withColumn("after_us", F.lag("k").over(Window.partitionBy("source").orderBy("k", F.desc("a"), F.desc("b"))))
+    last = steps.groupBy("source").agg(F.max("k").alias("after_us")).select("after_us", forever.alias("a"), forever.alias("b"))
+    pooled = steps.select("after_us", "a", "b").filter("after_us is not null").unionByName(last)
+    # an end E lies after a step's begin where floor(begin) + period <= E; steps are counted per period before anything is ordered
+    at = F.when(F.col("after_us") <= -forever, -forever).when(F.col("after_us") >= forever - 1, forever).otherwise(floor_to(F.col("after_us"), period_us) + F.lit(period_us))
+    begin = pooled.groupBy(at.alias("e")).agg(F.max(F.least("a", "b")).alias("both"), F.max("a").alias("mark"), none.alias("period_us"))
+    periods = records.select(floor_to(F.col("event_us"), period_us).alias("period_us")).distinct()
+    calendar = begin.unionByName(periods.select(end.alias("e"), none.alias("both"), none.alias("mark"), "period_us"))
+    up = Window.orderBy("e").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # one row a day, a calendar
+    done = calendar.withColumn("closed_us", F.greatest(F.max("both").over(up), F.least(F.col("e"), F.max("mark").over(up)))).filter("period_us is not null")
+    return done.select("period_us", F.when(F.col("closed_us") < forever, F.col("closed_us")).alias("closed_us"))
 
 
 def classify(records: DataFrame, closed: DataFrame, period_us: int = DAY, cutoff_us: int = 3 * DAY) -> DataFrame:
@@ -96,18 +118,30 @@ def revisions(classified: DataFrame) -> DataFrame:
     return classified.filter("state <> 'diverted'").groupBy("grp", "period_us", report.alias("report_us")).agg(F.count(F.lit(1)).alias("added"))
 
 
+BOUND, IDLE = 6 * HOUR, 12 * HOUR
+
+
+def _records(episodes: DataFrame) -> DataFrame:
+    return arrivals(episodes, "id", "occurred_at", "ingested_at", "namespace", "source", F.col("deleted_at").isNull())
+
+
+def _by_calendar(records: DataFrame) -> DataFrame:
+    """Records with their state under the punctuations of each source at every midnight, its watermark and the idle timeout.
+
+    A mark reaches an end only after it, so where every source punctuates at the end itself, that is when the period closes.
+    """
+    return classify(records, closings(records, bound_us=BOUND, punctuations=calendar_punctuations(records), idle_us=IDLE))
+
+
 def found(episodes: DataFrame) -> DataFrame:
     """``namespace, period, report_day`` of every corrected period: calendar punctuations, 72 hours of cut-off."""
-    records = arrivals(episodes, "id", "occurred_at", "ingested_at", "namespace", "source", F.col("deleted_at").isNull())
-    closed = closings(records, punctuation_delay_us=0)
-    return revisions(classify(records, closed)).filter("report_us is not null").select(F.col("grp").alias("namespace"), day_text("period_us").alias("period"), day_text("report_us").alias("report_day"))
+    return revisions(_by_calendar(_records(episodes))).filter("report_us is not null").select(F.col("grp").alias("namespace"), day_text("period_us").alias("period"), day_text("report_us").alias("report_day"))
 
 
 def corrected_counts(episodes: DataFrame) -> DataFrame:
     """Per namespace and period, one row per report: episodes added and the corrected count so far."""
-    records = arrivals(episodes, "id", "occurred_at", "ingested_at", "namespace", "source", F.col("deleted_at").isNull())
     w = Window.partitionBy("grp", "period_us").orderBy(F.asc_nulls_first("report_us"))
-    return revisions(classify(records, closings(records, punctuation_delay_us=0))).select(
+    return revisions(_by_calendar(_records(episodes))).select(
         F.col("grp").alias("namespace"), day_text("period_us").alias("period"), day_text("report_us").alias("report_day"),
         "added", F.sum("added").over(w).alias("episodes"),
     )
@@ -115,15 +149,14 @@ def corrected_counts(episodes: DataFrame) -> DataFrame:
 
 def diverted_counts(episodes: DataFrame) -> DataFrame:
     """Per namespace and period, the episodes that came after the cut-off: the side output."""
-    records = arrivals(episodes, "id", "occurred_at", "ingested_at", "namespace", "source", F.col("deleted_at").isNull())
-    late = classify(records, closings(records, punctuation_delay_us=0)).filter("state = 'diverted'")
+    late = _by_calendar(_records(episodes)).filter("state = 'diverted'")
     return late.groupBy("grp", "period_us").agg(F.count(F.lit(1)).alias("diverted"), F.max("arrival_us").alias("last_arrival_us")).select(
         F.col("grp").alias("namespace"), day_text("period_us").alias("period"), "diverted", "last_arrival_us")
 
 
-def watermark_counts(episodes: DataFrame, bound_us: int = 6 * HOUR, idle_us: int = 12 * HOUR) -> DataFrame:
+def watermark_counts(episodes: DataFrame, bound_us: int = BOUND, idle_us: int = IDLE) -> DataFrame:
     """The same by watermarks from the records: per namespace and period the closing and on-time, corrected and diverted counts."""
-    records = arrivals(episodes, "id", "occurred_at", "ingested_at", "namespace", "source", F.col("deleted_at").isNull())
+    records = _records(episodes)
     rows = classify(records, closings(records, bound_us=bound_us, idle_us=idle_us))
     of = lambda s: F.count(F.when(F.col("state") == s, 1)).alias(s)
     return rows.groupBy("grp", "period_us").agg(F.max("closed_us").alias("closed_us"), of("on_time"), of("correction"), of("diverted")).select(

@@ -84,6 +84,20 @@ ORACLES = {
         SELECT namespace, strftime(day, '%Y-%m-%d') AS period, strftime(rep, '%Y-%m-%d') AS report_day, added,
           (sum(added) OVER (PARTITION BY namespace, day ORDER BY rep NULLS FIRST))::BIGINT AS episodes FROM g""",
     "p1_diverted": _EP + "SELECT namespace, strftime(day, '%Y-%m-%d') AS period, count(*) AS diverted, epoch_us(max(arr)) AS last_arrival_us FROM s WHERE state = 'diverted' GROUP BY namespace, day",
+    "p1_watermark_counts": """
+        WITH e AS (
+          SELECT lower(id) AS id, arg_min(namespace, ingested_at) AS namespace, epoch_us(arg_min(occurred_at, ingested_at)) AS ev, epoch_us(min(ingested_at)) AS ar, arg_min(coalesce(source, ''), ingested_at) AS source
+          FROM loom_episodes WHERE deleted_at IS NULL AND id IS NOT NULL AND occurred_at IS NOT NULL AND ingested_at IS NOT NULL GROUP BY 1),
+        r AS (SELECT *, ev - (ev % 86400000000 + 86400000000) % 86400000000 AS per FROM e),
+        sp AS (SELECT source, per, per + 86400000000 AS fin FROM (SELECT DISTINCT source FROM r), (SELECT DISTINCT per FROM r)),
+        m AS (SELECT sp.source, sp.per, min(ar) AS t FROM sp JOIN r ON r.source = sp.source AND least(ev, ar) - 6 * 3600000000 >= fin GROUP BY 1, 2),
+        z AS (SELECT source, ar AS at, coalesce(lead(ar) OVER (PARTITION BY source ORDER BY ar), 4611686018427387904) AS nxt FROM r),
+        q AS (SELECT sp.source, sp.per, min(greatest(at + 12 * 3600000000, fin)) AS t FROM sp JOIN z ON z.source = sp.source AND nxt - at > 12 * 3600000000 AND nxt > fin GROUP BY 1, 2),
+        x AS (SELECT sp.per, CASE WHEN m.t IS NULL THEN q.t WHEN q.t IS NULL THEN m.t ELSE least(m.t, q.t) END AS t FROM sp LEFT JOIN m USING (source, per) LEFT JOIN q USING (source, per)),
+        c AS (SELECT per, CASE WHEN count(t) = count(*) THEN max(t) END AS closed_us FROM x GROUP BY 1),
+        s AS (SELECT namespace, per, closed_us, CASE WHEN closed_us IS NULL OR ar < closed_us THEN 'on_time' WHEN ar - closed_us < 72 * 3600000000 THEN 'correction' ELSE 'diverted' END AS state FROM r JOIN c USING (per))
+        SELECT namespace, strftime(make_timestamp(per), '%Y-%m-%d') AS period, closed_us, count(*) FILTER (WHERE state = 'on_time') AS on_time,
+          count(*) FILTER (WHERE state = 'correction') AS correction, count(*) FILTER (WHERE state = 'diverted') AS diverted FROM s GROUP BY namespace, per, closed_us""",
     "p2_found": _REFS + "SELECT DISTINCT fact_id, field, ref_id FROM o WHERE state IS NOT NULL",
     "p2_by_table_and_day": _REFS + """SELECT ref_table, strftime(made, '%Y-%m-%d') AS day, state, count(*) AS orphans
         FROM (SELECT DISTINCT fact_id, field, ref_table, ref_id, made, state FROM o) WHERE state IS NOT NULL GROUP BY ALL""",
