@@ -91,8 +91,8 @@ ORACLES = {
         r AS (SELECT *, ev - (ev % 86400000000 + 86400000000) % 86400000000 AS per FROM e),
         sp AS (SELECT source, per, per + 86400000000 AS fin FROM (SELECT DISTINCT source FROM r), (SELECT DISTINCT per FROM r)),
         m AS (SELECT sp.source, sp.per, min(ar) AS t FROM sp JOIN r ON r.source = sp.source AND least(ev, ar) - 6 * 3600000000 >= fin GROUP BY 1, 2),
-        z AS (SELECT source, ar AS at, coalesce(lead(ar) OVER (PARTITION BY source ORDER BY ar), 4611686018427387904) AS nxt FROM r),
-        q AS (SELECT sp.source, sp.per, min(greatest(at + 12 * 3600000000, fin)) AS t FROM sp JOIN z ON z.source = sp.source AND nxt - at > 12 * 3600000000 AND nxt > fin GROUP BY 1, 2),
+        z AS (SELECT source, ar AS seen, coalesce(lead(ar) OVER (PARTITION BY source ORDER BY ar), 4611686018427387904) AS nxt FROM r),
+        q AS (SELECT sp.source, sp.per, min(greatest(seen + 12 * 3600000000, fin)) AS t FROM sp JOIN z ON z.source = sp.source AND nxt - seen > 12 * 3600000000 AND nxt > fin GROUP BY 1, 2),
         x AS (SELECT sp.per, CASE WHEN m.t IS NULL THEN q.t WHEN q.t IS NULL THEN m.t ELSE least(m.t, q.t) END AS t FROM sp LEFT JOIN m USING (source, per) LEFT JOIN q USING (source, per)),
         c AS (SELECT per, CASE WHEN count(t) = count(*) THEN max(t) END AS closed_us FROM x GROUP BY 1),
         s AS (SELECT namespace, per, closed_us, CASE WHEN closed_us IS NULL OR ar < closed_us THEN 'on_time' WHEN ar - closed_us < 72 * 3600000000 THEN 'correction' ELSE 'diverted' END AS state FROM r JOIN c USING (per))
