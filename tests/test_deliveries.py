@@ -4,17 +4,15 @@ import datetime as dt
 import hashlib
 import random
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import deliveries as dl
-from tidemark.operators.skew import hot_keys
 
 SCHEMA = "delivery_id bigint, batch_id string, delivered_at timestamp_ntz, namespace string, source string, source_event_id string, content string, content_hash string, hot string, keep int, rn int, salt int, ident string"
 
 
 def row(i, t, ns="n", src="s", event=None, content="c", h=None):
-    return (i, f"b{i % 3}", None if t is None else dt.datetime(2025, 1, 1) + dt.timedelta(minutes=t), ns, src, event, content, h, "x", 1, 1, 1, "z")
+    return (i, f"b{(i or 0) % 3}", None if t is None else dt.datetime(2025, 1, 1) + dt.timedelta(minutes=t), ns, src, event, content, h, "x", 1, 1, 1, "z")
 
 
 def test_identifiers(spark):
@@ -33,7 +31,7 @@ def test_identifiers(spark):
     assert tuple(kept) == (15, 9)
 
 
-def test_hot_identifier_is_ranked_in_two_steps(spark):
+def test_a_hot_identifier_is_reduced_before_the_shuffle(spark):
     rnd = random.Random(2)
     rows = [row(i, rnd.randrange(50), event="hot" if i % 3 else f"e{rnd.randrange(40)}") for i in range(600)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -41,11 +39,15 @@ def test_hot_identifier_is_ranked_in_two_steps(spark):
     for r in rows:
         first[r[5]] = min(first.get(r[5], (r[2], r[0])), (r[2], r[0]))
     want = sorted(r[0] for r in rows if first[r[5]][1] != r[0])
-    m = dl.messages(df)
-    hot = hot_keys(m, dl.KEY, share=0.2, fraction=0.9, min_rows=10)
-    assert [h["ident"] for h in hot] == ["e:hot"]
-    for h in ([], hot, [Row(namespace="n", source="s", ident="e:hot")]):
-        assert sorted(r["delivery_id"] for r in dl.ranked(m, h).filter(~F.col("keep")).collect()) == want
+    assert sorted(r["delivery_id"] for r in dl.found(df).collect()) == want
+    plan = dl.firsts(dl.messages(df))._jdf.queryExecution().executedPlan().toString()
+    final, partial = plan.index("WindowGroupLimit"), plan.rindex("WindowGroupLimit")
+    assert final < plan.index("Exchange") < partial  # rank 1 of each task is taken before the exchange
+
+
+def test_rows_without_or_with_one_delivery_id(spark):
+    rows = [row(1, 1, event="a"), row(1, 1, event="a"), row(2, 2, event="a"), row(None, 3, event="a"), row(None, 0, event="b"), row(3, 4, event="b")]
+    assert [r[0] for r in dl.found(spark.createDataFrame(rows, SCHEMA)).collect()] == [2]
 
 
 def test_new_messages(spark):

@@ -3,9 +3,11 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from pyspark.sql import Row
+import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as iv
+from tidemark.operators.skew import hot_cuts, slotted
 
 D = dt.datetime
 SCHEMA = "subject_id string, predicate string, valid_from timestamp_ntz, valid_until timestamp_ntz, deleted_at timestamp_ntz, slot string, carry int, froms int, cuts string"
@@ -42,11 +44,50 @@ def test_against_brute_force_with_and_without_slots(spark):
             rows.append((s, "p", a, b))
         df = spark.createDataFrame(rows, "subject_id string, predicate string, from_us bigint, until_us bigint").repartition(3)
         gaps, periods = brute(rows, 2)
-        cuts = sorted(rnd.sample(range(4000), rnd.choice([1, 7, 31])))
-        for hot in ([], [Row(subject_id="hot", predicate="p", cuts=cuts)]):
-            lists = iv.interval_lists(df, hot)
-            assert sorted(map(tuple, iv.gaps_of(lists, bool(hot), 2).collect())) == gaps
-            assert sorted(map(tuple, iv.periods_of(lists, bool(hot)).collect())) == periods
+        for cuts in (None, hot_cuts(df, iv.KEY, "from_us", len(rows), target=rnd.choice([7, 60, 150]))):
+            lists = iv.interval_lists(df, cuts)
+            assert sorted(map(tuple, iv.gaps_of(lists, cuts is not None, 2).collect())) == gaps
+            assert sorted(map(tuple, iv.periods_of(lists, cuts is not None).collect())) == periods
+
+
+def test_linear_merge_and_tree():
+    rnd = random.Random(4)
+    for n in (0, 1, 5, 40):
+        tree, all_ = iv.Tree(), []
+        for _ in range(n + 1):
+            part = sorted((a := rnd.randrange(500), a + rnd.choice([1, 3, 40])) for _ in range(rnd.choice([0, 1, 30])))
+            own = [(a, b) for _, _, a, b in brute([("s", "p", a, b) for a, b in part], 1)[1]] if part else []
+            all_ += part
+            tree.add(*(np.array([x[i] for x in own], np.int64) for i in (0, 1)))
+        want = [(a, b) for _, _, a, b in brute([("s", "p", a, b) for a, b in all_], 1)[1]] if all_ else []
+        assert list(zip(*map(list, tree.whole()))) == want
+
+
+def test_one_key_over_many_batches(spark):
+    """A key whose lists come in many batches, before and after others."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [("m" if i % 10 else f"{'az'[i // 10 % 2]}{i}", "p", 3 * (i * 37 % 4001), 3 * (i * 37 % 4001) + 1) for i in range(4000)]
+        df = spark.createDataFrame(rows, "subject_id string, predicate string, from_us bigint, until_us bigint").repartition(4)
+        got = iv.periods_of(iv.interval_lists(df), False).collect()
+        assert sorted(map(tuple, got)) == brute(rows, 1)[1]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_slots_grow_with_a_key(spark):
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, 'hot', concat('s', id)) subject_id", "id * 10 from_us").repartition(4)
+    sizes = []
+    for target in (1000, 100, 5):
+        cuts = hot_cuts(df, ["subject_id"], "from_us", 6000, target)
+        rows = slotted(df, ["subject_id"], "from_us", cuts)
+        assert rows.filter("subject_id <> 'hot' and slot <> 0").count() == 0
+        n = [r["count"] for r in rows.filter("subject_id = 'hot'").groupBy("slot").count().collect()]
+        sizes.append((len(n), max(n)))
+        w = rows.filter("subject_id = 'hot'").groupBy("slot").agg(F.min("from_us").alias("a"), F.max("from_us").alias("z")).orderBy("slot").collect()
+        assert all(x["z"] < y["a"] for x, y in zip(w, w[1:]))
+    assert sizes[0][0] == 2 and 15 <= sizes[1][0] <= 21 and sizes[2][0] > 300 and sizes[2][1] <= 15
+    assert hot_cuts(df, ["subject_id"], "from_us", 6000, 3000) is None and hot_cuts(df.limit(0), ["subject_id"], "from_us", 6000, 10) is None
 
 
 def test_dirty_rows(spark):

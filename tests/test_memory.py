@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from tests.test_retrieval import ENTITIES, FACTS
 from tidemark.operators import memory as m
@@ -26,3 +27,10 @@ def test_facts_by_entity_and_recall_give_the_facts(spark):
 def test_entity_type_validation_drops_other_types(spark):
     en = spark.createDataFrame([("a", "x", "Person", "n", None), ("b", "x", "spaceship", "n", None), ("c", "x", None, "n", None)], "id string, name string, entity_type string, namespace string, deleted_at timestamp_ntz")
     assert [r["entity_id"] for r in m.valid_types(en).collect()] == ["a"]
+
+
+def test_supersession_with_slots_gives_the_same(spark):
+    rnd = random.Random(8)
+    fa = spark.createDataFrame([(f"f{i:03}", "n", "hot" if i % 3 else f"s{i % 5}", "p", rnd.choice("xyz"), T + dt.timedelta(hours=rnd.randrange(60)), None, None, None, None, T, None) for i in range(300)], FACTS).repartition(3)
+    plain = sorted(map(tuple, m.supersede(fa).collect()))
+    assert plain == sorted(map(tuple, m.supersede(fa, target=20).collect())) == sorted(map(tuple, m.supersede(fa, target=90).collect())) and len(plain) > 200

@@ -39,12 +39,30 @@ def test_empty(spark):
     assert rf.found(f, e, p).count() == 0 and rf.by_table_and_day(f, e, p).count() == 0
 
 
-def test_salted_keys_give_the_same(spark):
+def test_a_hot_target_is_split_by_size(spark):
+    """Nearly all references name one target: its partition is cut, the result is the same, and the parents' own repeats change nothing."""
     rnd = random.Random(3)
-    ents = [(f"e{i}", D(2025, 1, rnd.randrange(1, 28)), D(2025, 3, 1) if i % 7 == 0 else None, 1) for i in range(20)]
-    facts = [fact(f"f{i}", "e1" if i % 3 else "E7", f"e{rnd.randrange(30)}", None, None, D(2025, 1, rnd.randrange(1, 28))) for i in range(400)]
+    ents = [(f"e{i}", D(2025, 1, rnd.randrange(1, 28)), D(2025, 3, 1) if i % 7 == 0 else None, 1) for i in range(20)] * 3
+    facts = [fact(f"f{i}", "e1", f"e{rnd.randrange(30)}" if i % 5 == 0 else "E7", None, None, D(2025, 1, rnd.randrange(1, 28))) for i in range(20_000)]
     f, e, p = frames(spark, facts, ents, [])
+    f = f.repartition(8)
     refs, known = rf.references(f), rf.parents(e, p, f)
-    plain = sorted(map(str, rf.merge_references(refs, known).collect()))
-    salted = sorted(map(str, rf.merge_references(refs, known, [{"ref_id": "e1"}, {"ref_id": "e7"}]).collect()))
-    assert plain == salted and len(plain) == 800
+    state = {}
+    for i, made, dead, _ in ents[:20]:
+        state[i] = (made, dead)
+    want = {}
+    for r in facts:
+        for field, ref in (("subject_id", r[1]), ("object_id", r[2].lower())):
+            made, dead = state.get(ref, (None, None))
+            want[r[0], field] = "missing" if made is None else "deleted" if dead else "late" if made > r[5] else "ok"
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "60k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        out = rf.merge_references(refs, known)
+        got = {(r["fact_id"], r["field"]): r["state"] for r in out.collect()}
+        assert "skew=true" in out._jdf.queryExecution().toString()
+    finally:
+        for k in names:
+            spark.conf.unset(k)
+    assert got == want

@@ -1,7 +1,8 @@
 """Messages delivered more than once.
 
-Deliveries are partitioned by message identifier and ranked by arrival; the first stays.  An identifier that holds a
-large share of all deliveries is ranked in two steps: within salts, then among the salts' firsts.
+Deliveries are partitioned by message identifier and ranked by arrival; the first stays.  Spark keeps rank 1 of every identifier in each
+task before the shuffle, so an identifier with any share of the rows reaches its task as one row per task.  What must go is the
+anti-join with the firsts by delivery, whose ids are unique.
 """
 
 from __future__ import annotations
@@ -9,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import hot_keys, is_hot
-
 KEY = ["namespace", "source", "ident"]
-SALTS = 32
 
 
 def trimmed(c: str) -> Column:
@@ -32,32 +30,23 @@ def messages(deliveries: DataFrame) -> DataFrame:
     return deliveries.select("delivery_id", "batch_id", "delivered_at", "namespace", "source", ident.alias("ident"))
 
 
-def ranked(rows: DataFrame, hot: list | None = None) -> DataFrame:
-    """``rows`` with ``keep``: whether the delivery is the first of its message (earliest delivered_at, nulls last, then least id)."""
-    order = [F.asc_nulls_last("delivered_at"), F.asc("delivery_id")]
-    if not hot:
-        return rows.withColumn("keep", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)) == 1)
-    rows = rows.withColumn("hot", is_hot(hot, KEY)).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("delivery_id"), F.lit(SALTS))).otherwise(F.lit(0)))
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY, "salt").orderBy(*order)))
-    final = rows.filter(~F.col("hot") | (F.col("rn") > 1)).withColumn("keep", F.col("rn") == 1)
-    heads = rows.filter(F.col("hot") & (F.col("rn") == 1)).withColumn("keep", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)) == 1)
-    return final.unionByName(heads).drop("hot", "salt", "rn")
-
-
-def dedupe(deliveries: DataFrame) -> DataFrame:
-    """Every delivery with ``keep``."""
-    rows = messages(deliveries)
-    return ranked(rows, hot_keys(rows, KEY))
+def firsts(rows: DataFrame) -> DataFrame:
+    """The first delivery of each message: earliest delivered_at, nulls last, then least id."""
+    order = Window.partitionBy(*KEY).orderBy(F.asc_nulls_last("delivered_at"), F.asc("delivery_id"))
+    return rows.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")
 
 
 def found(deliveries: DataFrame) -> DataFrame:
-    """``delivery_id`` of the deliveries that must go."""
-    return dedupe(deliveries).filter(~F.col("keep")).select("delivery_id")
+    """``delivery_id`` of the deliveries that must go.  Rows without delivery_id name none; one id on several rows is one delivery."""
+    rows = messages(deliveries).filter("delivery_id is not null")
+    return rows.select("delivery_id").join(firsts(rows).select("delivery_id"), "delivery_id", "left_anti").distinct()
 
 
 def kept_per_batch(deliveries: DataFrame) -> DataFrame:
-    """Per batch, deliveries and messages that stay."""
-    return dedupe(deliveries).groupBy("batch_id").agg(F.count(F.lit(1)).alias("deliveries"), F.count(F.when(F.col("keep"), 1)).alias("kept"))
+    """Per batch, deliveries and messages that stay; a null batch is one."""
+    all_ = deliveries.groupBy("batch_id").agg(F.count(F.lit(1)).alias("deliveries"))
+    kept = firsts(messages(deliveries)).groupBy(F.col("batch_id").alias("b")).agg(F.count(F.lit(1)).alias("kept"))
+    return all_.join(kept, F.col("batch_id").eqNullSafe(F.col("b")), "left").select("batch_id", "deliveries", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 def new_messages(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -65,7 +54,7 @@ def new_messages(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
     Only firsts enter the join, so no identifier occurs twice on either side and none can be hot.
     """
-    new = dedupe(batch).filter("keep").drop("keep")
+    new = firsts(messages(batch))
     old = messages(stored).select(*[F.col(k).alias(f"o_{k}") for k in KEY]).distinct()
     same = F.lit(True)
     for k in KEY:

@@ -1,8 +1,9 @@
 """Continuous periods and gaps of overlapping intervals.
 
-The aggregate of a key is a list of sorted disjoint intervals.  Lists are made per batch of input, shuffled by key and combined
-by linear merge; the complement of a list are its gaps.  A key that holds a large share of all rows is cut into stretches of time
-(slots) at percentiles of its starts: each slot has a list of its own, and what the earlier slots cover is carried in.
+The aggregate of a key is a list of sorted disjoint intervals, reduced in a tree: one list per key and batch of input before the
+shuffle; after it the lists of a key are merged two by two, linearly, those of like length first; a key of very many rows is
+cut into stretches of time (slots) whose lists stay apart, and what the earlier slots cover is carried in.  The complement of the
+lists are the gaps.
 """
 
 from __future__ import annotations
@@ -16,10 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import SECOND, micros
-from tidemark.operators.skew import hot_keys
+from tidemark.operators.skew import TARGET, hot_cuts, slotted
 
 OPEN = 2**63 - 1
-SLOTS = 32
 KEY = ["subject_id", "predicate"]
 LISTS = "subject_id string, predicate string, slot int, froms array<bigint>, untils array<bigint>"
 
@@ -65,49 +65,83 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _table(keys, *_disjoint(gid, b.column("from_us").to_numpy(), b.column("until_us").to_numpy())).to_batches()
 
 
+def merge_lists(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The union of two lists of sorted disjoint intervals (froms, untils), in one pass over both; touching ones are one."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    if not len(b[0]):
+        return a
+    # the shorter list's places in the longer one, then one running maximum over what is already in order
+    place = np.searchsorted(a[0], b[0], side="right") + np.arange(len(b[0]))
+    own = np.ones(len(a[0]) + len(b[0]), bool)
+    own[place] = False
+    start, end = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+    start[place], end[place] = b
+    start[own], end[own] = a
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    return start[first], reach[np.r_[first[1:], len(start)] - 1]
+
+
+class Tree:
+    """Lists of one key, merged as soon as two of like length are there, so that each interval is moved a logarithmic number of times."""
+
+    def __init__(self) -> None:
+        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, froms: np.ndarray, untils: np.ndarray) -> None:
+        new = (froms, untils)
+        while self.lists and len(self.lists[-1][0]) <= 2 * len(new[0]):
+            new = merge_lists(self.lists.pop(), new)
+        self.lists.append(new)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.lists.pop()
+        while self.lists:
+            out = merge_lists(self.lists.pop(), out)
+        return out
+
+
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge lists sorted by key; the last key of what came so far waits for more."""
-    rest = None
+    """Lists sorted by key to one list per key.  The last key of what came so far waits in a tree for more."""
+    tree, waiting = Tree(), None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        froms, untils = tree.whole()
+        yield from _table(waiting, np.zeros(len(froms), np.int64), froms, untils).to_batches()
+
     for b in batches:
-        t = pa.Table.from_batches([b])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        if not t.num_rows:
+        if not b.num_rows:
             continue
-        last = [c[-1].as_py() for c in t.select([*KEY, "slot"]).columns]
+        t = pa.Table.from_batches([b])
         gid, keys = _codes(t)
         froms, untils = t.column("froms").combine_chunks(), t.column("untils").combine_chunks()
         row = np.repeat(np.arange(t.num_rows), np.diff(froms.offsets.to_numpy()))
-        out = _table(keys, *_disjoint(gid[row], froms.flatten().to_numpy(), untils.flatten().to_numpy()))
-        waits = np.arange(out.num_rows) == gid[-1]
-        assert [c[int(gid[-1])].as_py() for c in out.select([*KEY, "slot"]).columns] == last
-        rest = out.filter(pa.array(waits))
-        yield from out.filter(pa.array(~waits)).to_batches()
-    if rest is not None:
-        yield from rest.to_batches()
-
-
-def interval_lists(rows: DataFrame, hot: list | None = None) -> DataFrame:
-    """``subject_id, predicate, slot, froms, untils``: the reduced list of each key, of hot keys one per slot (from 1 up).
-
-    ``hot``: rows (subject_id, predicate, cuts), at most 1/share of them, each with at most SLOTS cuts.
-    """
-    slot = F.lit(0)
-    if hot:
-        spark = rows.sparkSession
-        cuts = spark.createDataFrame([(r["subject_id"], r["predicate"], sorted(set(r["cuts"]))) for r in hot], "subject_id string, predicate string, cuts array<bigint>")
-        rows = rows.join(F.broadcast(cuts), KEY, "left")  # at most 1/share keys
-        slot = F.when(F.col("cuts").isNull(), 0).otherwise(1 + F.size(F.filter("cuts", lambda c: c <= F.col("from_us"))))
-    lists = rows.select(*KEY, slot.cast("int").alias("slot"), "from_us", "until_us").mapInArrow(_partial, LISTS)
+        key, start, end = _disjoint(gid[row], froms.flatten().to_numpy(), untils.flatten().to_numpy())
+        ends = np.r_[0, np.cumsum(np.bincount(key, minlength=keys.num_rows))]
+        part = lambda k: (start[ends[k] : ends[k + 1]], end[ends[k] : ends[k + 1]])
+        first, last = int(gid[0]), int(gid[-1])
+        if waiting is not None and waiting.to_pylist() != keys.slice(first, 1).to_pylist():
+            yield from done()
+        waiting = keys.slice(first, 1)
+        tree.add(*part(first))
+        if last != first:
+            yield from done()
+            between = pa.array(~np.isin(np.arange(keys.num_rows), (first, last)))
+            yield from _table(keys, key, start, end).filter(between).to_batches()
+            waiting = keys.slice(last, 1)
+            tree.add(*part(last))
+    if waiting is not None:
+        yield from done()
+
+
+def interval_lists(rows: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """``subject_id, predicate, slot, froms, untils``: the reduced list of each key, of hot keys one per slot (from 1 up)."""
+    rows = slotted(rows, KEY, "from_us", cuts)
+    lists = rows.select(*KEY, "slot", "from_us", "until_us").mapInArrow(_partial, LISTS)
     return lists.repartition(*KEY, "slot").sortWithinPartitions(*KEY, "slot").mapInArrow(_combine, LISTS)
 
 
-def hot_pairs(rows: DataFrame, **options) -> list:
-    """Pairs that need slots, with cuts at equal shares of their starts."""
-    cuts = F.percentile_approx("from_us", [i / SLOTS for i in range(1, SLOTS)], 1000).alias("cuts")
-    return hot_keys(rows, KEY, extra=[cuts], **options)
-
-
 def carried(lists: DataFrame) -> DataFrame:
     """The lists of hot keys with ``carry``: how far the earlier slots of the key cover (null in the first).
 
@@ -145,14 +179,15 @@ def periods_of(lists: DataFrame, has_hot: bool) -> DataFrame:
     return plain.unionByName(done).unionByName(last)
 
 
-def found(facts: DataFrame) -> DataFrame:
+def found(facts: DataFrame, target: int = TARGET) -> DataFrame:
+    """Gaps of at least a second.  Pairs of more than ``target`` rows are cut into slots of about as many."""
     rows = validity(facts)
-    hot = hot_pairs(rows)
-    return gaps_of(interval_lists(rows, hot), bool(hot))
+    cuts = hot_cuts(rows, KEY, "from_us", facts.count(), target)
+    return gaps_of(interval_lists(rows, cuts), cuts is not None)
 
 
-def periods(facts: DataFrame) -> DataFrame:
+def periods(facts: DataFrame, target: int = TARGET) -> DataFrame:
     """``until_us`` is null where the period has no end."""
     rows = validity(facts)
-    hot = hot_pairs(rows)
-    return periods_of(interval_lists(rows, hot), bool(hot)).withColumn("until_us", F.nullif("until_us", F.lit(OPEN)))
+    cuts = hot_cuts(rows, KEY, "from_us", facts.count(), target)
+    return periods_of(interval_lists(rows, cuts), cuts is not None).withColumn("until_us", F.nullif("until_us", F.lit(OPEN)))

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import micros
 from tidemark.operators.common import episodes_once, latest, live, once
-from tidemark.operators.skew import hot_keys
+from tidemark.operators.skew import TARGET, hot_cuts, slotted
 
 AS_OF = "2025-07-01 00:00:00"
 MODES = ["live_mcp_capture", "user_authored_seed", "vendor_import"]  # fixed values, most authoritative first
 COEFFICIENTS = [1.0, 0.8, 0.6]  # fixed values of these modes
 ENTITY_TYPES = ["person", "organization", "project", "service", "technology", "pattern", "environment", "document", "metric", "decision"]
-SLOTS = 32
-
 
 def rows_as(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
@@ -55,22 +53,18 @@ def duplicate_facts(facts: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter("rank > 1").select("id", "rank")
 
 
-def supersede(facts: DataFrame) -> DataFrame:
+def supersede(facts: DataFrame, target: int = TARGET) -> DataFrame:
     """``id, replaced_by, closes_us``: which fact closes which.
 
     Facts of a namespace, subject and predicate that begin at one time form a step, whose first fact (least id) wins.  A fact is closed by its
     own step's winner where their objects differ, else by the next winner with another object.  Facts with null keys or times take no part.
-    A key with a large share of all facts is cut into slots of time; what goes on across slots passes through one summary row per slot.
+    A key with more than ``target`` facts is cut into slots of time of about as many; what goes on across slots passes through one summary row per slot.
     """
     key = ["namespace", "subject_id", "predicate"]
-    rows = facts_once(facts, *key, "object_id", "valid_from").withColumn("us", micros("valid_from")).drop("valid_from").dropna()
-    hot = hot_keys(rows, key, extra=[F.percentile_approx("us", [i / SLOTS for i in range(1, SLOTS)], 1000).alias("cuts")])
-    slot = F.lit(0)
-    if hot:
-        cuts = rows.sparkSession.createDataFrame([(*[r[k] for k in key], sorted(set(r["cuts"]))) for r in hot], ", ".join(f"{k} string" for k in key) + ", cuts array<bigint>")
-        rows = rows.join(F.broadcast(cuts), key, "left")  # at most 1/share keys
-        slot = F.when(F.col("cuts").isNull(), 0).otherwise(1 + F.size(F.filter("cuts", lambda c: c <= F.col("us"))))
-    rows = rows.withColumn("slot", slot).select("id", *key, "object_id", "us", "slot")
+    timed = lambda df: df.withColumn("us", micros("valid_from")).drop("valid_from").dropna()
+    scanned = timed(live(facts).select("namespace", F.lower("subject_id").alias("subject_id"), "predicate", "valid_from"))
+    hot = hot_cuts(scanned, key, "us", facts.count(), target)
+    rows = slotted(timed(facts_once(facts, *key, "object_id", "valid_from")), key, "us", hot).select("id", *key, "object_id", "us", "slot")
     step = Window.partitionBy(*key, "slot", "us").orderBy("id")
     rows = rows.withColumn("n", F.row_number().over(step)).withColumn("win", F.first(F.struct("object_id", "id", "us")).over(step))
     own = Window.partitionBy(*key, "slot").orderBy("us", "id")
@@ -78,18 +72,18 @@ def supersede(facts: DataFrame) -> DataFrame:
     winner = F.when(F.col("n") == 1, F.col("object_id"))
     prev = F.last(winner, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("prev", prev)
-    if hot:
+    if hot is not None:
         ends = rows.filter("slot > 0 and n = 1").groupBy(*key, "slot").agg(F.max_by("object_id", F.struct("us", "id")).alias("end"))
         w = Window.partitionBy(*key).orderBy("slot")
         ends = ends.select(*key, "slot", F.lag("end").over(w).alias("carried"))
-        rows = rows.join(F.broadcast(ends), [*key, "slot"], "left").withColumn("prev", F.coalesce("prev", "carried")).drop("carried")  # at most SLOTS rows a hot key
+        rows = rows.join(F.broadcast(ends), [*key, "slot"], "left").withColumn("prev", F.coalesce("prev", "carried")).drop("carried")  # at most MOST slots
     change = F.when((F.col("n") == 1) & (F.col("prev").isNull() | (F.col("prev") != F.col("object_id"))), F.struct("us", "id"))
     rows = rows.withColumn("change", change).withColumn("next", F.last("change", ignorenulls=True).over(back))
-    if hot:
+    if hot is not None:
         heads = rows.filter("slot > 0").groupBy(*key, "slot").agg(F.min("change").alias("head"))
         w = Window.partitionBy(*key).orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
         heads = heads.select(*key, "slot", F.first("head", ignorenulls=True).over(w).alias("ahead"))
-        rows = rows.join(F.broadcast(heads), [*key, "slot"], "left").withColumn("next", F.coalesce("next", "ahead"))  # at most SLOTS rows a hot key
+        rows = rows.join(F.broadcast(heads), [*key, "slot"], "left").withColumn("next", F.coalesce("next", "ahead"))  # at most MOST slots
     by = F.when(F.col("win.object_id") != F.col("object_id"), F.struct(F.col("win.us").alias("us"), F.col("win.id").alias("id"))).otherwise(F.col("next"))
     return rows.select("id", by.alias("by")).filter("by is not null").select("id", F.col("by.id").alias("replaced_by"), F.col("by.us").alias("closes_us"))
 

@@ -1,8 +1,9 @@
 """References between tables: missing, deleted and late targets.
 
-References and parents are co-partitioned and sorted by (table, key) and merged in one sort-merge join; a parent is an interval
-that starts when it was recorded and ends with its deletion.  Keys that hold a large share of all references are salted, with the
-few parents concerned repeated once per salt.
+References and parents are co-partitioned and sorted by target and merged in one sort-merge join.  A parent is the interval of its
+validity, from when it was recorded until it was deleted; where a reference stands to it tells missing, deleted and late apart.
+A target that very many references name is split by adaptive execution, which cuts its partition by size and reads the one parent
+row for each part; parents are reduced to one row per target before, so no target is large on both sides.
 """
 
 from __future__ import annotations
@@ -11,9 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import day_text, micros
-from tidemark.operators.skew import hot_keys, is_hot
-
-SALTS = 32
 
 
 def references(facts: DataFrame) -> DataFrame:
@@ -40,8 +38,8 @@ def references(facts: DataFrame) -> DataFrame:
 
 
 def parents(entities: DataFrame, episodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """``ref_table, ref_id, live, recorded_us`` of every row that can be referred to."""
-    of = lambda df, name, at: df.select(F.lit(name).alias("ref_table"), F.lower("id").alias("ref_id"), F.col("deleted_at").isNull().alias("live"), at.alias("recorded_us"))
+    """``ref_table, ref_id, from_us, until_us`` of every row that can be referred to: recorded at, deleted at (null: not deleted)."""
+    of = lambda df, name, at: df.select(F.lit(name).alias("ref_table"), F.lower("id").alias("ref_id"), at.alias("from_us"), micros("deleted_at").alias("until_us"))
     return (
         of(entities, "loom_entities", micros("created_at"))
         .unionByName(of(episodes, "loom_episodes", micros("ingested_at")))
@@ -50,32 +48,33 @@ def parents(entities: DataFrame, episodes: DataFrame, facts: DataFrame) -> DataF
     )
 
 
-def merge_references(refs: DataFrame, targets: DataFrame, hot: list | None = None) -> DataFrame:
-    """``refs`` with ``state``: ok, missing, deleted or late.
+def target(table: str = "ref_table", key: str = "ref_id"):
+    """One sort key for both streams."""
+    return F.concat_ws(":", table, key).alias("target")
 
-    A target with a live row is live; it was recorded at the earliest time among its live rows.  Late needs both times.
-    """
-    hot = hot or []
-    spread = F.when(is_hot(hot, ["ref_id"]), F.pmod(F.xxhash64("fact_id"), F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0).cast("bigint")
-    copies = F.when(is_hot(hot, ["ref_id"]), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
-    targets = targets.withColumn("salt", F.explode(copies)) if hot else targets.withColumn("salt", F.lit(0).cast("bigint"))
-    keys = ["ref_table", "ref_id", "salt"]
-    known = (
-        targets.groupBy(*keys)
-        .agg(F.max("live").alias("live"), F.min(F.when(F.col("live"), F.col("recorded_us"))).alias("recorded_us"))
-    )
+
+def validity(rows: DataFrame) -> DataFrame:
+    """``target, from_us, until_us, open``: one interval per target.  It begins at the earliest record among the rows that are not deleted and
+    is open where there is one; otherwise it ends with the last deletion."""
+    is_open = F.col("until_us").isNull()
+    one = rows.groupBy("ref_table", "ref_id").agg(F.min(F.when(is_open, F.col("from_us"))).alias("from_us"), F.max("until_us").alias("until_us"), F.max(is_open).alias("open"))
+    return one.select(target(), "from_us", F.when(~F.col("open"), F.col("until_us")).alias("until_us"), F.lit(True).alias("known"))
+
+
+def merge_references(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``refs`` with ``state``: missing (no interval), deleted (the interval has ended, at whatever time), late (it begins after the reference
+    was made; unknown times are not late), ok."""
     state = (
-        F.when(F.col("live").isNull(), "missing").when(~F.col("live"), "deleted")
-        .when(F.col("recorded_us") > F.col("made_us"), "late").otherwise("ok")
+        F.when(F.col("known").isNull(), "missing").when(F.col("until_us").isNotNull(), "deleted")
+        .when(F.col("from_us") > F.col("made_us"), "late").otherwise("ok")
     )
-    return refs.withColumn("salt", spread).join(known.hint("merge"), keys, "left").withColumn("state", state).drop("salt", "live", "recorded_us")
+    # grouped by (table, id) but joined by target: both sides of the join are shuffles of their own, which adaptive execution can split
+    return refs.withColumn("target", target()).join(validity(rows).hint("merge"), "target", "left").withColumn("state", state).drop("target", "from_us", "until_us", "known")
 
 
 def orphans(facts: DataFrame, entities: DataFrame, episodes: DataFrame) -> DataFrame:
     """Every reference that is not ok, once: ``fact_id, field, ref_table, ref_id, made_us, state``."""
-    refs = references(facts)
-    hot = hot_keys(refs, ["ref_id"])
-    return merge_references(refs, parents(entities, episodes, facts), hot).filter("state <> 'ok'").dropDuplicates(["fact_id", "field", "ref_id"])
+    return merge_references(references(facts), parents(entities, episodes, facts)).filter("state <> 'ok'").dropDuplicates(["fact_id", "field", "ref_id"])
 
 
 def found(facts: DataFrame, entities: DataFrame, episodes: DataFrame) -> DataFrame:
