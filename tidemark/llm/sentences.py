@@ -2,49 +2,65 @@
 
 A text is first cut where a unit must end whatever it says: blank lines, headings, list items, turn labels, fenced code.  Within
 such a block every end mark outside quotation marks and brackets is a candidate, and dynamic programming picks the chain of spans
-with the best sum of scores.  A span is scored as a whole: by its length, its opening words, its closing words and whether the
+with the best sum of scores.  A span is scored as a whole: by its opening word, its closing word and mark, its length, and whether the
 quotation it opens with is carried on after the closing mark.
 
-Spark partitions the texts; the functions here see one text at a time and never more than one block at once.
+How words open and close sentences is counted in all texts by Spark before any is cut: a word's rate at the start of blocks against its
+rate within them, and, of a word with a full stop, its rate at the end of blocks against that of any word.  Only closed classes
+(articles, conjunctions, auxiliaries) and public abbreviations are given beforehand.
+
+Texts are cut one at a time, in time linear in their length.
 """
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex as re
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators.common import spread
 
-# Words and marks of the ten languages.
+# Turn labels, and public abbreviations and closed word classes of the ten languages (and a few more).
 ROLES = "user assistant system agent me you reviewer human bot ai tool operator".split()
-TITLES = "dr mr mrs ms prof st fr hr sr sra srta dra mme mlle д-р г-н г-жа د डॉ श्री".split()
-BEFORE_NUMBER = "no nr nº n° sec fig figs ext v vol ver approx min max ca abs zl kap chap art env aprox рис стр табл p pp pág ch".split()
-NEVER = "vs e.g i.e cf bzw z.b d.h p.ex p.ej т.е т.н u.ä sog см s viz resp approx aprox env ca zl abs chap art рис ext тыс".split()
-MAYBE = "etc usw a.m p.m u.s u.k inc ltd co corp dept т.д т.п u.a г гг jr ff min max no sec fig น พ.ศ".split()
-ORDINAL_LEAD = "der die das am dem den des vom zum zur beim im jeder jede ein einem einen".split()
-OPENERS = (
-    "the a an we it he she they you i our my your his their this that these those there here for once until when while if as by after before "
-    "between apart according per what why who which where how nobody somebody someone anyone nothing everything each all every both two three no not "
-    "none please keep stop ask did do does is are was then now roughly only let see search budget clocks logs precision rollback "
-    "der die das ein eine es er sie wir ich laut seit warum wer was niemand bitte so le la les un une il elle nous on depuis ne pourquoi qui "
-    "el los las una desde según sin por nadie на в по почему кто не со после до"
-).split()
-CONJUNCTIONS = "and or but nor und oder aber sowie et ou mais y e o u pero и или но а".split()
-PREPOSITIONS = "in on at to for from with by of until till per into since auf mit für von bei bis in nach aus sur pour avec dans en de para con por на в для до от с".split()
-VERBS = (
-    "are is was were be been have has had do does can could will would should may might must get go come goes comes remain remains stay stays "
-    "sind ist war waren bleiben bleibt werden wird haben hat kann sont est étaient était ont seront se son está están fueron tienen "
-    "хранятся хранится были будут"
-).split()
-LEADS = re.compile(r"(?:in sum|in the end|in short|in total|for now|for example|(?:on|by|until|since|per|for|from|in|at) (?:\d|tkt|the (?:first|second|third|\d))|by \d|per \S+,)", re.I)
+TITLES = frozenset((
+    "dr mr mrs ms mx prof st rev hon gen lt col sgt cpl pvt capt cpt cmdr maj adm brig rep sen gov pres amb supt insp messrs mmes "
+    "hr fr frl dipl ing mme mlle mgr dott dott.ssa sig sig.ra avv geom rag sr sra srta dra d dña lic arq д-р г-н г-жа проф акад доц тов डॉ श्री श्रीमती द"
+).split())
+BEFORE_NUMBER = frozenset((
+    "no nr nº n° núm num sec fig figs tab ext v vol ver approx min max ca zl z kap chap ch art par env aprox cap lib abs est bd jg рис стр табл гл п пп p pp pág s tel "
+    "jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic янв фев апр авг сент окт ноя дек"
+).split())
+WITHIN = frozenset("vs e.g i.e cf viz resp al op loc ibid approx bzw z.b d.h vgl ggf evtl inkl exkl bes insb u.ä sog z.t u.u o.g p.ex p.ej c.-à-d env ca aprox zl рис см ср напр т.е т.н т.к ext тыс млн млрд ред изд s".split())
+EITHER = frozenset("etc usw u.a u.v.m a.m p.m u.s u.k u.n e.u d.c inc ltd co corp bros dept cit jr sr ph.d m.d b.c a.d т.д т.п др г гг в вв jh jr ff f min max no sec fig น พ.ศ ค.ศ".split())
+LISTED = TITLES | BEFORE_NUMBER | WITHIN | EITHER
+ORDINAL_LEAD = frozenset("der die das am dem den des vom zum zur beim im jeder jede ein einem einen bis ab seit und".split())
+OPENING_WORDS = frozenset((
+    "the a an this that these those it we he she they you i our my your his their its there here what why who how where nobody somebody someone anyone everyone nothing each every "
+    "both all no not none please then now however but der die das ein eine es er sie wir ich dies diese dieser niemand jemand bitte warum wer wie wo le la les un une des ce cette il elle ils elles nous vous je "
+    "pourquoi qui el los las una lo este esta yo nadie por qué quién cómo по почему кто это этот эта мы он она они я вы никто"
+).split())
+GOING_ON = frozenset((
+    "and or but nor und oder aber sowie et ou mais ni y e o u pero и или но а "
+    "is are was were be been am has have had do does did can could will would should may might must ist sind war waren wird werden hat haben kann soll muss est sont était étaient a ont avait sera seront peut "
+    "es son era eran fue fueron está están ha han será puede был была было были есть будет будут может "
+    "than which whose whom als dass welche welcher que dont du de del der des af of что чтобы который"
+).split())
+WEEKDAYS_AND_MONTHS = frozenset((
+    "monday tuesday wednesday thursday friday saturday sunday mon tue tues wed thu thur thurs fri sat sun today tomorrow yesterday sharp est edt pst pdt utc gmt cet "
+    "january february march april may june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag"
+).split())
 TAG_KANA = "とはがをにのもでへや"
 
-MARKS = ".!?…。！？।॥؟۔．｡|"
-FULL = "。！？．｡"
+MARKS = ".!?…。！？।॥؟۔．｡|။។៕།።։"
+FULL = "。！？．｡။។៕།።"
 OPEN_QUOTES = {"«": "»", "„": "“", "“": "”", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》"}
+OPENED_BY: dict[str, list[str]] = {}
+for _a, _b in OPEN_QUOTES.items():
+    OPENED_BY.setdefault(_b, []).append(_a)
 CLOSERS = "\"'”’“»«)）]】》」』"
 
 FENCE = re.compile(r"^[ \t]*(```|~~~)")
@@ -54,20 +70,37 @@ NUMBERED = re.compile(r"^[ \t]*(?:>[ \t]?)*[ \t]*(\d{1,3})([.)])[ \t]+\S")
 LABEL = re.compile(r"^[ \t]*(?:\[[^\]\n]{4,40}\][ \t]*)(?:[^\s:：][^:：\n]{0,30})[:：](?=\s|$)|^[ \t]*(?:" + "|".join(ROLES) + r")[ \t]*[:：](?=\s|$)", re.I)
 HEAD = re.compile(r"(?:\s|>|#{1,6}(?=\s)|[-*+•‣–](?=\s)|\d{1,3}[.)](?=\s))*")
 THAI_SPACE = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
-RUN = re.compile(r"[.!?…。！？।॥؟۔．｡]+|(?<=[\u0900-\u097f])\|")
-WORD_BEFORE = re.compile(r"[^\s\"«»„“”「」『』()（）\[\],;:]+$")
+RUN = re.compile(r"[.!?…。！？।॥؟۔．｡။។៕།።։]+|(?<=[\u0900-\u097f])\|")
+BREAK = re.compile(r"[\"«»„“”「」『』()（）\[\],;:]")
 NEXT = re.compile(r"\S+")
-CJK = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_CJK = "\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003134f"  # Han, Hiragana, Katakana
+CJK = re.compile(f"[{_CJK}]")
 QUOTES = re.compile(r"[\"«»„“”「」『』()（）\[\]【】《》]")
-ONE_LETTER = re.compile(r"(?:^|[\s(])(\p{L})\.\s+$")
+ONE_LETTER = re.compile(r"(?:^|[\s(])([^\W\d_])\.\s+$")
 MEASURE = re.compile(r"\d\s+\S{1,2}$")
 ORDINAL = re.compile(r"(?:^|[\s\"„«])([^\s\"„«]+)\s+\d{1,2}$")
-GLUED = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}!?…。！？．｡।]+|(?<=\w\w)\.(?=\p{Lu})")
+GLUED = re.compile(rf"[{_CJK}!?…。！？．｡।]+|(?<=\w\w)\.(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])")
 FILELIKE = re.compile(r"^[\w\-]+(?:[/._][\w\-]+)+[.,;:!?…]*$")
 
 NO = -12.0  # what never ends a unit
-WINDOW = 24
-TOO_LONG = 600
+SHORT, LONG, SLOPE = 4, 600, 400  # characters: a fragment, a long sentence, and how fast longer ones lose
+
+
+class Words:
+    """How words open and close sentences: log-odds, 0 where nothing is known.
+
+    ``opens``: of a lower-case word, that it opens rather than stands within (-4 to 4).  ``closes``: of a word with a full stop, that the stop ends a
+    sentence rather than belongs to an abbreviation (-6 to 2).
+    """
+
+    def __init__(self, opens: dict[str, float] | None = None, closes: dict[str, float] | None = None):
+        self.opens, self.closes = dict(opens or {}), dict(closes or {})
+        for words, value in ((OPENING_WORDS, 1.5), (GOING_ON, -2.0)):
+            for w in words:
+                self.opens.setdefault(w, value)
+
+
+PRIOR = Words()
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
@@ -87,6 +120,14 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
 
     while i < len(lines):
         at, line = lines[i]
+        lead = line.lstrip()
+        plain = lead[:1].isalpha() and ":" not in line[:80] and "：" not in line[:80]  # no mark, no number, no label
+        if plain:
+            if start is None:
+                start, head = at, at + len(line) - len(lead)
+            after_break = False
+            i += 1
+            continue
         if FENCE.match(line):
             yield from close(at)
             fence, j = FENCE.match(line)[1], i + 1
@@ -96,7 +137,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
             yield at, end, at, True
             i, after_break = j + 1, True
             continue
-        if not line.strip():
+        if not lead:
             yield from close(at)
             after_break, listed, i = True, False, i + 1
             continue
@@ -113,14 +154,17 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
             opens, number = m.end() - 1, None
         elif m := NUMBERED.match(line):
             n = int(m[1])
-            ended = after_break or start is None or text[start:at].rstrip()[-1:] in MARKS + CLOSERS + ":："
+            k = at
+            while start is not None and k > start and text[k - 1].isspace():
+                k -= 1
+            ended = after_break or start is None or k == start or text[k - 1] in MARKS + CLOSERS + ":："
             if m[2] == ")" or after_break or (number is not None and n == number + 1) or (n == 1 and (ended or listed)):
                 opens, number = m.end() - 1, n
         if opens is not None:
             yield from close(at)
             listed = not LABEL.match(line)
         if start is None:
-            start, head = at, at + (opens if opens is not None else HEAD.match(line).end() if line.lstrip().startswith(">") else len(line) - len(line.lstrip()))
+            start, head = at, at + (opens if opens is not None else HEAD.match(line).end() if lead.startswith(">") else len(line) - len(lead))
             if opens is not None and (m := HEAD.match(line, opens)):
                 head = at + m.end() if line[opens : m.end()].strip() and BULLET.match(line[opens:]) else at + opens
         after_break = False
@@ -129,144 +173,171 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
 
 
 def pairs(text: str) -> dict[int, int]:
-    """Matched quotation marks and brackets of a block, opening place to closing place; an opener without its closer is none."""
-    found, stack = {}, []
+    """Matched quotation marks and brackets of a block, opening place to closing place; an opener without its closer is none.
+
+    Each kind of opener has its own list of places in the stack, so that a closer finds its opener at once and nothing is scanned twice.
+    """
+    found: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = {}
+
+    def close(k: int, i: int) -> None:
+        found[stack[k][1]] = i
+        while len(stack) > k:
+            where[stack.pop()[0]].pop()
+
+    def push(c: str, i: int) -> None:
+        where.setdefault(c, []).append(len(stack))
+        stack.append((c, i))
+
     for m in QUOTES.finditer(text):
         i, c = m.start(), m[0]
         if c == '"':
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
+            held = where.get(c)
             before, after = text[i - 1 : i], text[i + 1 : i + 2]
             opens = (not before or before.isspace() or before in "(（[«„“「—–-:") and after and not after.isspace()
-            if k is not None and not (opens and after and after.isalnum() and text[stack[k][1] + 1 : i].strip() == ""):
-                found[stack[k][1]] = i
-                del stack[k:]
-            elif k is None and (opens or not before.isalnum()):
-                stack.append((c, i))
+            if held and not (opens and after.isalnum() and NEXT.search(text, stack[held[-1]][1] + 1, i) is None):
+                close(held[-1], i)
+            elif not held and (opens or not before.isalnum()):
+                push(c, i)
             continue
-        k = len(stack) - 1
-        while k >= 0 and OPEN_QUOTES.get(stack[k][0]) != c:
-            k -= 1
-        if k >= 0:
-            found[stack[k][1]] = i
-            del stack[k:]
+        last = max((held[-1] for o in OPENED_BY.get(c, ()) if (held := where.get(o))), default=None)
+        if last is not None:
+            close(last, i)
         elif c in OPEN_QUOTES:
-            stack.append((c, i))
+            push(c, i)
     return found
 
 
 def _abbreviation(before: str) -> str:
     """The word that ends at a full stop, with a spaced one-letter part before it ('z. B' is 'z.b')."""
-    m = WORD_BEFORE.search(before)
-    if not m:
+    if not before or before[-1].isspace():
         return ""
-    word = GLUED.split(m[0].rstrip("."))[-1].lower()
-    if len(word) <= 2 and (p := ONE_LETTER.search(before[: m.start()])):
+    token = before.split()[-1]
+    if len(token) > 2 and token.isalpha() and token < "\u3000":
+        return token.lower()
+    word = GLUED.split(BREAK.split(token)[-1].rstrip("."))[-1].lower()
+    if len(word) <= 2 and (p := ONE_LETTER.search(before[: len(before) - len(token)])):
         word = f"{p[1].lower()}.{word}"
     return word
 
 
-def _goes_on(word: str, rest: str) -> bool:
-    """Whether a lower-case word after a mark carries the sentence on: conjunctions, verbs, prepositions that open no phrase of their own."""
-    return word in CONJUNCTIONS or word in VERBS or (word in PREPOSITIONS and not LEADS.match(rest))
+def _opening(word: str, words: Words) -> float:
+    return words.opens.get(word.strip("\"'«„“”»「」『』¿¡()[]（）.,;:!?…").lower(), 0.0)
 
 
-def boundary(text: str, mark: str, at: int, end: int, quote: int | None, spaced: bool, match: dict[int, int]) -> float:
-    """How well a unit may end at ``end``: its closing word before the mark at ``at`` and the opening word of what follows.
+def boundary(text: str, mark: str, at: int, end: int, nxt: int, word: str, quote: int | None, spaced: bool, match: dict[int, int], words: Words) -> float:
+    """How well a unit may end at ``end`` and the next one open with ``word`` at ``nxt``: closing word, mark and opening word together.
 
     Single sentences may be in lower case throughout, so a small letter alone says little; closing and opening words decide.
     """
-    m = NEXT.search(text, end)
-    if not m:
-        return 6.0
-    word, rest = m[0], text[m.start() : m.start() + 40]
-    first = word.lstrip("\"'«„“「『¿¡([（")[:1] or word[:1]
-    bare = word.strip("\"'«„“”»「」『』¿¡()[]（）.,;:!?…").lower()
-    quoted = word[0] in "\"«„“「『¿¡"
-    if word[0] in "(（" and (close := match.get(m.start())) is not None:
+    c = word[0]
+    if c in ",;:，；、—–":
+        return NO
+    first = word.lstrip("\"'«„“「『¿¡([（")[:1] or c
+    quoted = c in "\"«„“「『¿¡"
+    if c in "(（" and (close := match.get(nxt)) is not None:
         quoted = text[close - 1] in MARKS  # a sentence of its own in brackets
     upper = first.isupper() or first.isdigit()
-    lower = word[0].islower() and not FILELIKE.match(word)
-    if word[0] in ",;:，；、—–":
-        return NO
+    lower = c.islower() and not FILELIKE.match(word)
     if quote is not None:  # the mark stands inside the quotation or bracket that closes here
-        if CJK.match(first) and first in TAG_KANA:
+        if first in TAG_KANA:
             return NO
-        return NO if lower and _goes_on(bare, rest) else 2.0 if lower else 4.0
+        if lower:
+            o = _opening(word, words)
+            return NO if o <= -1 else 1.0 + o
+        return 4.0
     if mark[0] == "…" or mark.endswith("…") or mark.endswith(".."):
         return 3.0 if upper or quoted else -6.0
     if mark != ".":
-        return 8.0 if not lower or mark[-1] not in "!?؟" or not _goes_on(bare, rest) else -2.0
+        return 8.0 if not lower or mark[-1] not in "!?؟" else 4.0 + 2 * min(0.0, _opening(word, words))
     before = text[max(0, at - 40) : at]
     abbr = _abbreviation(before)
     tail = abbr.rsplit(".", 1)[-1]
+    either = abbr in EITHER
     if not spaced:  # a full stop with a letter right after it
-        known = len(tail) == 1 and tail.isalpha() and abbr not in MAYBE
-        return NO if known or abbr in TITLES or abbr in NEVER else 3.0
-    measured = MEASURE.search(before) is not None and abbr not in MAYBE  # '7 ms.', '9 s.'
-    if abbr in TITLES and not measured:
-        return NO
-    if abbr in NEVER and not measured:
-        return -6.0 if abbr in ("s", "тыс") and (quoted or upper) else NO
-    if first.isdigit() and abbr in BEFORE_NUMBER:
-        return NO
-    if abbr in MAYBE:
-        if abbr in BEFORE_NUMBER:  # min, max, no: plain words unless a number follows
-            return 4.0 if upper or quoted else 3.0 if bare in OPENERS and bare not in PREPOSITIONS else -6.0
-        if lower:
-            ends = abbr in ("etc", "usw", "a.m", "p.m")
-            return -8.0 if _goes_on(bare, rest) or not (ends or bare in OPENERS) else 3.0
-        return 4.0 if upper or quoted or FILELIKE.match(word) else -3.0
-    if len(tail) == 1 and tail.isalpha() and not CJK.match(tail) and not measured:
-        return NO
+        known = len(tail) == 1 and tail.isalpha() and not either
+        return NO if known or abbr in TITLES or abbr in WITHIN else 3.0
+    listed = abbr in TITLES or abbr in WITHIN or abbr in BEFORE_NUMBER
+    if listed or len(tail) == 1:
+        measured = not either and MEASURE.search(before) is not None  # '7 ms.', '9 s.'
+        if not measured:
+            if abbr in TITLES:
+                return NO
+            if first.isdigit() and abbr in BEFORE_NUMBER:
+                return NO
+            if abbr in WITHIN:
+                return NO if not (quoted or upper) else max(NO, -6.0 + words.closes.get(abbr, 0.0))
+            if not either and tail.isalpha() and len(tail) == 1 and not CJK.match(tail):
+                return NO
+    if either or abbr in BEFORE_NUMBER:
+        plain = abbr in BEFORE_NUMBER  # min, max, no, dec: plain words unless a number follows
+        if upper or quoted or not lower:
+            dated = not plain and word.strip(".,;:!?").lower() in WEEKDAYS_AND_MONTHS  # 'at 5 p.m. Monday'
+            return -4.0 if dated else 4.0 if upper or quoted or FILELIKE.match(word) else -3.0
+        return 2.0 * _opening(word, words) + (0.0 if plain else max(-4.0, words.closes.get(abbr, words.closes.get(tail, -1.0))))
     if tail.isdigit() and not first.isdigit():
         lead = ORDINAL.search(before)
         if lead and lead[1].lower() in ORDINAL_LEAD:
             return NO
-    return 3.0 if lower else 5.0
+        if lower and word in GOING_ON and _opening(word, words) < -1:
+            return NO  # 'version 3.2. was'
+    closing = words.closes.get(abbr, 0.0)
+    return (3.0 if lower else 5.0) + (2 * closing if closing < -2 else 0.0)
 
 
-def candidates(text: str) -> tuple[list[tuple[int, float, int | None]], dict[int, int]]:
-    """Places where a unit may end: place, score, and the opening place of the quotation that ends there with a mark inside."""
-    match = pairs(text)
-    opened = {v: k for k, v in match.items()}
-    cover = sorted(match.items())
+def candidates(text: str, words: Words) -> tuple[list[tuple[int, int, float, int | None]], dict[int, int]]:
+    """Places where a unit may end: place, start of what follows, score, and the opening place of the quotation that ends there with a mark inside."""
+    match = pairs(text) if QUOTES.search(text) else {}
+    opened = set(match.values())
     out, k, reach = [], 0, -1
     closed_by: list[tuple[int, int]] = []
     # outermost pairs, as stretches that must not be split
-    for a, b in cover:
+    for a, b in sorted(match.items()):
         if a > reach:
             closed_by.append((a, b))
             reach = b
+    size = len(text)
+
+    def put(end: int, quote: int | None, at: int, mark: str, spaced: bool) -> None:
+        if (m := NEXT.search(text, end)) is None:
+            return  # the end of the block
+        word = m[0]
+        if mark == "." and spaced and quote is None and word[0].isupper():
+            abbr = _abbreviation(text[max(0, at - 40) : at])
+            if len(abbr) > 2 and abbr not in LISTED and not abbr[-1].isdigit() and (abbr[-2] != "."):
+                closing = words.closes.get(abbr, 0.0)
+                out.append((end, m.start(), 5.0 + (2 * closing if closing < -2 else 0.0), None))
+                return
+        s = boundary(text, mark, at, end, m.start(), word, quote, spaced, match, words)
+        if s > NO:
+            out.append((end, m.start(), s, quote))
+
     for m in RUN.finditer(text):
         at, end, mark = m.start(), m.end(), m[0]
-        if mark == "." and ((c := text[end : end + 1]).isdigit() or c.islower()):
+        if mark == "." and end < size and ((c := text[end]).isdigit() or c.islower()):
             continue  # decimals, versions, file names
         while k < len(closed_by) and closed_by[k][1] < at:
             k += 1
-        inside = closed_by[k] if k < len(closed_by) and closed_by[k][0] < at < closed_by[k][1] else None
         quote = None
-        if inside:
-            stop = end
-            while stop <= inside[1] and (stop == inside[1] or text[stop] in CLOSERS + "    "):
-                if stop == inside[1]:
-                    break
-                stop += 1
-            if stop != inside[1] or text[end:stop].strip("    " + CLOSERS):
+        if k < len(closed_by) and closed_by[k][0] < at:
+            quote, stop = closed_by[k]
+            if stop > end and text[end:stop].strip(" \u00a0\u202f" + CLOSERS) if stop - end < 12 else stop > end:
                 continue
-            end, quote = inside[1] + 1, inside[0]
-            while end < len(text) and text[end] in CLOSERS and end not in match:
+            end = stop + 1
+            while end < size and text[end] in CLOSERS and end not in match:
                 end += 1
-            if (more := RUN.match(text, end)) is not None:  # «...!». takes the outer mark as its own
+            if RUN.match(text, end) is not None:  # «...!». takes the outer mark as its own
                 continue
         else:
-            while end < len(text) and text[end] in CLOSERS and end not in match and end in opened:
+            while end < size and text[end] in CLOSERS and end not in match and end in opened:
                 end += 1
         nxt = text[end : end + 1]
         spaced = not nxt or nxt.isspace()
-        prev = text[at - 1 : at]
         if not spaced:
+            prev = text[at - 1 : at]
             if mark[-1] in FULL + "…।":
-                if mark[-1] in "．" and nxt.isdigit() and prev.isdigit():
+                if mark[-1] == "．" and nxt.isdigit() and prev.isdigit():
                     continue
             elif mark[-1] in "!?؟" and (nxt.isalnum() or nxt in "\"«„“「(¿¡['[*#"):
                 pass
@@ -280,35 +351,92 @@ def candidates(text: str) -> tuple[list[tuple[int, float, int | None]], dict[int
                 pass
             else:
                 continue
-        elif mark == "." and (not prev or prev.isspace()):
+        elif mark == "." and (at == 0 or text[at - 1].isspace()):
             continue
-        out.append((end, boundary(text, mark, at, end, quote, spaced, match), quote))
+        put(end, quote, at, mark, spaced)
+    k = 0
     for m in THAI_SPACE.finditer(text):
-        if not any(a < m.start() < b for a, b in closed_by):
-            out.append((m.start(), 20.0, None))
-    return sorted(out), match
-
-
-def span_score(text: str, start: int, cand: tuple[int, float, int | None], match: dict[int, int]) -> float:
-    """The score of the span from ``start`` to a candidate: its own end, its length and the quotation it opens with."""
-    end, score, quote = cand
-    if end - start < 4 and text[start : end - 1].isalnum() and not CJK.search(text, start, end):
-        score -= 2.0
-    if end - start > TOO_LONG:
-        score -= (end - start - TOO_LONG) / 400
-    if quote is not None:
-        lead = text[start:quote].rstrip()
-        leads = not lead.strip("\"'*_>-") or lead[-1] in MARKS or (lead[-1] in CLOSERS and lead.rstrip(CLOSERS)[-1:] in MARKS)
-        m = NEXT.search(text, end)
-        if text[quote] in "(（[【":
-            if not leads and m and m[0][0].islower():
-                score -= 10.0  # a bracket within a sentence that goes on
-        elif leads and m and m[0][0] not in "\"«„“「『¿¡([（" and text[start:end].rstrip(CLOSERS + " \u00a0\u202f")[-1:] in "?!؟？！":
-            score -= 14.0  # "…?" somebody asked: the sentence goes on after the quotation it opens with
-    return score
-
-
-def units(text: str) -> list[tuple[int, int]]:
+        while k < len(closed_by) and closed_by[k][1] < m.start():
+            k += 1
+        if k == len(closed_by) or closed_by[k][0] > m.start():
+            out.append((m.start(), m.end(), 20.0, None))
+    out.sort(key=lambda c: c[0])
+    return out, match
+
+
+def quotation_score(text: str, quote: int, end: int, nxt: int, leads: bool) -> float:
+    """The score of a span whose last quotation opens at ``quote`` and holds the closing mark; ``leads``: the span opens with that quotation, or the
+    quotation stands after another mark."""
+    c = text[nxt]
+    if text[quote] in "(（[【":
+        return -10.0 if not leads and c.islower() else 0.0  # a bracket within a sentence that goes on
+    if leads and c not in "\"«„“「『¿¡([（":
+        k = end
+        while k > quote and text[k - 1] in CLOSERS + " \u00a0\u202f":
+            k -= 1
+        return -14.0 if text[k - 1] in "?!؟？！" else 0.0  # "…?" somebody asked: the sentence goes on after the quotation it opens with
+    return 0.0
+
+
+def chain(text: str, cands: list[tuple[int, int, float, int | None]]) -> list[int]:
+    """The places where the best chain of spans is cut.
+
+    A span from start i to candidate j scores the boundary at j, the quotation it ends with, less 2 for a bare fragment and, beyond LONG
+    characters, its excess over SLOPE.  Of all earlier starts only two can be best: the one that is best within LONG characters, which a
+    queue holds, and the one best beyond, a running maximum, since there the loss grows by the same amount for each.  So all
+    spans of any length are weighed in linear time.
+    """
+    n = len(cands)
+    base = [0.0] * (n + 1)  # best sum up to start i
+    back = [0] * (n + 1)
+    near: deque[int] = deque()  # earlier starts within LONG, their base falling
+    far, far_at = float("-inf"), -1  # best of base + start / SLOPE beyond
+    starts = [0, *(c[1] for c in cands)]
+    held = 0  # starts up to here have gone into ``near``
+    gone = 0  # and up to here have left LONG
+    for j in range(n + 1):
+        end, nxt, score, quote = cands[j] if j < n else (len(text), None, 4.0, None)
+        while held < j:
+            while near and base[near[-1]] <= base[held]:
+                near.pop()
+            near.append(held)
+            held += 1
+        while gone < j and starts[gone] < end - LONG:
+            if base[gone] + starts[gone] / SLOPE > far:
+                far, far_at = base[gone] + starts[gone] / SLOPE, gone
+            gone += 1
+        while near and near[0] < gone:
+            near.popleft()
+        start = starts[j]
+        leads = inner = False
+        if quote is not None:
+            k = quote  # what stands before the quotation, without markup: a mark, or the span's own start
+            while k > 0 and text[k - 1] in "\"'*_>- \t\n":
+                k -= 1
+            leads = k <= start
+            while k > 0 and text[k - 1] in CLOSERS:
+                k -= 1
+            inner = k > 0 and text[k - 1] in MARKS
+            leads = leads or inner
+        fragment = end - start < SHORT and text[start : end - 1].isalnum() and not CJK.search(text, start, end)
+        best = base[j] - (2.0 if fragment else 0.0) - max(0, end - start - LONG) / SLOPE + (quotation_score(text, quote, end, nxt, leads) if quote is not None else 0.0)
+        at = j
+        other = quotation_score(text, quote, end, nxt, inner) if quote is not None else 0.0
+        if near and base[near[0]] + other > best:
+            best, at = base[near[0]] + other, near[0]
+        if far_at >= 0 and far - (end - LONG) / SLOPE + other > best:
+            best, at = far - (end - LONG) / SLOPE + other, far_at
+        back[j] = at
+        if j < n:
+            base[j + 1] = best + score
+    cuts, j = [], n
+    while back[j] > 0:
+        j = back[j] - 1
+        cuts.append(cands[j][0])
+    return cuts[::-1]
+
+
+def units(text: str, words: Words = PRIOR) -> list[tuple[int, int]]:
     """``start, end`` of each unit in code points."""
     out: list[tuple[int, int]] = []
 
@@ -321,44 +449,76 @@ def units(text: str) -> list[tuple[int, int]]:
             out.append((a, b))
 
     for start, end, head, whole in blocks(text):
-        if whole:
-            put(start, end)
-            continue
-        body = text[head:end]
-        cands, match = candidates(body)
-        places = [c for c in cands if c[1] > NO and NEXT.search(body, c[0])]
-        if not places:
-            put(start, end)
-            continue
-        # best[j]: best sum of a chain of spans that ends at candidate j; the last span runs to the end of the block
-        ends = [*places, (len(body), 4.0, None)]
-        starts = [0] + [c[0] + len(body[c[0] :]) - len(body[c[0] :].lstrip()) for c in places]
-        best, back = [float("-inf")] * len(ends), [0] * len(ends)
-        for j, c in enumerate(ends):
-            for i in range(j, max(-1, j - WINDOW), -1):  # the span from after candidate i - 1 to candidate j
-                base = 0.0 if i == 0 else best[i - 1]
-                if base == float("-inf"):
-                    continue
-                s = base + span_score(body, starts[i], c, match)
-                if s > best[j]:
-                    best[j], back[j] = s, i
-        cuts, j = [], len(ends) - 1
-        while True:
-            cuts.append(j)
-            if back[j] == 0:
-                break
-            j = back[j] - 1
-        a = start
-        for j in reversed(cuts):
-            put(a, head + ends[j][0])
-            a = head + ends[j][0]
+        if not whole:
+            body = text[head:end]
+            cands, _ = candidates(body, words)
+            if cands:
+                a = start
+                for cut in chain(body, cands):
+                    put(a, head + cut)
+                    a = head + cut
+                put(a, end)
+                continue
+        put(start, end)
     return out
 
 
-def sentence_units(documents: DataFrame) -> DataFrame:
-    """``doc_id, start_char, end_char`` of every unit.  Null, empty and blank texts have none."""
+# Counting in all texts.  Java patterns over a text with a blank line behind it; only words of scripts with small letters matter.
+_REST = r"[\p{L}\p{M}'’\-]{0,23}"
+OPENING = r"(?:\A\s*|\n[ \t]*\n\s*|\n[ \t]*(?:[-*+•‣–]|\d{1,3}[.)])[ \t]+|[!?][ \t\n]+)[\"«„“(\[¿¡]*([\p{Lu}\p{Ll}]" + _REST + ")"
+INSIDE = r"(?<=[\p{L}\p{M}\p{N},] )(\p{Ll}" + _REST + ")"
+STOPPED = r"(?<![\p{L}\p{M}\p{N}.\-])[\p{Lu}\p{Ll}][\p{L}\p{M}.\-]{0,11}\.(?:[\"”»)\]]*[ \t]*\n[ \t]*[\n\-*+•‣–#]|[,;:]|[ \t]+\n?[ \t]*(?=[\p{Ll}\p{N}])|\n[ \t]*(?=[\p{Ll}\p{N}]))"
+LEAST, MOST_WORDS = 8, 50_000
+
+
+def count_words(documents: DataFrame) -> DataFrame:
+    """``word, o, i, e, m`` over all texts: how often a word opens a block or follows a sure mark, stands within, closes a block with a full stop, or
+    has a comma, number or small letter after its full stop.  JVM expressions, counted in the tasks before the shuffle."""
+
+    text = F.concat("text", F.lit("\n\n"))
+    as_ = lambda kind, word: F.struct(kind.alias("kind"), F.lower(word).alias("word"))
+    opens = F.transform(F.regexp_extract_all(text, F.lit(OPENING), F.lit(1)), lambda w: as_(F.lit("o"), w))
+    within = F.transform(F.regexp_extract_all(text, F.lit(INSIDE), F.lit(1)), lambda w: as_(F.lit("i"), w))
+    ends = lambda w: F.when(w.rlike(r"\n[ \t]*[\n\-*+•‣–#]"), "e").otherwise("m")
+    stopped = F.transform(F.regexp_extract_all(text, F.lit(STOPPED), F.lit(0)), lambda w: as_(ends(w), F.regexp_extract(w, r"^([\p{L}\p{M}.\-]+)\.", 1)))
+    each = documents.filter("text is not null").select(F.explode(F.concat(opens, within, stopped)).alias("x"))
+    return each.groupBy(F.col("x.word").alias("word")).agg(*[F.count(F.when(F.col("x.kind") == k, 1)).alias(k) for k in "oiem"])
+
+
+def learned(documents: DataFrame, least: int = LEAST, most: int = MOST_WORDS) -> Words:
+    """Log-odds from the counts of all texts.  The table is bounded: the ``most`` commonest words that occur ``least`` times; others have none.
+
+    Opening: rate among openers over rate within, smoothed towards what is given beforehand.  Closing: likelihood of the word's ends at blocks
+    under the rate of all words against that of an abbreviation, which hardly ever ends one.
+    """
+    counts = count_words(documents)
+    kept = counts.cache()
+    try:
+        o, i, e, m = (x or 0 for x in kept.agg(*[F.sum(k) for k in "oiem"]).first())
+        rows = kept.filter(F.col("o") + F.col("i") + F.col("e") + F.col("m") >= least).orderBy(F.desc(F.col("o") + F.col("i") + F.col("e") + F.col("m")), "word").limit(most).toPandas()
+    finally:
+        kept.unpersist()
+    import numpy as np
+
+    prior = rows["word"].map(PRIOR.opens).fillna(0.0).to_numpy(float)
+    n = (rows["o"] + rows["i"]).to_numpy(float)
+    odds = np.log((rows["o"] + 0.5) / (o + 1)) - np.log((rows["i"] + 0.5) / (i + 1))
+    opens = np.clip((n * odds + 10 * prior) / (n + 10), -4, 4)
+    rate, rare = min(0.9, max(0.02, (e + 1) / (e + m + 4))), 0.005
+    closes = np.clip(rows["e"] * np.log(rate / rare) + rows["m"] * np.log((1 - rate) / (1 - rare)), -6, 2)
+    return Words(dict(zip(rows["word"], opens)), {w: v for w, v in zip(rows["word"], closes) if v})
+
+
+def sentence_units(documents: DataFrame, words: Words | None = None) -> DataFrame:
+    """``doc_id, start_char, end_char`` of every unit.  Null, empty and blank texts have none; a document without id has no units.
+
+    ``words``: how words open and close sentences, by default counted in these documents.
+    """
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(words if words is not None else learned(documents))  # at most MOST_WORDS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         ids, starts, ends = [], [], []
 
         def flush() -> pa.RecordBatch:
@@ -368,8 +528,10 @@ def sentence_units(documents: DataFrame) -> DataFrame:
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for a, z in units(text):
-                    ids.append(doc), starts.append(a), ends.append(z)
+                found = units(text, known)
+                ids.extend([doc] * len(found))
+                starts.extend(a for a, _ in found)
+                ends.extend(z for _, z in found)
                 if len(ids) >= 50_000:
                     yield flush()
         if ids:
