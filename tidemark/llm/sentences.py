@@ -15,7 +15,7 @@ Texts are cut one at a time, in time linear in their length.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -463,26 +463,50 @@ def units(text: str, words: Words = PRIOR) -> list[tuple[int, int]]:
     return out
 
 
-# Counting in all texts.  Java patterns over a text with a blank line behind it; only words of scripts with small letters matter.
-_REST = r"[\p{L}\p{M}'’\-]{0,23}"
-OPENING = r"(?:\A\s*|\n[ \t]*\n\s*|\n[ \t]*(?:[-*+•‣–]|\d{1,3}[.)])[ \t]+|[!?][ \t\n]+)[\"«„“(\[¿¡]*([\p{Lu}\p{Ll}]" + _REST + ")"
-INSIDE = r"(?<=[\p{L}\p{M}\p{N},] )(\p{Ll}" + _REST + ")"
-STOPPED = r"(?<![\p{L}\p{M}\p{N}.\-])[\p{Lu}\p{Ll}][\p{L}\p{M}.\-]{0,11}\.(?:[\"”»)\]]*[ \t]*\n[ \t]*[\n\-*+•‣–#]|[,;:]|[ \t]+\n?[ \t]*(?=[\p{Ll}\p{N}])|\n[ \t]*(?=[\p{Ll}\p{N}]))"
+# Counting in all texts.  Only words of scripts with small letters matter.
+_WORD = r"[^\W\d_][\w'’\-]{0,23}"
+OPENING = re.compile(r"(?:\A\s*|\n[ \t]*\n\s*|\n[ \t]*(?:[-*+•‣–]|\d{1,3}[.)])[ \t]+|[!?][ \t\n]+)[\"«„“(\[¿¡]*(" + _WORD + ")")
+STOPPED = re.compile(r"\.(?:([\"”»)\]]*[ \t]*(?:\Z|\n[ \t]*(?:\n|\Z|[-*+•‣–#])))|[,;:]|(?:[ \t]+\n?[ \t]*|\n[ \t]*)([^\W_]))")
+EDGES = "\"'«„“”»([{¿¡)]}.,;:!?…"
+FLUSH = 500_000  # words a task holds before it hands its counts on
 LEAST, MOST_WORDS = 8, 50_000
 
 
 def count_words(documents: DataFrame) -> DataFrame:
-    """``word, o, i, e, m`` over all texts: how often a word opens a block or follows a sure mark, stands within, closes a block with a full stop, or
-    has a comma, number or small letter after its full stop.  JVM expressions, counted in the tasks before the shuffle."""
-
-    text = F.concat("text", F.lit("\n\n"))
-    as_ = lambda kind, word: F.struct(kind.alias("kind"), F.lower(word).alias("word"))
-    opens = F.transform(F.regexp_extract_all(text, F.lit(OPENING), F.lit(1)), lambda w: as_(F.lit("o"), w))
-    within = F.transform(F.regexp_extract_all(text, F.lit(INSIDE), F.lit(1)), lambda w: as_(F.lit("i"), w))
-    ends = lambda w: F.when(w.rlike(r"\n[ \t]*[\n\-*+•‣–#]"), "e").otherwise("m")
-    stopped = F.transform(F.regexp_extract_all(text, F.lit(STOPPED), F.lit(0)), lambda w: as_(ends(w), F.regexp_extract(w, r"^([\p{L}\p{M}.\-]+)\.", 1)))
-    each = documents.filter("text is not null").select(F.explode(F.concat(opens, within, stopped)).alias("x"))
-    return each.groupBy(F.col("x.word").alias("word")).agg(*[F.count(F.when(F.col("x.kind") == k, 1)).alias(k) for k in "oiem"])
+    """``word, o, i, e, m`` over all texts: how often a word opens a block or follows a sure mark, stands in small letters anywhere, closes a block
+    with a full stop, or has a comma, number or small letter after its full stop.  Counted in the tasks before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opens, tokens, ends, goes = Counter(), Counter(), Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out: dict[str, list[int]] = {}
+            for k, counter in ((0, opens), (1, tokens), (2, ends), (3, goes)):
+                for w, n in counter.items():
+                    w = w.strip(EDGES) if k == 1 else w
+                    if w[:1].islower() and len(w) <= 24 and w != "":
+                        out.setdefault(w, [0, 0, 0, 0])[k] += n
+                counter.clear()
+            cols = [pa.array(list(out)), *(pa.array([n[k] for n in out.values()], pa.int64()) for k in range(4))]
+            return pa.RecordBatch.from_arrays([cols[0].cast(pa.string()), *cols[1:]], names=["word", "o", "i", "e", "m"])
+
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                tokens.update(text.split())
+                opens.update(map(str.lower, OPENING.findall(text)))
+                for m in STOPPED.finditer(text):
+                    if (after := m[2]) is None or after.islower() or after.isdigit():
+                        at = m.start()
+                        before = text[max(0, at - 13) : at].split()
+                        word = before[-1].lstrip(EDGES).lower() if before and text[at - 1] > " " else ""
+                        if 0 < len(word) <= 12:
+                            (goes if m[1] is None else ends)[word] += 1
+            if len(tokens) + len(opens) + len(ends) + len(goes) > FLUSH:
+                yield flush()
+        yield flush()
+
+    texts = documents.select("text").filter("text is not null")
+    return texts.mapInArrow(run, "word string, o bigint, i bigint, e bigint, m bigint").groupBy("word").agg(*[F.sum(k).alias(k) for k in "oiem"])
 
 
 def learned(documents: DataFrame, least: int = LEAST, most: int = MOST_WORDS) -> Words:
