@@ -33,23 +33,32 @@ def arrivals(df: DataFrame, id_col: str, event: str, arrival: str, group: str, s
     )
 
 
-def mark_passes(records: DataFrame, bound_us: int, period_us: int = DAY) -> DataFrame:
-    """``source, k, t``: when the low watermark of a source was first shown to lie in the period beginning at k.
+def progress(records: DataFrame, bound_us: int = 0, period_us: int = DAY, bucket_us: int = HOUR) -> DataFrame:
+    """``source, k, b, period_us, first_us, last_us``: the records reduced to all that closings ask of them, in one pass.
 
-    The mark reaches an end with the first arrival whose own event time, less the bound, does.  Ends are multiples of the period, so the
-    earliest arrival per source and period of the mark is exact, and a source with a third of all rows costs no more than any other.
+    One row per source, period of the mark (k), bucket of the arrival (b) and period of the event, with the first and last arrival; a source
+    with a third of all rows costs no more than any other.
     """
     mark = F.least("event_us", "arrival_us") - F.lit(bound_us)
-    return records.groupBy("source", floor_to(mark, period_us).alias("k")).agg(F.min("arrival_us").alias("t"))
+    by = ["source", floor_to(mark, period_us).alias("k"), floor_to(F.col("arrival_us"), bucket_us).alias("b"), floor_to(F.col("event_us"), period_us).alias("period_us")]
+    return records.groupBy(*by).agg(F.min("arrival_us").alias("first_us"), F.max("arrival_us").alias("last_us"))
+
+
+def mark_passes(seen: DataFrame) -> DataFrame:
+    """``source, k, pass_us``: when the low watermark of a source was first shown to lie in the period beginning at k.
+
+    The mark reaches an end with the first arrival whose own event time, less the bound, does.  Ends are multiples of the period, so the
+    earliest arrival per source and period of the mark is exact.
+    """
+    return seen.groupBy("source", "k").agg(F.min("first_us").alias("pass_us"))
 
 
-def silences(records: DataFrame, idle_us: int, bucket_us: int = HOUR) -> DataFrame:
+def silences(seen: DataFrame, idle_us: int) -> DataFrame:
     """``source, at_us, next_us``: consecutive arrivals of a source that are more than ``idle_us`` apart; next_us is FOREVER after the last.
 
-    Pre-aggregated to one row per source and bucket before the window; buckets are no longer than the timeout, so none hides a silence.
+    Buckets are no longer than the timeout, so none hides a silence.
     """
-    bucket = max(1, min(bucket_us, idle_us))
-    buckets = records.groupBy("source", floor_to(F.col("arrival_us"), bucket).alias("b")).agg(F.max("arrival_us").alias("at_us"), F.min("arrival_us").alias("first_us"))
+    buckets = seen.groupBy("source", "b").agg(F.max("last_us").alias("at_us"), F.min("first_us").alias("first_us"))
     w = Window.partitionBy("source").orderBy("at_us")
     return buckets.select("source", "at_us", F.coalesce(F.lead("first_us").over(w), F.lit(FOREVER)).alias("next_us")).filter(F.col("next_us") - F.col("at_us") > F.lit(idle_us))
 
@@ -59,8 +68,12 @@ def calendar_punctuations(records: DataFrame, period_us: int = DAY, delay_us: in
 
     One row per source and period, as a stream of punctuations carries them; the periods are a calendar, one array of days.
     """
-    ends = records.select(F.collect_set(floor_to(F.col("event_us"), period_us) + F.lit(period_us))).scalar()
-    return records.select("source").distinct().select("source", F.explode(ends).alias("asserted_us")).withColumn("at_us", F.col("asserted_us") + F.lit(delay_us))
+    return _calendar(progress(records, 0, period_us), period_us, delay_us)
+
+
+def _calendar(seen: DataFrame, period_us: int, delay_us: int) -> DataFrame:
+    ends = seen.select(F.collect_set(F.col("period_us") + F.lit(period_us))).scalar()
+    return seen.select("source").distinct().select("source", F.explode(ends).alias("asserted_us")).withColumn("at_us", F.col("asserted_us") + F.lit(delay_us))
 
 
 def closings(records: DataFrame, period_us: int = DAY, bound_us: int | None = None, punctuations: DataFrame | None = None, idle_us: int | None = None, bucket_us: int = HOUR) -> DataFrame:
@@ -75,19 +88,24 @@ def closings(records: DataFrame, period_us: int = DAY, bound_us: int | None = No
     pooled: the closing of E is the greatest over all steps that begin before E.  As min(a, max(b, E)) = max(min(a, b), min(a, E)), two
     running maxima over the steps, one row per period, suffice; no source is held against every period.
     """
+    return _closings(progress(records, bound_us or 0, period_us, min(bucket_us, idle_us or bucket_us)), period_us, bound_us is not None, punctuations, idle_us)
+
+
+def _closings(seen: DataFrame, period_us: int, marked: bool, punctuations: DataFrame | None, idle_us: int | None) -> DataFrame:
     end, forever = F.col("period_us") + F.lit(period_us), F.lit(FOREVER)
+    sources = seen.select("source").distinct()
     none = F.lit(None).cast("bigint")
     # every source takes part, also one without mark or silence: its row at k = -FOREVER is never passed
-    rows = records.select("source").distinct().select("source", (-forever).alias("k"), none.alias("pass_us"), none.alias("idle_us"))
-    if bound_us is not None:
-        rows = rows.unionByName(mark_passes(records, bound_us, period_us).select("source", "k", F.col("t").alias("pass_us"), none.alias("idle_us")))
+    rows = sources.select("source", (-forever).alias("k"), none.alias("pass_us"), none.alias("idle_us"))
+    if marked:
+        rows = rows.unionByName(mark_passes(seen).select("source", "k", "pass_us", none.alias("idle_us")))
     if punctuations is not None:
         # only assertions of sources that have records count; of those within one period the earliest is enough
         said = punctuations.dropna().groupBy("source", floor_to(F.col("asserted_us"), period_us).alias("k")).agg(F.min("at_us").alias("pass_us"))
-        rows = rows.unionByName(said.join(records.select("source").distinct(), "source", "left_semi").select("source", "k", "pass_us", none.alias("idle_us")))
+        rows = rows.unionByName(said.join(sources, "source", "left_semi").select("source", "k", "pass_us", none.alias("idle_us")))
     if idle_us is not None:
         # a silence [at + idle, next) passes every end before its own end, hence k = next - 1
-        rows = rows.unionByName(silences(records, idle_us, bucket_us).select("source", (F.col("next_us") - 1).alias("k"), none.alias("pass_us"), (F.col("at_us") + F.lit(idle_us)).alias("idle_us")))
+        rows = rows.unionByName(silences(seen, idle_us).select("source", (F.col("next_us") - 1).alias("k"), none.alias("pass_us"), (F.col("at_us") + F.lit(idle_us)).alias("idle_us")))
     # The streams of a source are merged by k and read backwards: a step is what is still to come at or after k; it holds for ends after the k before.
     w = Window.partitionBy("source").orderBy(F.desc("k")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     steps = rows.select("source", "k", F.coalesce(F.min("pass_us").over(w), forever).alias("a"), F.coalesce(F.min("idle_us").over(w), forever).alias("b"))
@@ -97,7 +115,7 @@ def closings(records: DataFrame, period_us: int = DAY, bound_us: int | None = No
     # an end E lies after a step's begin where floor(begin) + period <= E; steps are counted per period before anything is ordered
     at = F.when(F.col("after_us") <= -forever, -forever).when(F.col("after_us") >= forever - 1, forever).otherwise(floor_to(F.col("after_us"), period_us) + F.lit(period_us))
     begin = pooled.groupBy(at.alias("e")).agg(F.max(F.least("a", "b")).alias("both"), F.max("a").alias("mark"), none.alias("period_us"))
-    periods = records.select(floor_to(F.col("event_us"), period_us).alias("period_us")).distinct()
+    periods = seen.select("period_us").distinct()
     calendar = begin.unionByName(periods.select(end.alias("e"), none.alias("both"), none.alias("mark"), "period_us"))
     up = Window.orderBy("e").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # one row a day, a calendar
     done = calendar.withColumn("closed_us", F.greatest(F.max("both").over(up), F.least(F.col("e"), F.max("mark").over(up)))).filter("period_us is not null")
@@ -130,7 +148,8 @@ def _by_calendar(records: DataFrame) -> DataFrame:
 
     A mark reaches an end only after it, so where every source punctuates at the end itself, that is when the period closes.
     """
-    return classify(records, closings(records, bound_us=BOUND, punctuations=calendar_punctuations(records), idle_us=IDLE))
+    seen = progress(records, BOUND)
+    return classify(records, _closings(seen, DAY, True, _calendar(seen, DAY, 0), IDLE))
 
 
 def found(episodes: DataFrame) -> DataFrame:
