@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import DAY, HOUR, day_text, floor_to, micros
+from tidemark.session import shared_dir
 
 FOREVER = 2**62
 
@@ -37,11 +38,12 @@ def progress(records: DataFrame, bound_us: int = 0, period_us: int = DAY, bucket
     """``source, k, b, period_us, first_us, last_us``: the records reduced to all that closings ask of them, in one pass.
 
     One row per source, period of the mark (k), bucket of the arrival (b) and period of the event, with the first and last arrival; a source
-    with a third of all rows costs no more than any other.
+    with a third of all rows costs no more than any other.  The table is small and read several times, so it is kept in the shared folder.
     """
+    shared_dir(records.sparkSession)
     mark = F.least("event_us", "arrival_us") - F.lit(bound_us)
     by = ["source", floor_to(mark, period_us).alias("k"), floor_to(F.col("arrival_us"), bucket_us).alias("b"), floor_to(F.col("event_us"), period_us).alias("period_us")]
-    return records.groupBy(*by).agg(F.min("arrival_us").alias("first_us"), F.max("arrival_us").alias("last_us"))
+    return records.groupBy(*by).agg(F.min("arrival_us").alias("first_us"), F.max("arrival_us").alias("last_us")).checkpoint()
 
 
 def mark_passes(seen: DataFrame) -> DataFrame:
