@@ -69,17 +69,49 @@ def test_blocks(spark, shares):
 
 def test_packing_covers_every_token_once(spark):
     counts = mixing.token_counts(table(spark, SF, "documents"))
-    for bucket_docs in (20_000, 13):
-        old, mixing.DOCS_PER_BUCKET = mixing.DOCS_PER_BUCKET, bucket_docs
-        try:
-            spans = mixing.packed(counts, counts.count(), 64).cache()
-        finally:
-            mixing.DOCS_PER_BUCKET = old
+    first = None
+    for per_bucket in (20_000, 13):
+        spans = mixing.packed(counts, counts.count(), 64, per_bucket).cache()
         back = spans.groupBy("source", "doc_id").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("t"), F.min("from_token").alias("a"), F.max("to_token").alias("z"))
         want = counts.filter("source is not null and n_tokens > 0")
         assert back.count() == want.count() and back.join(want, "doc_id").filter("t <> n_tokens or a <> 0 or z <> n_tokens").count() == 0
         full = spans.groupBy("source", "block").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("t"))
         assert full.filter("t > 64").count() == 0 and full.filter("t < 64").count() <= full.select("source").distinct().count()
+        first = first or sorted(map(tuple, spans.collect()))
+        assert sorted(map(tuple, spans.collect())) == first  # blocks do not depend on the buckets
+
+
+def test_quotas_against_plain_python(spark, shares):
+    """Quotas and shares recomputed from the token counts alone, without any of the operator's steps."""
+    counts: dict[str, list[int]] = {}
+    for r in mixing.token_counts(table(spark, SF, "documents")).collect():
+        counts.setdefault(r["source"], []).append(r["n_tokens"])
+    total = sum(map(sum, counts.values()))
+    want = {}
+    for r in table(spark, SF, "mix_targets").collect():
+        source = r["source"].strip().lower()
+        tokens = sum(counts.get(source, []))
+        blocks = -(-tokens // mixing.BLOCK)
+        size = r["target_share"] * r["size_factor"] * total
+        want[r["mix_name"], source] = min(round(size * blocks / tokens), r["max_repeats"] * blocks) if tokens else 0, size, tokens
+    assert {(r["mix_name"], r["source"]): r["blocks"] for r in shares} == {k: v[0] for k, v in want.items()}
+    for r in shares:
+        n, size, tokens = want[r["mix_name"], r["source"]]
+        assert math.isclose(r["wanted_tokens"], size) and r["available_tokens"] == tokens and abs(r["mixed_tokens"] - n * mixing.BLOCK) <= mixing.BLOCK * r["max_repeats"]
+    for mix in {k[0] for k in want}:
+        all_ = sum(r["mixed_tokens"] for r in shares if r["mix_name"] == mix)
+        assert all(math.isclose(r["actual_share"], r["mixed_tokens"] / all_) for r in shares if r["mix_name"] == mix)
+
+
+def test_many_shards(spark):
+    """Shards keep their size however many there are; every slot comes once, quotas are exact, each pass goes over all blocks."""
+    plan = spark.createDataFrame([("m", "a", 900, 40_000), ("m", "b", 20_011, 30_000), ("m", "c", 7, 3), ("n", "a", 900, 5), ("n", "z", 0, 0)], "mix_name string, source string, blocks long, slots long")
+    rows = mixing.slots(plan, shard=8).cache()
+    assert {(r["mix_name"], r["source"]): r["count"] for r in rows.groupBy("mix_name", "source").count().collect()} == {("m", "a"): 40_000, ("m", "b"): 30_000, ("m", "c"): 3, ("n", "a"): 5}
+    per = rows.groupBy("mix_name", "shard").count()
+    assert per.filter("count > 8").count() == 0 and per.filter("mix_name = 'm'").count() == 8751
+    assert rows.select("mix_name", "source", "k").distinct().count() == rows.count() == rows.select("mix_name", "source", "block", "epoch").distinct().count()
+    assert rows.filter("mix_name = 'm' and source = 'a' and epoch = 3").select("block").distinct().count() == 900
 
 
 def test_dirty_rows(spark):

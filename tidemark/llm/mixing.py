@@ -27,8 +27,8 @@ from tidemark.session import shared_dir
 BLOCK = 512
 SEED = 11
 DOCS_PER_BUCKET = 20_000
-MOST_SHARDS = 4096
-LEAST_SLOTS = 256
+SHARD = 1024  # slots of a shard, whatever the size of the mix
+LOT = 64  # shards drawn and summed together
 
 
 def _source(c: str):
@@ -65,14 +65,16 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return with_token_counts(spread(rows.select("doc_id", "source", "text"), "doc_id"), ["doc_id", "source"], tokenizer=tokenizer).checkpoint()
 
 
-def packed(counts: DataFrame, n_docs: int, block: int = BLOCK) -> DataFrame:
+def packed(counts: DataFrame, n_docs: int, block: int = BLOCK, per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
     """``source, block, doc_id, from_token, to_token``: which tokens of which document make up each block of a source.
 
-    The running position is a sum per bucket of at most about DOCS_PER_BUCKET documents plus the sum of the buckets before it, so a
-    source with a third of all documents is not summed in one task.
+    Documents of a source stand in the order of a hash.  The running position is a sum per bucket, which is a range of hashes with about
+    ``per_bucket`` documents, plus the sum of the buckets before it; so a source with a third of all documents is not summed in one task, and the
+    blocks do not depend on the number of buckets.
     """
-    buckets = max(1, math.ceil(n_docs / DOCS_PER_BUCKET))
-    rows = counts.filter("source is not null and n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    bits = max(0, math.ceil(math.log2(max(1, n_docs) / per_bucket)))
+    bucket = F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("bigint")
+    rows = counts.filter("source is not null and n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).withColumn("bucket", bucket)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("s")).select("source", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
@@ -83,92 +85,88 @@ def packed(counts: DataFrame, n_docs: int, block: int = BLOCK) -> DataFrame:
     return each.select("source", "block", "doc_id", (F.greatest("start", F.col("block") * block) - F.col("start")).alias("from_token"), (F.least("end", (F.col("block") + 1) * block) - F.col("start")).alias("to_token"))
 
 
-def quotas(counts: DataFrame, targets: DataFrame, block: int = BLOCK) -> tuple[list, int, int]:
-    """Rows ``mix_name, source, target_share, max_repeats, wanted_tokens, available_tokens, blocks, slots`` of the targets, all tokens, documents.
+def quotas(counts: DataFrame, targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
+    """``mix_name, source, target_share, max_repeats, wanted_tokens, available_tokens, blocks, slots``, one row per target.
 
-    One row per target: a small table by nature, so it comes to the driver; more than 100,000 rows are refused.
+    ``total``: tokens of all documents.  slots is the wanted size in blocks of the source's mean size, or max_repeats times its blocks
+    where that is less.
     """
-    total, docs = counts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
-    have = counts.filter("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("have")).withColumnRenamed("source", "s")
+    have = counts.filter("source is not null").groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("have"))
     wanted = (
         targets.select("mix_name", _source("source").alias("source"), "target_share", "max_repeats", "size_factor").dropna()
         .groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("size_factor").alias("size_factor"))
     )
-    rows = wanted.join(have, F.col("source") == F.col("s"), "left").orderBy("mix_name", "source").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 targets")
-    out = []
-    for r in rows:
-        available = r["have"] or 0
-        blocks = math.ceil(available / block)
-        want = r["target_share"] * r["size_factor"] * total
-        slots = min(round(want / (available / blocks)), r["max_repeats"] * blocks) if blocks else 0
-        out.append(dict(mix_name=r["mix_name"], source=r["source"], target_share=r["target_share"], max_repeats=r["max_repeats"], wanted_tokens=want, available_tokens=available, blocks=blocks, slots=slots))
-    return out, total, docs
-
-
-def slots(spark, plan: list[dict]) -> DataFrame:
-    """``mix_name, shard, source, k, block, epoch``: every slot of every shard with the block it takes."""
-    mixes: dict[str, list[dict]] = {}
-    for r in plan:
-        mixes.setdefault(r["mix_name"], []).append(r)
-    names = list(mixes)
-    sizes = [sum(r["slots"] for r in mixes[m]) for m in names]
-    per = [max(LEAST_SLOTS, math.ceil(s / MOST_SHARDS)) for s in sizes]
-    shards = [math.ceil(s / p) for s, p in zip(sizes, per)]
-    first = np.r_[0, np.cumsum(shards)].astype(np.int64)
+    rows = wanted.join(have, F.col("source") == F.col("s"), "left").withColumn("available_tokens", F.coalesce("have", F.lit(0)))
+    rows = rows.withColumn("wanted_tokens", F.col("target_share") * F.col("size_factor") * F.lit(total)).withColumn("blocks", F.ceil(F.col("available_tokens") / block).cast("bigint"))
+    want = F.bround(F.col("wanted_tokens") * F.col("blocks") / F.col("available_tokens")).cast("bigint")
+    slots_ = F.when(F.col("available_tokens") > 0, F.least(want, F.col("max_repeats") * F.col("blocks"))).otherwise(0)
+    return rows.select("mix_name", "source", "target_share", "max_repeats", "wanted_tokens", "available_tokens", "blocks", slots_.cast("bigint").alias("slots"))
+
+
+def drawn_counts(plan: DataFrame, shard: int = SHARD) -> DataFrame:
+    """``mix_name, lot, shard, source, drawn``: the multinomial draw of every shard; shards have ``shard`` slots, the last one of a mix what is left."""
+    mixes = plan.filter("slots > 0").groupBy("mix_name").agg(F.sum("slots").alias("size"), F.array_sort(F.collect_list(F.struct("source", "slots"))).alias("shares"))
+    shards = F.ceil(F.col("size") / shard)
+    lots = mixes.withColumn("shards", shards).withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / LOT)))).repartition("mix_name", "lot")
+    rows = lots.withColumn("shard", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("shards"), (F.col("lot") + 1) * LOT) - 1)))
+    rows = rows.select("mix_name", F.xxhash64("mix_name").alias("number"), "lot", "shard", F.least(F.lit(shard), F.col("size") - F.col("shard") * shard).alias("n"), F.col("shares.source").alias("sources"), F.col("shares.slots").alias("slots"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for g in b["id"]:
-                m = int(np.searchsorted(first, g, side="right")) - 1
-                shard = int(g - first[m])
-                n = min(per[m], sizes[m] - shard * per[m])
-                p = np.array([r["slots"] for r in mixes[names[m]]], float)
-                c = np.random.default_rng([SEED, m, shard]).multinomial(n, p / p.sum())
-                out += [(names[m], shard, r["source"], int(k)) for r, k in zip(mixes[names[m]], c) if k]
-            yield pd.DataFrame(out, columns=["mix_name", "shard", "source", "drawn"])
-
-    drawn = spark.range(int(first[-1])).mapInPandas(draw, "mix_name string, shard long, source string, drawn long")  # at most MOST_SHARDS a mix
-    w = Window.partitionBy("mix_name", "source").orderBy("shard")
-    upto = drawn.withColumn("upto", F.sum("drawn").over(w)).withColumn("all", F.sum("drawn").over(Window.partitionBy("mix_name", "source")))
+            for mix, number, lot, at, n, sources, slots_ in b.itertuples(index=False):
+                p = np.asarray(slots_, float)
+                c = np.random.default_rng([SEED, number & (2**63 - 1), at]).multinomial(n, p / p.sum())
+                out += [(mix, lot, at, source, int(k)) for source, k in zip(sources, c) if k]
+            yield pd.DataFrame(out, columns=["mix_name", "lot", "shard", "source", "drawn"])
+
+    return rows.mapInPandas(draw, "mix_name string, lot long, shard long, source string, drawn long")
+
+
+def slots(plan: DataFrame, shard: int = SHARD) -> DataFrame:
+    """``mix_name, shard, source, k, block, epoch``: every slot of every shard with the block it takes."""
+    drawn = drawn_counts(plan, shard)
+    # how many slots a source had before a shard: before its lot, and within it
+    lots = drawn.groupBy("mix_name", "source", "lot").agg(F.sum("drawn").alias("s"))
+    before = Window.partitionBy("mix_name", "source").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    base = lots.select("mix_name", "source", "lot", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    w = Window.partitionBy("mix_name", "source", "lot").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    upto = drawn.withColumn("within", F.sum("drawn").over(w)).join(base, ["mix_name", "source", "lot"]).withColumn("upto", F.col("base") + F.col("within"))
     # per mix the surplus and shortfall of each source, one row per target
-    known = spark.createDataFrame([(r["mix_name"], r["source"], r["slots"], r["blocks"]) for r in plan], "mix_name string, source string, quota long, blocks long")
-    sums = known.join(drawn.groupBy("mix_name", "source").agg(F.sum("drawn").alias("got")), ["mix_name", "source"], "left").fillna(0, ["got"])
+    known = plan.select("mix_name", "source", F.col("slots").alias("quota"), "blocks")
+    sums = known.join(lots.groupBy("mix_name", "source").agg(F.sum("s").alias("got")), ["mix_name", "source"], "left").fillna(0, ["got"])
     before = Window.partitionBy("mix_name").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
     over, short = F.greatest(F.col("got") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("got"), F.lit(0))
     balance = sums.select("*", F.coalesce(F.sum(over).over(before), F.lit(0)).alias("over_at"), F.coalesce(F.sum(short).over(before), F.lit(0)).alias("short_at"), short.alias("short"))
     takers = balance.filter("short > 0").groupBy("mix_name").agg(F.collect_list(F.struct("source", "got", "short_at", "short")).alias("takers"))
-    each = upto.select("mix_name", "shard", "source", F.explode(F.sequence(F.col("upto") - F.col("drawn"), F.col("upto") - 1)).alias("k"))
-    each = each.join(F.broadcast(balance.select("mix_name", "source", "quota", "over_at")), ["mix_name", "source"]).join(F.broadcast(takers), "mix_name", "left")  # one row per target and per mix
+    each = upto.select("mix_name", "shard", "source", F.explode(F.sequence(F.col("upto") - F.col("drawn"), F.col("upto") - 1)).alias("k"))  # at most a shard's slots
+    each = each.join(balance.select("mix_name", "source", "quota", "over_at"), ["mix_name", "source"]).join(takers, "mix_name", "left")
     spare = F.col("over_at") + F.col("k") - F.col("quota")
     taker = F.filter("takers", lambda t: (t["short_at"] <= spare) & (spare < t["short_at"] + t["short"]))[0]
     each = each.withColumn("t", F.when(F.col("k") >= F.col("quota"), taker))
     each = each.select("mix_name", "shard", F.coalesce("t.source", "source").alias("source"), F.when(F.col("t").isNull(), F.col("k")).otherwise(F.col("t.got") + spare - F.col("t.short_at")).alias("k"))
-    blocks = {(r["mix_name"], r["source"]): (i, r["blocks"]) for i, r in enumerate(plan)}
+    each = each.join(known.select("mix_name", "source", "blocks", F.xxhash64("mix_name", "source").alias("number")), ["mix_name", "source"])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            known = [blocks[x] for x in zip(b["mix_name"], b["source"])]
-            number, size = (np.array(x, np.int64) for x in zip(*known))
-            k = b["k"].to_numpy()
+            k, size = b["k"].to_numpy(), b["blocks"].to_numpy()
             epoch = k // size
-            key = _mix64((number * 1_000_003 + epoch * 7_919 + SEED).astype(np.uint64))
-            yield b.assign(block=permuted(k % size, size, key), epoch=epoch)
+            with np.errstate(over="ignore"):
+                key = _mix64(b["number"].to_numpy().astype(np.uint64) + epoch.astype(np.uint64) * np.uint64(7_919) + np.uint64(SEED))
+            yield b.drop(columns=["blocks", "number"]).assign(block=permuted(k % size, size, key), epoch=epoch)
 
-    return each.mapInPandas(place, "mix_name string, shard long, source string, k long, block long, epoch long")
+    return each.select("mix_name", "shard", "source", "k", "blocks", "number").mapInPandas(place, "mix_name string, shard long, source string, k long, block long, epoch long")
 
 
-def mixed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> tuple[DataFrame, list[dict]]:
+def mixed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``mix_name, shard, source, k, block, epoch, n_tokens, docs``: the mixes as blocks joined by index, and the quotas."""
-    spark = documents.sparkSession
     counts = token_counts(documents, tokenizer)
-    plan, _, docs = quotas(counts, targets, block)
+    total, docs = counts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    plan = quotas(counts, targets, total, block).checkpoint()  # one row per target, read several times
     spans = packed(counts, docs, block).groupBy("source", "block").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n_tokens"), F.array_sort(F.collect_list(F.struct("doc_id", "from_token", "to_token"))).alias("docs"))
-    return slots(spark, plan).join(spans, ["source", "block"]), plan
+    return slots(plan).join(spans, ["source", "block"]), plan
 
 
 def mix_shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
@@ -178,10 +176,9 @@ def mix_shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENI
     A source without documents, or with empty ones only, has 0.  Targets with null mix, source, share or size are left out.
     """
     rows, plan = mixed(documents, targets, tokenizer, block)
-    spark = documents.sparkSession
     used = rows.groupBy("mix_name", "source", "block").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("c"))
     got = used.groupBy("mix_name", "source").agg(F.sum("t").alias("mixed_tokens"), F.sum("c").alias("blocks"), F.max("c").alias("most_repeats"))
-    known = spark.createDataFrame([(r["mix_name"], r["source"], r["target_share"], r["max_repeats"], r["wanted_tokens"], r["available_tokens"]) for r in plan], "mix_name string, source string, target_share double, max_repeats int, wanted_tokens double, available_tokens long")
+    known = plan.drop("blocks", "slots")
     all_ = Window.partitionBy("mix_name")
     out = known.join(got, ["mix_name", "source"], "left").fillna(0, ["mixed_tokens", "blocks", "most_repeats"])
     return out.select(
