@@ -24,6 +24,22 @@ def test_session_chunks(spark, tmp_path):
     assert sum(r["problem"] is not None for r in bad) == 1 and sum(r["text"] is not None for r in bad) == 1
 
 
+def test_long_logs_are_read_in_splits(spark, tmp_path):
+    rec = lambda i: json.dumps({"type": "user", "sessionId": "s", "n": i, "pad": "x" * (i % 50)})
+    lines = [rec(i) for i in range(3000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "b.jsonl").write_text("\n".join([*lines[:100], "{", *lines]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = ex.session_chunks(spark, str(tmp_path), cap=500).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    good = sorted((r for r in rows if r["path"].endswith("a.jsonl")), key=lambda r: (r["block"], r["chunk"]))
+    assert len({r["block"] for r in good}) > 3 and "\n".join(r["text"] for r in good) == "\n".join(lines) and max(len(r["text"]) for r in good) <= 500
+    bad = [r for r in rows if r["path"].endswith("b.jsonl")]
+    assert sum(r["records"] for r in bad) == 100 and sum(r["problem"] is not None for r in bad) == 1
+
+
 def test_text_chunks_give_the_text_back(spark):
     docs = table(spark, SF, "documents")
     back = ex.text_chunks(docs, 700).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "\n").alias("t"), F.max(F.octet_length("text")).alias("most"))
@@ -47,7 +63,7 @@ def test_tree_exports(spark, tmp_path):
 
 
 def test_tree_exports_longer_than_ten_thousand(spark, tmp_path):
-    n = 10_020
+    n = 40_020
     long = {"title": "L", "current_node": f"k{n - 1}", "mapping": {f"k{i}": node(f"k{i - 1}" if i else None, "user", [str(i)]) for i in range(n)}}
     none = {"title": "N", "current_node": None, "mapping": None}
     (tmp_path / "e.json").write_text(json.dumps([long, none]))
@@ -79,9 +95,11 @@ def test_seeds_webhooks_and_requests(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "n.md").write_text("# hi")
     (tmp_path / "x" / "n.txt").write_text("no")
-    assert [(r["source_event_id"], r["content"]) for r in ex.markdown_seeds(spark, str(tmp_path), "ns").collect()] == [("seed:n.md", "# hi")]
+    (tmp_path / "y" / "z").mkdir(parents=True)
+    (tmp_path / "y" / "z" / "n.md").write_text("# ho")
+    assert sorted((r["source_event_id"], r["content"]) for r in ex.markdown_seeds(spark, str(tmp_path), "ns").collect()) == [("seed:x/n.md", "# hi"), ("seed:y/z/n.md", "# ho")]
     body = json.dumps({"comment": {"id": 7, "body": "c"}, "repository": {"full_name": "o/r"}, "sender": {"login": "l"}})
-    ev = spark.createDataFrame([("issue_comment", body), ("push", body), ("issue_comment", "{}")], "event string, body string")
+    ev = spark.createDataFrame([("issue_comment", body), ("push", body), ("issue_comment", "{}"), ("issue_comment", body.replace('"c"', '" "'))], "event string, body string")
     assert [tuple(r)[1:5] for r in ex.webhook_episodes(ev).collect()] == [("issue_comment:7", "c", "o/r", ["l"])]
     rq = spark.createDataFrame([("c", "s", "n", "vendor_import", "1", "2"), (" ", "s", "n", None, None, None), ("c", "s", None, None, None, None)], "content string, source string, namespace string, ingestion_mode string, parser_version string, parser_source_schema string")
     assert [tuple(r)[1:6] for r in ex.learn_requests(rq, "live_mcp_capture", "manual").collect()] == [("manual", "n", "live_mcp_capture", None, None)]

@@ -1,8 +1,8 @@
-"""Retrieval: exact vector search in blocks, keyword match, bounded graph traversal."""
+"""Retrieval: exact vector search in tiles, keyword match, bounded graph traversal."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.common import latest, live, once
 from tidemark.operators.memory import AS_OF, facts_once
 
-BLOCK = 4096
+QUERIES, VECTORS = 4096, 16_384  # rows of a tile on either side
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -21,55 +21,40 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, same: str | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, same: str | None = None, tile: tuple[int, int] = (QUERIES, VECTORS)) -> DataFrame:
     """``query_id, vec_id, similarity, rank``: the k most similar vectors of each query by cosine, exact, without the query itself.
 
-    ``vectors`` and ``queries`` have vec_id, embedding (and ``same``, a label that must agree).  Queries go out in blocks of at most BLOCK
-    vectors, whose size is therefore bounded; each task multiplies its rows with the block and keeps k rows per query, so at most k
-    per query and task are shuffled.  Null or empty vectors are left out, zero vectors have similarity 0; ties go to the lesser id.
+    ``vectors`` and ``queries`` have vec_id, embedding (and ``same``, a label that must agree).  Both are cut into tiles by a hash of the id; Spark
+    brings each pair of tiles together, one product of two bounded matrices, which keeps k rows per query.  Vectors travel once per
+    tile of queries and queries once per tile of vectors; nothing passes through the driver.  Null or empty vectors are left out, zero
+    vectors have similarity 0; ties go to the lesser id.
     """
-    spark = vectors.sparkSession
     cols = ["vec_id", "embedding", *([same] if same else [])]
-    usable = lambda df: df.select(*cols).filter("size(embedding) > 0")
-    queries = usable(queries)
-    ids = queries.select("vec_id").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    n = ids.count()
-    cuts = [r[0] for r in queries.select(F.percentile_approx("vec_id", [i / (n // BLOCK + 1) for i in range(1, n // BLOCK + 1)], 100_000)).first()[0]] if n > BLOCK else []
-    out = None
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = queries
-        if lo is not None:
-            part = part.filter(F.col("vec_id") > lo)
-        if hi is not None:
-            part = part.filter(F.col("vec_id") <= hi)
-        block = part.toPandas()  # about BLOCK vectors
-        if not len(block):
-            continue
-        q_ids, q_mat = block["vec_id"].to_numpy(), _matrix(block["embedding"])
-        labels = block[same].to_numpy() if same else None
-        shared = spark.sparkContext.broadcast((q_ids, q_mat, labels))
-
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q_ids, q_mat, labels = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                v = b["vec_id"].to_numpy()
-                s = q_mat @ _matrix(b["embedding"]).T
-                s[q_ids[:, None] == v[None, :]] = -2
-                if labels is not None:
-                    s[labels[:, None] != b[same].to_numpy()[None, :]] = -2
-                keep = min(k, s.shape[1])
-                kth = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-                i, j = np.nonzero((s >= kth[:, None]) & (s >= least) & (s > -2))  # ties of the k-th stay in
-                yield pd.DataFrame({"query_id": q_ids[i], "vec_id": v[j], "similarity": s[i, j]})
-
-        found = usable(vectors).mapInPandas(score, "query_id bigint, vec_id bigint, similarity double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id bigint, vec_id bigint, similarity double")
-    out = out.withColumn("similarity", F.round("similarity", 6))
-    return latest(out, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
+    usable = lambda df: df.select(*cols).filter("size(embedding) > 0 and vec_id is not null")
+    tiles = lambda df, rows: max(1, math.ceil(df.count() / rows))
+    vectors, queries = usable(vectors), usable(queries)
+    nq, nv = tiles(queries, tile[0]), tiles(vectors, tile[1])
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q_cols = [f"q_{c}" for c in cols]  # both sides may be one table
+    left = queries.withColumn("__q", own(nq)).withColumn("__v", every(nv)).toDF(*q_cols, "__q", "__v").groupBy("__q", "__v")
+    right = vectors.withColumn("__v", own(nv)).withColumn("__q", every(nq)).groupBy("__q", "__v")
+
+    def score(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+        q_ids, v_ids = q["q_vec_id"].to_numpy(), v["vec_id"].to_numpy()
+        s = np.round(_matrix(q["q_embedding"]) @ _matrix(v["embedding"]).T, 6)
+        s[q_ids[:, None] == v_ids[None, :]] = -2
+        if same:
+            s[q[f"q_{same}"].to_numpy()[:, None] != v[same].to_numpy()[None, :]] = -2
+        keep = min(k, s.shape[1])
+        kth = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+        i, j = np.nonzero((s >= kth[:, None]) & (s >= least) & (s > -2))  # ties of the k-th stay in
+        return pd.DataFrame({"query_id": q_ids[i], "vec_id": v_ids[j], "similarity": s[i, j]})
+
+    found = left.cogroup(right).applyInPandas(score, "query_id bigint, vec_id bigint, similarity double")
+    return latest(found, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
 
 
 def knn(embeddings: DataFrame, k: int = 10) -> DataFrame:
@@ -77,7 +62,7 @@ def knn(embeddings: DataFrame, k: int = 10) -> DataFrame:
     return nearest(embeddings, embeddings.filter("vec_id % 50 = 0"), k)
 
 
-def resolve_semantic(embeddings: DataFrame, least: float = 0.35, gap: float = 0.03) -> DataFrame:
+def resolve_semantic(embeddings: DataFrame, least: float = 0.92, gap: float = 0.03) -> DataFrame:
     """Merge, conflict or new for each query vector among its label's: the top similarity must reach ``least`` and lead by ``gap``."""
     top = nearest(embeddings, embeddings.filter("vec_id % 50 = 0"), 10, same="label")
     w = Window.partitionBy("query_id").orderBy("rank")
@@ -156,6 +141,37 @@ def traverse(facts: DataFrame, entities: DataFrame) -> DataFrame:
         two.groupBy("seed", F.col("b").alias("entity_id")).agg(F.sum(F.col("n1") * F.col("n")).alias("paths")).select("seed", "entity_id", F.lit(2).alias("hop"), "paths"))
 
 
+def walks(facts: DataFrame, entities: DataFrame, max_hops: int = 2) -> DataFrame:
+    """``seed, entity_id, hop, path, facts``: every way of at most ``max_hops`` steps from a seed that visits no entity twice, with the entities and
+    the facts along it.  Current facts of the seed's namespace, both directions, live targets; an entity comes once for each way to it.
+
+    One join per hop; adaptive execution splits the partitions of hubs.  The last step is joined late, so a way is not widened before it is final.
+    """
+    alive = once(live(entities).select("id")).select(F.lower("id").alias("b"))
+    e = edges(facts).join(alive, "b", "left_semi").select("namespace", F.col("a").alias("at"), "b", F.lower("fact_id").alias("fact_id"))
+    none = F.array().cast("array<string>")
+    step = seeds(entities).select("namespace", "seed", F.col("seed").alias("at"), F.array("seed").alias("path"), none.alias("facts"))
+    out = None
+    for hop in range(1, max_hops + 1):
+        step = step.join(e, ["namespace", "at"]).filter(~F.array_contains("path", F.col("b")))
+        step = step.select("namespace", "seed", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"), F.concat("facts", F.array("fact_id")).alias("facts"))
+        rows = step.select("seed", F.col("at").alias("entity_id"), F.lit(hop).alias("hop"), "path", "facts")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def walk_rows(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """The ways of one and two hops as text."""
+    return walks(facts, entities).select("seed", "entity_id", "hop", F.array_join("path", ">").alias("path"), F.array_join("facts", ">").alias("facts"))
+
+
+def graph_edges(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """``seed, fact_id, subject_id, predicate, object_id, hop``: the graph around each seed, every fact on a way of two hops once, at its least hop."""
+    on = walks(facts, entities).select("seed", F.posexplode("facts").alias("hop", "fact_id")).groupBy("seed", "fact_id").agg((F.min("hop") + 1).alias("hop"))
+    f = facts_once(facts, "subject_id", "predicate", "object_id").select(F.lower("id").alias("fact_id"), "subject_id", "predicate", "object_id")
+    return on.join(f, "fact_id").select("seed", "fact_id", "subject_id", "predicate", "object_id", "hop")
+
+
 def neighborhood(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Per seed one hop, or two where one hop has fewer than three paths; each entity once at its least hop, scored 0.9 or 0.7."""
     t = traverse(facts, entities)

@@ -13,7 +13,7 @@ EM, EV, DO, IT = "embeddings", "events", "documents", "eval_items"
 
 QUERIES = {
     "knn_entities": of(r.knn, EM),
-    "resolve_pass3_semantic": of(r.resolve_semantic, EM),
+    "resolve_pass3_semantic": of(r.resolve_semantic, EM, least=0.35),
     "episode_recall": of(r.episode_recall, DO, EM),
     "query_terms": of(r.query_terms, AU),
     "keyword_entity_match": of(r.keyword_entities, AU, EN),
@@ -21,6 +21,8 @@ QUERIES = {
     "merge_profiles": of(r.merge_profiles, AU),
     "predicate_prompt_block": of(r.predicate_blocks, FA, PR),
     "traverse": of(r.traverse, FA, EN),
+    "traverse_paths": of(r.walk_rows, FA, EN),
+    "entity_graph": of(r.graph_edges, FA, EN),
     "graph_neighborhood": of(r.neighborhood, FA, EN),
     "score_dimensions": of(k.fact_scores, FA, EP),
     "apply_weights": of(k.apply_weights, AU),
@@ -51,6 +53,11 @@ _EDGES = FN_ + ", " + N_ + """, alive AS (SELECT lower(id) AS b FROM n)
     , one AS (SELECT s.namespace, s.seed, ed.b AS mid FROM seed s JOIN ed ON ed.namespace = s.namespace AND ed.a = s.seed WHERE ed.b IN (SELECT b FROM alive))
     , two AS (SELECT one.seed, ed.b AS entity_id FROM one JOIN ed ON ed.namespace = one.namespace AND ed.a = one.mid WHERE ed.b <> one.seed AND ed.b IN (SELECT b FROM alive))
     , tr AS (SELECT seed, mid AS entity_id, 1 AS hop, count(*) AS paths FROM one GROUP BY 1, 2 UNION ALL SELECT seed, entity_id, 2, count(*) FROM two GROUP BY 1, 2)"""
+_WAYS = FN_.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + N_ + """, alive AS (SELECT lower(id) AS b FROM n)
+    , ed AS (SELECT namespace, subject_id AS a, object_id AS b, lower(id) AS fact_id FROM f WHERE valid_until IS NULL UNION ALL SELECT namespace, object_id, subject_id, lower(id) FROM f WHERE valid_until IS NULL)
+    , way AS (SELECT namespace, lower(id) AS seed, lower(id) AS entity_id, 0 AS hop, [lower(id)] AS path, []::VARCHAR[] AS fs FROM n WHERE ('0x' || right(lower(id), 4))::BIGINT % 50 = 0
+        UNION ALL SELECT way.namespace, seed, ed.b, hop + 1, list_append(path, ed.b), list_append(fs, fact_id) FROM way JOIN ed ON ed.namespace = way.namespace AND ed.a = way.entity_id
+        WHERE hop < 2 AND NOT list_contains(path, ed.b) AND ed.b IN (SELECT b FROM alive))"""
 _AUTH = "CASE evidence_status " + " ".join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in k.AUTHORITY.items()) + " ELSE 0.5::DOUBLE END"
 _W = lambda i: "CASE primary_class " + " ".join(f"WHEN '{c}' THEN {v[i]}::DOUBLE" for c, v in k.WEIGHTS.items()) + " ELSE 1.0::DOUBLE END"
 _ITEMS = A_ + """, j AS (SELECT id, primary_class, compiled_tokens, list_concat(coalesce(from_json(selected_items, '[{"type":"VARCHAR","score":"DOUBLE"}]'), []), coalesce(from_json(rejected_items, '[{"type":"VARCHAR","score":"DOUBLE"}]'), [])) AS items FROM a)"""
@@ -84,6 +91,9 @@ ORACLES = {
     "keyword_entity_match": "WITH " + N_ + """, t AS (SELECT DISTINCT namespace, term FROM (SELECT namespace, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS term FROM loom_audit_log WHERE query_text IS NOT NULL) WHERE strlen(term) >= 3)
         , h AS (SELECT t.namespace, term, name, lower(id) AS entity_id, row_number() OVER (PARTITION BY t.namespace, term ORDER BY name, lower(id)) AS rank FROM t JOIN n ON n.namespace = t.namespace AND contains(lower(name), term)) SELECT namespace, term, name, entity_id, rank::INT AS rank FROM h WHERE rank <= 5""",
     "traverse": _EDGES + " SELECT seed, entity_id, hop, paths FROM tr",
+    "traverse_paths": _WAYS + " SELECT seed, entity_id, hop, array_to_string(path, '>') AS path, array_to_string(fs, '>') AS facts FROM way WHERE hop > 0",
+    "entity_graph": _WAYS + """, x AS (SELECT seed, unnest(fs) AS fact_id, unnest(range(1, len(fs) + 1)) AS h FROM way), y AS (SELECT seed, fact_id, min(h)::INT AS hop FROM x GROUP BY 1, 2)
+        SELECT seed, fact_id, subject_id, predicate, object_id, hop FROM y JOIN f ON lower(f.id) = fact_id""",
     "graph_neighborhood": _EDGES + """, u AS (SELECT *, sum(CASE WHEN hop = 1 THEN paths ELSE 0 END) OVER (PARTITION BY seed) AS ones FROM tr), b AS (SELECT seed, entity_id, min(hop) AS hop FROM u WHERE hop = 1 OR ones < 3 GROUP BY 1, 2)
         SELECT seed, entity_id, hop, (CASE WHEN hop = 1 THEN 0.9 ELSE 0.7 END)::DOUBLE AS score FROM b""",
     "score_dimensions": E_ + ", " + F_ + f""", p AS (SELECT lower(id) AS e, {_MODES} AS m FROM e), rr AS (SELECT id, unnest(source_episodes) AS e FROM f), bm AS (SELECT rr.id, min(m) AS m FROM rr JOIN p ON p.e = lower(rr.e) GROUP BY 1)

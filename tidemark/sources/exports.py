@@ -6,11 +6,14 @@ Files are read by Spark; rows are files or records, and what a record says is ta
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SKIPPED = ("file-history-snapshot", "queue-operation")  # fixed values: record types without content
 CHUNK_BYTES = 4096
@@ -27,7 +30,7 @@ def whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def pack(lines: list[tuple[str, str | None]], cap: int = CHUNK_BYTES) -> Iterator[tuple[str, str | None, int]]:
+def pack(lines: Iterable[tuple[str, str | None]], cap: int = CHUNK_BYTES) -> Iterator[tuple[str, str | None, int]]:
     """Greedy chunks of whole lines of at most ``cap`` bytes: text, time and lines.  A longer line stands alone.
 
     The time is the first one in the chunk, else the last one seen before it.
@@ -47,35 +50,62 @@ def pack(lines: list[tuple[str, str | None]], cap: int = CHUNK_BYTES) -> Iterato
         yield "\n".join(held), ts or last, len(held)
 
 
+def session_record(line: str) -> tuple[str, str | None] | None:
+    """Type and time of a session record; None where the line is no record, that is lacks a string ``type`` or ``sessionId``."""
+    try:
+        r = json.loads(line)
+    except ValueError:
+        return None
+    if not isinstance(r, dict) or not isinstance(r.get("type"), str) or not (r["type"] in SKIPPED or isinstance(r.get("sessionId"), str)):
+        return None
+    return r["type"], r.get("timestamp") if isinstance(r.get("timestamp"), str) else None
+
+
 def session_chunks(spark: SparkSession, path: str, cap: int = CHUNK_BYTES) -> DataFrame:
-    """``path, chunk, text, ts, records, problem`` of session logs (``*.jsonl`` at any depth).
+    """``path, block, chunk, text, ts, records, problem`` of session logs (``*.jsonl`` at any depth).
 
-    A record needs a string ``type`` and ``sessionId``; the first that lacks one yields a row with ``problem`` and ends the file.
+    Logs are read by line, in splits; ``block`` is where a split begins in its file, and chunks are packed within it.  A line that is no record
+    yields a row with ``problem`` and ends the file: its later lines and blocks are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                lines, problem = [], None
-                for i, line in enumerate(content.split("\n")):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
+            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["path", "block", "chunk", "text", "ts", "records", "problem"])
+            out.clear()
+            return b
+
+        for (file, block), lines in groupby(rows, key=lambda r: (r[0], r[1])):
+            problem = None
+
+            def good() -> Iterator[tuple[str, str | None]]:
+                nonlocal problem
+                for i, (_, _, line) in enumerate(lines):
                     if not line.strip():
                         continue
-                    try:
-                        r = json.loads(line)
-                        assert isinstance(r, dict) and isinstance(r.get("type"), str) and (r["type"] in SKIPPED or isinstance(r.get("sessionId"), str))
-                    except (ValueError, AssertionError):
+                    if (r := session_record(line)) is None:
                         problem = f"line {i + 1} is no session record"
-                        break
-                    if r["type"] not in SKIPPED:
-                        lines.append((line, r.get("timestamp") if isinstance(r.get("timestamp"), str) else None))
-                out += [(file, k, text, ts, n, None) for k, (text, ts, n) in enumerate(pack(lines, cap))]
-                if problem:
-                    out.append((file, None, None, None, 0, problem))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()))], names=["path", "chunk", "text", "ts", "records", "problem"])
-
-    return whole_files(spark, path, "*.jsonl").mapInArrow(run, "path string, chunk int, text string, ts string, records int, problem string")
+                        return
+                    if r[0] not in SKIPPED:
+                        yield line, r[1]
+
+            for k, (text, ts, n) in enumerate(pack(good(), cap)):
+                out.append((file, block, k, text, ts, n, None))
+                if len(out) >= 1000:
+                    yield flush()
+            if problem:
+                out.append((file, block, None, None, None, 0, problem))
+        if out:
+            yield flush()
+
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    chunks = lines.mapInArrow(run, "path string, block bigint, chunk int, text string, ts string, records int, problem string")
+    ended = chunks.filter("problem is not null").groupBy(F.col("path").alias("p")).agg(F.min("block").alias("last"))
+    return chunks.join(ended, F.col("path") == F.col("p"), "left").filter("last is null or block <= last").drop("p", "last")
 
 
 def text_chunks(documents: DataFrame, cap: int = CHUNK_BYTES) -> DataFrame:
@@ -93,25 +123,30 @@ def text_chunks(documents: DataFrame, cap: int = CHUNK_BYTES) -> DataFrame:
 def tree_conversations(spark: SparkSession, path: str) -> DataFrame:
     """``title, create_time, state, messages`` of tree exports: the way from current_node up to the root, in time order.
 
-    state is ok, missing (a node that is not there) or cycle; siblings off the way are left out.
+    state is ok, missing (a node that is not there) or cycle; siblings off the way are left out.  Each conversation is walked once, by place.
     """
     df = spark.read.schema(TREE).option("multiLine", "true").json(path)
-    # one step per node at most, and one to see a circle: follow the parent while there is one
-    start = F.struct(F.col("current_node").alias("at"), F.array().cast("array<string>").alias("way"), F.lit("ok").alias("state"))
-
-    def step(acc: Column, _: Column) -> Column:
-        end = acc["at"].isNull() | (acc["state"] != "ok")
-        gone = ~F.map_contains_key("mapping", acc["at"])
-        circle = F.array_contains(acc["way"], acc["at"])
-        return (
-            F.when(end, acc).when(gone, F.struct(acc["at"].alias("at"), acc["way"].alias("way"), F.lit("missing").alias("state")))
-            .when(circle, F.struct(acc["at"].alias("at"), acc["way"].alias("way"), F.lit("cycle").alias("state")))
-            .otherwise(F.struct(F.col("mapping")[acc["at"]]["parent"].alias("at"), F.concat(acc["way"], F.array(acc["at"])).alias("way"), F.lit("ok").alias("state"))))
+    nodes = F.map_values("mapping")
+    flat = df.select("title", "create_time", "current_node", F.map_keys("mapping").alias("ids"), F.transform(nodes, lambda n: n["parent"]).alias("parents"), F.transform(nodes, lambda n: n["message"]).alias("nodes"))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.coalesce(F.size("mapping"), F.lit(0)) + 1), start, step)
-    df = df.withColumn("w", walked)
-    message = lambda k: F.col("mapping")[k]["message"]
-    return df.select("title", "create_time", F.col("w.state").alias("state"), F.filter(F.transform(F.reverse("w.way"), message), lambda m: m.isNotNull()).alias("messages"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            states, ways = [], []
+            for at, ids, parents in zip(*(b.column(c).to_pylist() for c in ("current_node", "ids", "parents"))):
+                place = {k: i for i, k in enumerate(ids or [])}
+                way, seen, state = [], set(), "ok"
+                while at is not None and state == "ok":
+                    i = place.get(at)
+                    if i is None or i in seen:
+                        state = "missing" if i is None else "cycle"
+                    else:
+                        way.append(i), seen.add(i)
+                        at = parents[i]
+                states.append(state), ways.append(way[::-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(states, pa.string()), pa.array(ways, pa.list_(pa.int32()))], names=[*b.schema.names, "state", "way"])
+
+    walked = flat.mapInArrow(run, T.StructType([*flat.schema, T.StructField("state", T.StringType()), T.StructField("way", T.ArrayType(T.IntegerType()))]))
+    return walked.select("title", "create_time", "state", F.filter(F.transform("way", lambda i: F.get("nodes", i)), lambda m: m.isNotNull()).alias("messages"))
 
 
 def _stamp(seconds: Column) -> Column:
@@ -162,16 +197,20 @@ def schema_violations(rows: DataFrame, json_col: str, required: dict[str, str],
 
 
 def markdown_seeds(spark: SparkSession, path: str, namespace: str) -> DataFrame:
-    """Markdown files as episodes of one namespace; the event id is 'seed:' and the path below the folder."""
+    """Markdown files as episodes of one namespace; the event id is 'seed:' and the path below the folder, so equal names in two folders differ."""
     df = whole_files(spark, path, "*.{md,markdown}")
-    return df.select(F.lit("manual").alias("source"), F.concat(F.lit("seed:"), F.regexp_replace("path", r"^.*/(?=[^/]+$)", "")).alias("source_event_id"), "content", F.lit(namespace).alias("namespace"), F.lit("user_authored_seed").alias("ingestion_mode"), F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^" + re.escape("/" + path.split(":", 1)[-1].strip("/")) + "/+", "")
+    return df.select(F.lit("manual").alias("source"), F.concat(F.lit("seed:"), below).alias("source_event_id"), "content", F.lit(namespace).alias("namespace"), F.lit("user_authored_seed").alias("ingestion_mode"), F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
 
 
 def webhook_episodes(events: DataFrame) -> DataFrame:
-    """Webhook rows (event, body) as episodes: comments on issues and reviews only; others are not episodes."""
+    """Webhook rows (event, body) as episodes: comments on issues and reviews only; others, and blank comments, are not episodes."""
     get = lambda p: F.get_json_object("body", "$." + p)
-    kept = events.filter(F.col("event").isin("issue_comment", "pull_request_review_comment")).filter(get("comment.id").isNotNull())
-    return kept.select(F.lit("github").alias("source"), F.concat_ws(":", "event", get("comment.id")).alias("source_event_id"), get("comment.body").alias("content"), get("repository.full_name").alias("namespace"), F.array_compact(F.array(get("sender.login"))).alias("participants"), F.lit("live_mcp_capture").alias("ingestion_mode"))
+    kept = events.filter(F.col("event").isin("issue_comment", "pull_request_review_comment")).filter(get("comment.id").isNotNull() & (F.trim(F.coalesce(get("comment.body"), F.lit(""))) != ""))
+    meta = F.to_json(F.struct(F.col("event").alias("event"), get("action").alias("action"), get("comment.html_url").alias("url")))
+    return kept.select(
+        F.lit("github").alias("source"), F.concat_ws(":", "event", get("comment.id")).alias("source_event_id"), get("comment.body").alias("content"), get("repository.full_name").alias("namespace"),
+        F.array_compact(F.array(get("sender.login"))).alias("participants"), F.lit("live_mcp_capture").alias("ingestion_mode"), meta.alias("metadata"), F.try_to_timestamp(get("comment.created_at")).alias("occurred_at"))
 
 
 def learn_requests(requests: DataFrame, mode: str | None = None, source: str | None = None) -> DataFrame:
