@@ -34,3 +34,11 @@ def test_supersession_with_slots_gives_the_same(spark):
     fa = spark.createDataFrame([(f"f{i:03}", "n", "hot" if i % 3 else f"s{i % 5}", "p", rnd.choice("xyz"), T + dt.timedelta(hours=rnd.randrange(60)), None, None, None, None, T, None) for i in range(300)], FACTS).repartition(3)
     plain = sorted(map(tuple, m.supersede(fa).collect()))
     assert plain == sorted(map(tuple, m.supersede(fa, target=20).collect())) == sorted(map(tuple, m.supersede(fa, target=90).collect())) and len(plain) > 200
+
+
+def test_chains_of_any_length_and_circles(spark):
+    rows = [(f"c{i}", f"c{i + 1}" if i < 3000 else None) for i in range(3001)] + [("x", "y"), ("y", "z"), ("z", "x"), ("into", "x"), ("self", "self"), ("d1", "d2"), ("d2", "gone"), ("lone", "gone")]
+    fa = spark.createDataFrame([(i, "n", "s", "p", "o", T, None, by, None, None, T, None) for i, by in rows], FACTS)
+    got = {r["id"]: (r["root"], r["hops"]) for r in m.chain_roots(fa).collect()}
+    assert all(got[f"c{i}"] == ("c3000", 3000 - i) for i in range(3000)) and got["d1"] == ("d2", 1)
+    assert all(got[k] == (None, None) for k in ("x", "y", "z", "into")) and "lone" not in got

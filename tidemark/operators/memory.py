@@ -269,29 +269,32 @@ def missing_inverses(facts: DataFrame, predicates: DataFrame) -> DataFrame:
 # Chains and patterns
 
 
-def chain_roots(facts: DataFrame, most: int = 20) -> DataFrame:
+def chain_roots(facts: DataFrame) -> DataFrame:
     """``id, root, hops``: where following superseded_by from each replaced fact ends; root is null where the way runs in a circle.
 
-    Pointer doubling: the number of joins grows with the logarithm of the longest chain (up to 2**most hops); each round's table
-    is checkpointed, and rounds stop when no pointer moves.  A pointer to a fact that does not exist or is deleted ends the way before it.
+    Pointer doubling: each round joins only the pointers that still move with all pointers known so far, so the number of rounds is the
+    logarithm of the longest way, however long.  A way of more hops than there are pointers runs in a circle.  Each round is checkpointed.  A
+    pointer to a fact that does not exist or is deleted ends the way before it.
     """
     from tidemark.session import shared_dir
 
     shared_dir(facts.sparkSession)
     f = facts_once(facts, "superseded_by").select(F.lower("id").alias("id"), F.col("superseded_by").alias("to"))
     ids = f.select(F.col("id").alias("to"))
-    step = f.filter("to is not null").join(ids, "to", "left_semi").select("id", "to", F.lit(1).cast("bigint").alias("hops")).checkpoint()
-    for _ in range(most):
-        nxt = step.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"))
-        moved = step.join(nxt, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.col("to2").isNotNull().alias("moved")).checkpoint()
-        n = moved.filter("moved").count()
-        left = moved.filter("moved and hops <= 1048576").count() if n else 0
-        step = moved.drop("moved")
-        if not left:
-            break
-    ends = step.join(f.filter("to is null or to = id").select(F.col("id").alias("to"), F.lit(True).alias("end")), "to", "left")
+    moving = f.filter("to is not null").join(ids, "to", "left_semi").select("id", "to", F.lit(1).cast("bigint").alias("hops")).checkpoint()
+    most = moving.count()
+    done = moving.limit(0)
+    left = most
+    while left:
+        nxt = moving.unionByName(done).select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"))
+        step = moving.join(nxt, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.col("to2").isNotNull().alias("moved")).checkpoint()
+        goes_on = F.col("moved") & (F.col("hops") <= F.lit(most))
+        done = done.unionByName(step.filter(~goes_on).drop("moved"))
+        moving = step.filter(goes_on).drop("moved")
+        left = moving.count()
+    ends = done.join(f.filter("to is null or to = id").select(F.col("id").alias("to"), F.lit(True).alias("end")), "to", "left")
     dangling = f.join(ids, "to", "left_anti").select(F.col("id").alias("to"), F.lit(True).alias("dangling"))
-    out = ends.join(dangling, "to", "left").withColumn("ok", F.coalesce("end", "dangling", F.lit(False)))
+    out = ends.join(dangling, "to", "left").withColumn("ok", F.coalesce("end", "dangling", F.lit(False)) & (F.col("hops") <= F.lit(most)))
     return out.select("id", F.when(F.col("ok"), F.col("to")).alias("root"), F.when(F.col("ok"), F.col("hops")).alias("hops"))
 
 

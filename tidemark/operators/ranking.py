@@ -14,10 +14,10 @@ AUTHORITY = {"user_asserted": 1.0, "observed": 0.8, "promoted": 0.7, "extracted"
 WEIGHTS = {"debug": (1.0, 0.7, 0.8), "architecture": (0.5, 1.0, 0.3), "compliance": (1.0, 0.8, 0.0), "writing": (0.3, 1.0, 0.6), "chat": (0.4, 1.0, 0.3)}
 ITEM_TOKENS = {"fact": 50, "graph": 30, "procedure": 40, "episode": 100}
 KEYWORDS = {  # fixed values, in order of priority
-    "debug": ["error", "bug", "fail", "crash", "stall", "debug", "timeout", "broken", "exception", "why does"],
-    "architecture": ["architecture", "design", "component", "depend", "structure", "pattern", "integrate", "feeds", "steward"],
-    "compliance": ["compliance", "audit", "policy", "retention", "control", "regulation", "rule", "approved", "evidence"],
-    "writing": ["write", "draft", "summarise", "summarize", "document", "explain", "describe"],
+    "debug": ["error", "bug", "crash", "fail", "exception", "stack trace", "debug", "troubleshoot", "broken", "fix"],
+    "architecture": ["architecture", "design", "component", "system", "diagram", "module", "structure", "pattern", "microservice"],
+    "compliance": ["compliance", "audit", "regulation", "policy", "governance", "control", "evidence", "finding", "risk"],
+    "writing": ["write", "document", "draft", "generate", "create doc", "readme", "specification"],
 }
 ITEMS = "array<struct<type: string, score: double>>"
 
@@ -81,10 +81,10 @@ def greedy_pack(log: DataFrame, share: float = 0.25) -> DataFrame:
 
 
 def classify(log: DataFrame) -> DataFrame:
-    """Keyword pre-check of every query: the first group, by priority, one of whose words it contains, against the class it got; none: 'chat'."""
+    """Keyword pre-check of every query: the first group, by priority, one of whose words it contains, against the class it got; none: null."""
     rows = once(log.select("id", "query_text", "primary_class"))
     low = F.lower("query_text")
-    guess = F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(k)) for k, words in KEYWORDS.items()], F.lit("chat"))
+    guess = F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(k)) for k, words in KEYWORDS.items()])
     return rows.groupBy(guess.alias("guess"), "primary_class").agg(rows_as("n"))
 
 
@@ -162,11 +162,17 @@ def compile_compact(facts: DataFrame, entities: DataFrame, most: int = 20) -> Da
 
 
 def freshness(episodes: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """Per namespace and source the time since the last ingestion: fresh (a day), aging (a week), stale, and in words."""
+    """Per namespace and source the time since the last ingestion: fresh (a day), aging (a week), stale, and in words (the date beyond a year)."""
     last = live(episodes).groupBy("namespace", "source").agg(F.max("ingested_at").alias("t"))
     secs = F.greatest(F.lit(0), F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("t").cast("timestamp")))
     rows = last.withColumn("s", secs)
-    word = F.when(F.col("s") < 60, "just now").when(F.col("s") < 3600, F.concat(F.floor(F.col("s") / 60).cast("string"), F.lit("m ago"))).when(F.col("s") < 86400, F.concat(F.floor(F.col("s") / 3600).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(F.col("s") / 86400).cast("string"), F.lit("d ago")))
+    n = lambda unit: F.floor(F.col("s") / unit).cast("string")
+    day = 86400
+    word = (
+        F.when(F.col("s") < 60, "just now").when(F.col("s") < 3600, F.concat(n(60), F.lit("m ago"))).when(F.col("s") < day, F.concat(n(3600), F.lit("h ago")))
+        .when(F.col("s") < 7 * day, F.concat(n(day), F.lit("d ago"))).when(F.col("s") < 60 * day, F.concat(n(7 * day), F.lit(" weeks ago")))
+        .when(F.col("s") < 365 * day, F.concat(n(30 * day), F.lit(" months ago"))).otherwise(F.date_format("t", "yyyy-MM-dd"))
+    )
     return rows.select("namespace", "source", F.when(F.col("s") <= 86400, "fresh").when(F.col("s") <= 7 * 86400, "aging").otherwise("stale").alias("freshness"), word.alias("age"))
 
 

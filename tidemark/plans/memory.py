@@ -64,7 +64,7 @@ ORACLES = {
     "entity_type_validation": "WITH " + N_ + "SELECT lower(id) AS entity_id, name, entity_type, namespace FROM n WHERE lower(entity_type) IN ('person', 'organization', 'project', 'service', 'technology', 'pattern', 'environment', 'document', 'metric', 'decision')",
     "deleted_rows": " UNION ALL ".join(f"SELECT '{t}' AS source_table, id, namespace, strftime(deleted_at, '%Y-%m-%d') AS day FROM (SELECT DISTINCT ON (lower(id)) * FROM {t} WHERE deleted_at IS NOT NULL ORDER BY lower(id))" for t in (EN, FA, EP)),
     "current_facts": FN_ + "SELECT id, namespace, subject_id, predicate, object_id FROM f WHERE valid_until IS NULL",
-    "validity_interval_as_of": FN_ + f"SELECT id, subject_id, predicate, object_id FROM f WHERE valid_from <= TIMESTAMP '{m.AS_OF}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{m.AS_OF}')",
+    "validity_interval_as_of": FN_ + f"SELECT id, subject_id, predicate, object_id FROM f WHERE valid_from <= TIMESTAMP '2025-07-01 00:00:00' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2025-07-01 00:00:00')",
     "duplicate_fact_rank": FN_ + ", r AS (SELECT id, row_number() OVER (PARTITION BY namespace, subject_id, predicate, object_id, source_episodes ORDER BY created_at NULLS LAST, id) AS rank FROM f) SELECT id, rank::INT AS rank FROM r WHERE rank > 1",
     "supersede_facts": FN_ + """
         , k AS (SELECT *, epoch_us(valid_from) AS us, row_number() OVER (PARTITION BY namespace, subject_id, predicate, valid_from ORDER BY id) AS rn FROM f WHERE valid_from IS NOT NULL AND namespace IS NOT NULL AND subject_id IS NOT NULL AND predicate IS NOT NULL AND object_id IS NOT NULL)

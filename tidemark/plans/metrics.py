@@ -48,7 +48,7 @@ N_ = "n AS (SELECT DISTINCT ON (lower(id)) * FROM loom_entities WHERE deleted_at
 F_ = "f AS (SELECT DISTINCT ON (lower(id)) * FROM loom_facts WHERE deleted_at IS NULL ORDER BY lower(id))\n"
 A_ = "WITH a AS (SELECT DISTINCT ON (lower(id)) * FROM loom_audit_log ORDER BY lower(id))\n"
 _PREC = "avg(CASE WHEN candidates_found > 0 THEN candidates_selected::DOUBLE / candidates_found ELSE 0 END)"
-_STAGES = ", ".join(f"round(quantile_cont({c}, 0.5), 6) AS {c.replace('latency', 'p50')}" for c in m.STAGES)
+_STAGES = ", ".join(f"round(quantile_cont({c}, 0.5), 6) AS {c.replace('latency', 'p50')}" for c in ("latency_total_ms", "latency_classify_ms", "latency_retrieve_ms", "latency_rank_ms", "latency_compile_ms"))
 ORACLES = {
     "episodes_by_source": E_ + "SELECT source, count(*) AS episodes FROM e GROUP BY 1",
     "episodes_by_namespace": E_ + "SELECT namespace, count(*) AS episodes FROM e GROUP BY 1",

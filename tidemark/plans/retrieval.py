@@ -58,22 +58,28 @@ _WAYS = FN_.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + N_ + """, alive AS (
     , way AS (SELECT namespace, lower(id) AS seed, lower(id) AS entity_id, 0 AS hop, [lower(id)] AS path, []::VARCHAR[] AS fs FROM n WHERE ('0x' || right(lower(id), 4))::BIGINT % 50 = 0
         UNION ALL SELECT way.namespace, seed, ed.b, hop + 1, list_append(path, ed.b), list_append(fs, fact_id) FROM way JOIN ed ON ed.namespace = way.namespace AND ed.a = way.entity_id
         WHERE hop < 2 AND NOT list_contains(path, ed.b) AND ed.b IN (SELECT b FROM alive))"""
-_AUTH = "CASE evidence_status " + " ".join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in k.AUTHORITY.items()) + " ELSE 0.5::DOUBLE END"
-_W = lambda i: "CASE primary_class " + " ".join(f"WHEN '{c}' THEN {v[i]}::DOUBLE" for c, v in k.WEIGHTS.items()) + " ELSE 1.0::DOUBLE END"
+# Constants are stated here once more, so that the SQL does not repeat a wrong one of an operator.
+_AUTH = "CASE evidence_status WHEN 'user_asserted' THEN 1.0::DOUBLE WHEN 'observed' THEN 0.8::DOUBLE WHEN 'promoted' THEN 0.7::DOUBLE WHEN 'extracted' THEN 0.6::DOUBLE WHEN 'inferred' THEN 0.4::DOUBLE WHEN 'deprecated' THEN 0.2::DOUBLE WHEN 'superseded' THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END"
+_WEIGHT_ROWS = {"episodic": "1.0 0.5 1.0 0.3 0.4", "semantic": "0.7 1.0 0.8 1.0 1.0", "procedural": "0.8 0.3 0.0 0.6 0.3"}  # debug, architecture, compliance, writing, chat
+_W = lambda kind: "CASE primary_class " + " ".join(f"WHEN '{c}' THEN {v}::DOUBLE" for c, v in zip(("debug", "architecture", "compliance", "writing", "chat"), _WEIGHT_ROWS[kind].split())) + " ELSE 1.0::DOUBLE END"
 _ITEMS = A_ + """, j AS (SELECT id, primary_class, compiled_tokens, list_concat(coalesce(from_json(selected_items, '[{"type":"VARCHAR","score":"DOUBLE"}]'), []), coalesce(from_json(rejected_items, '[{"type":"VARCHAR","score":"DOUBLE"}]'), [])) AS items FROM a)"""
 _COST = "CASE x.t WHEN 'fact' THEN 50 WHEN 'graph' THEN 30 WHEN 'procedure' THEN 40 ELSE 100 END"
-_AS_OF = f"TIMESTAMP '{r.AS_OF}'"
+_AS_OF = "TIMESTAMP '2025-07-01 00:00:00'"
 _XML = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
-_TOP = FN_ + ", " + N_ + """, t AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY valid_from DESC NULLS LAST, id) AS rank FROM f WHERE valid_until IS NULL)
-    , x AS (SELECT subject_id, s.name AS subject, predicate, o.name AS object, rank, valid_from FROM t JOIN n s ON lower(s.id) = subject_id JOIN n o ON lower(o.id) = object_id WHERE rank <= 20)"""
+_TOP = FN_ + ", " + N_ + """, t AS (SELECT f.*, s.name AS subject, o.name AS object FROM f JOIN n s ON lower(s.id) = subject_id JOIN n o ON lower(o.id) = object_id WHERE valid_until IS NULL)
+    , x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY valid_from DESC NULLS LAST, id) AS rank FROM t) WHERE rank <= 20)"""
 _SAL = FN_ + ", " + N_ + """, g AS (SELECT e, count(*) AS c FROM (SELECT subject_id AS e FROM f UNION ALL SELECT object_id FROM f) GROUP BY 1)
     , sal AS (SELECT lower(n.id) AS entity_id, namespace, coalesce(c, 0) AS accesses, round(1 - 0.5::DOUBLE * pow(0.9::DOUBLE, coalesce(c, 0)), 6) AS salience FROM n LEFT JOIN g ON g.e = lower(n.id) WHERE n.id IS NOT NULL)"""
-_PROF = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k_}' THEN {v}" for k_, v in r.PROFILES.items()) + " ELSE [] END"
+_PROF = lambda c: f"CASE {c} WHEN 'debug' THEN ['graph_neighborhood', 'episode_recall'] WHEN 'architecture' THEN ['fact_lookup', 'graph_neighborhood'] WHEN 'compliance' THEN ['episode_recall', 'fact_lookup'] WHEN 'writing' THEN ['fact_lookup'] WHEN 'chat' THEN ['fact_lookup'] ELSE [] END"
+_WORDS = {
+    "debug": "error|bug|crash|fail|exception|stack trace|debug|troubleshoot|broken|fix", "architecture": "architecture|design|component|system|diagram|module|structure|pattern|microservice",
+    "compliance": "compliance|audit|regulation|policy|governance|control|evidence|finding|risk", "writing": "write|document|draft|generate|create doc|readme|specification",
+}
 _HIT = """t AS (SELECT DISTINCT namespace, term FROM (SELECT namespace, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS term FROM loom_audit_log WHERE query_text IS NOT NULL) WHERE strlen(term) >= 3)
     , h AS (SELECT t.namespace, term, lower(id) AS e, row_number() OVER (PARTITION BY t.namespace, term ORDER BY name, lower(id)) AS rn FROM t JOIN n ON n.namespace = t.namespace AND contains(lower(name), term))"""
 ORACLES = {
     "fact_lookup": FN_ + ", " + N_ + ", " + _HIT + """, ends AS (SELECT namespace, id, coalesce((properties->>'$.confidence')::DOUBLE, 0.5) AS c, unnest(list_distinct([subject_id, object_id])) AS e FROM f WHERE valid_until IS NULL)
-        , g AS (SELECT h.namespace, h.term, ends.id AS fact_id, max(c) AS c, count(*) AS cnt FROM h JOIN ends ON ends.namespace = h.namespace AND ends.e = h.e WHERE rn <= 5 GROUP BY 1, 2, 3)
+        , g AS (SELECT h.namespace, h.term, ends.id AS fact_id, max(c) AS c, count(*) AS cnt FROM h JOIN ends ON ends.namespace = h.namespace AND ends.e = h.e GROUP BY 1, 2, 3)
         , s AS (SELECT namespace, term, fact_id, round(least(1.0::DOUBLE, c + least(0.1::DOUBLE, 0.05::DOUBLE * cnt)), 6) AS score FROM g)
         , q AS (SELECT *, row_number() OVER (PARTITION BY namespace, term ORDER BY score DESC, fact_id) AS rank FROM s) SELECT namespace, term, fact_id, score, rank::INT AS rank FROM q WHERE rank <= 20""",
     "merge_profiles": A_ + f""", p AS (SELECT *, list_concat({_PROF("primary_class")}, list_filter({_PROF("secondary_class")}, lambda x: NOT list_contains({_PROF("primary_class")}, x)))[1:3] AS pl FROM a)
@@ -100,12 +106,12 @@ ORACLES = {
         , d AS (SELECT f.id, greatest(0.0, least(1.0, coalesce((properties->>'$.confidence')::DOUBLE, 0.5))) AS relevance, greatest(0.0, least(1.0, (CASE WHEN valid_until IS NULL THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END) + 0.3 * {_AUTH} + 0.1)) AS stability,
             greatest(0.0, least(1.0, (0.5 * least(coalesce(len(source_episodes), 0) / 5.0::DOUBLE, 1.0) + 0.5 * {_AUTH}) * (CASE m WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.8::DOUBLE WHEN 3 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END))) AS provenance FROM f LEFT JOIN bm USING (id))
         SELECT id, round(relevance, 5)::DOUBLE AS relevance, round(stability, 5)::DOUBLE AS stability, round(provenance, 5)::DOUBLE AS provenance, round(0.40::DOUBLE * relevance + 0.25::DOUBLE * 0.6 + 0.20::DOUBLE * stability + 0.15::DOUBLE * provenance, 5) AS final FROM d""",
-    "apply_weights": _ITEMS + f""", x AS (SELECT primary_class, unnest(items) AS i FROM j), y AS (SELECT primary_class, i.type AS type, i.score AS score, CASE i.type WHEN 'episode' THEN {_W(0)} WHEN 'procedure' THEN {_W(2)} ELSE {_W(1)} END AS w FROM x)
+    "apply_weights": _ITEMS + f""", x AS (SELECT primary_class, unnest(items) AS i FROM j), y AS (SELECT primary_class, i.type AS type, i.score AS score, CASE i.type WHEN 'episode' THEN {_W("episodic")} WHEN 'procedure' THEN {_W("procedural")} ELSE {_W("semantic")} END AS w FROM x)
         SELECT primary_class, type, count(*) AS candidates, count(*) FILTER (WHERE w = 0) AS dropped, round(avg(CASE WHEN w > 0 THEN score * w END), 5) AS mean_weighted FROM y GROUP BY 1, 2""",
     "greedy_budget_pack": _ITEMS + f""", l AS (SELECT id, floor(compiled_tokens * 0.25::DOUBLE)::BIGINT AS budget, list_sort(list_transform(items, lambda x, i: {{'s': -x.score, 'i': i, 't': x.type}})) AS r FROM j WHERE len(items) > 0)
         , z AS (SELECT id, list_reduce(r, lambda acc, x: CASE WHEN acc.tokens + {_COST} <= budget THEN {{'kept': acc.kept + 1, 'tokens': acc.tokens + {_COST}, 'skipped': acc.skipped}} ELSE {{'kept': acc.kept, 'tokens': acc.tokens, 'skipped': acc.skipped + 1}} END, {{'kept': 0, 'tokens': 0, 'skipped': 0}}) AS q FROM l)
         SELECT id, q.kept AS kept, q.tokens AS tokens, q.skipped AS skipped FROM z""",
-    "keyword_precheck": A_ + "SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(query_text), '{x}')" for x in words) + f" THEN '{c}'" for c, words in k.KEYWORDS.items()) + " ELSE 'chat' END AS guess, primary_class, count(*) AS n FROM a GROUP BY 1, 2",
+    "keyword_precheck": A_ + "SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(query_text), '{x}') THEN '{c}'" for c, x in _WORDS.items()) + " END AS guess, primary_class, count(*) AS n FROM a GROUP BY 1, 2",
     "parse_classes": A_ + """, b AS (SELECT *, coalesce(primary_confidence, 0) AS c1 FROM a)
         SELECT CASE WHEN c1 < 0.1 THEN 'chat' ELSE primary_class END AS first, coalesce(CASE WHEN c1 >= 0.1 AND round(c1 - secondary_confidence, 6) < 0.3 THEN secondary_class END, 'none') AS second, count(*) AS n FROM b GROUP BY 1, 2""",
     "salience_on_access": _SAL + " SELECT * FROM sal",
@@ -116,7 +122,7 @@ ORACLES = {
         SELECT entity_id, context, greatest(1, strlen(context) // 4)::INT AS tokens FROM b""",
     "compile_compact": _TOP + """ SELECT subject_id AS entity_id, '[' || string_agg('{"s":' || to_json(subject)::VARCHAR || ',"p":' || to_json(predicate)::VARCHAR || ',"o":' || to_json(object)::VARCHAR || '}', ',' ORDER BY rank) || ']' AS context FROM x GROUP BY 1""",
     "freshness": f"""WITH l AS (SELECT namespace, source, max(ingested_at) AS t FROM loom_episodes WHERE deleted_at IS NULL GROUP BY 1, 2), s AS (SELECT *, greatest(0, epoch_us({_AS_OF}) // 1000000 - epoch_us(t) // 1000000) AS s FROM l)
-        SELECT namespace, source, CASE WHEN s <= 86400 THEN 'fresh' WHEN s <= 604800 THEN 'aging' ELSE 'stale' END AS freshness, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' ELSE (s // 86400)::VARCHAR || 'd ago' END AS age FROM s""",
+        SELECT namespace, source, CASE WHEN s <= 86400 THEN 'fresh' WHEN s <= 604800 THEN 'aging' ELSE 'stale' END AS freshness, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' WHEN s < 604800 THEN (s // 86400)::VARCHAR || 'd ago' WHEN s < 5184000 THEN (s // 604800)::VARCHAR || ' weeks ago' WHEN s < 31536000 THEN (s // 2592000)::VARCHAR || ' months ago' ELSE strftime(t, '%Y-%m-%d') END AS age FROM s""",
     "latency_thresholds": A_ + "SELECT namespace, CASE WHEN latency_total_ms >= 1000 THEN 'critical' WHEN latency_total_ms >= 500 THEN 'warn' ELSE 'ok' END AS level, count(*) AS n FROM a WHERE latency_total_ms >= 0 GROUP BY 1, 2",
     "entity_match_fraction": "SELECT item_id, (CASE WHEN len(coalesce(expected_entities, [])) > 0 THEN round(len(list_filter(expected_entities, lambda n: contains(lower(concat_ws(' ', query, passage)), lower(n)))) / len(expected_entities)::DOUBLE, 6) ELSE 0.0 END)::DOUBLE AS fraction FROM eval_items",
     "running_compilations": A_ + ", d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM a WHERE created_at IS NOT NULL GROUP BY 1) SELECT day, n, (sum(n) OVER (ORDER BY day))::BIGINT AS so_far FROM d",
