@@ -72,6 +72,15 @@ def resolve_semantic(embeddings: DataFrame, least: float = 0.92, gap: float = 0.
     return best.select("query_id", method.alias("method"), F.when(method == "merge", F.col("vec_id")).alias("target"), "similarity", F.when(method == "conflict", F.col("near")).otherwise(0).cast("bigint").alias("candidates"))
 
 
+def conflicts(embeddings: DataFrame, least: float = 0.92, gap: float = 0.03) -> DataFrame:
+    """``query_id, candidates``: of query vectors whose best matches are too close to tell apart, those matches as JSON, best first."""
+    top = nearest(embeddings, embeddings.filter("vec_id % 50 = 0"), 10, same="label")
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = top.withColumn("best", F.first("similarity").over(w)).filter((F.col("best") >= least) & (F.col("similarity") > F.col("best") - gap))
+    one = F.format_string('{"id":%d,"score":%.6f,"method":"semantic"}', "vec_id", "similarity")
+    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("j")))).alias("x")).filter("size(x) > 1").select("query_id", F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["j"]), ","), F.lit("]")).alias("candidates"))
+
+
 def recency(at, as_of: str = AS_OF):
     """exp(-age ln 2 / 30) with the age in days of whole hours, at least 0."""
     hours = F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(at.cast("timestamp"))) / 3600)

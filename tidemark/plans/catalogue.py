@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import memory, metrics, problems, retrieval
+from tidemark.plans import lookups, memory, metrics, problems, retrieval
 
-QUERIES = {**problems.QUERIES, **metrics.QUERIES, **memory.QUERIES, **retrieval.QUERIES}
-ORACLES = {**problems.ORACLES, **metrics.ORACLES, **memory.ORACLES, **retrieval.ORACLES}
+QUERIES = {**problems.QUERIES, **metrics.QUERIES, **memory.QUERIES, **retrieval.QUERIES, **lookups.QUERIES}
+ORACLES = {**problems.ORACLES, **metrics.ORACLES, **memory.ORACLES, **retrieval.ORACLES, **lookups.ORACLES}
 FLAGSHIP = "p5_periods"
