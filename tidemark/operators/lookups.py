@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.time import micros
 from tidemark.operators.common import episodes_once, latest, live, once
 from tidemark.operators.deliveries import firsts, messages
-from tidemark.operators.memory import AS_OF, COEFFICIENTS, MODES, aliases, already_stored, facts_once, rows_as
+from tidemark.operators.memory import AS_OF, COEFFICIENTS, MODES, aliases, already_stored, facts_once, hash_check, repeats, rows_as
 from tidemark.operators.metrics import candidate_occurrences
 from tidemark.operators.retrieval import recency
 
@@ -179,14 +179,15 @@ def resolve_by_alias(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return out.select("mention_id", "entity_id", F.lit(0.95).alias("confidence"), F.col("known").isNull().alias("append"))
 
 
-def deleted_mentions(entities: DataFrame) -> DataFrame:
-    """Deleted entities as mentions that come in again, with their aliases."""
-    rows = once(entities.filter("deleted_at is not null and id is not null").select("id", "name", "entity_type", "namespace", "properties"))
-    return rows.select(F.lower("id").alias("mention_id"), "name", "entity_type", "namespace", F.from_json("properties", "aliases array<string>")["aliases"].alias("aliases"))
+def mentions_again(entities: DataFrame) -> DataFrame:
+    """Every live entity as another text would mention it: its name in capitals, its name and aliases as aliases."""
+    rows = once(live(entities).filter("id is not null").select("id", "name", "entity_type", "namespace", "properties"))
+    own = F.coalesce(F.from_json("properties", "aliases array<string>")["aliases"], F.array().cast("array<string>"))
+    return rows.select(F.lower("id").alias("mention_id"), F.upper("name").alias("name"), "entity_type", "namespace", F.concat(own, F.array("name")).alias("aliases"))
 
 
-def resolve_deleted(entities: DataFrame) -> DataFrame:
-    return resolve_by_alias(deleted_mentions(entities), entities)
+def resolve_mentions(entities: DataFrame) -> DataFrame:
+    return resolve_by_alias(mentions_again(entities), entities)
 
 
 # Estimates and scores of episodes, and series
@@ -218,3 +219,25 @@ def today_precision(log: DataFrame) -> DataFrame:
     p = F.when(F.col("candidates_found") > 0, F.col("candidates_selected") / F.col("candidates_found")).otherwise(F.lit(0.0))
     days = rows.groupBy("namespace", F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.sum(p).alias("s"), rows_as("c"))
     return days.groupBy("namespace").agg(F.max("day").alias("day"), F.round(F.max_by(F.col("s") / F.col("c"), "day"), 6).alias("today"), F.round(F.sum("s") / F.sum("c"), 6).alias("mean"))
+
+
+# The same checks on deliveries, where messages do repeat
+
+
+def as_episodes(deliveries: DataFrame) -> DataFrame:
+    """Deliveries under the column names of episodes; none is deleted."""
+    return deliveries.withColumn("id", F.col("delivery_id").cast("string")).withColumn("ingested_at", F.col("delivered_at")).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
+
+
+def delivery_hashes(deliveries: DataFrame) -> DataFrame:
+    return hash_check(as_episodes(deliveries))
+
+
+def delivery_repeats(deliveries: DataFrame, keys: list[str]) -> DataFrame:
+    return repeats(as_episodes(deliveries), keys)
+
+
+def stored_before(deliveries: DataFrame, since: str = "2025-06-15 00:00:00") -> DataFrame:
+    """Deliveries from ``since`` on whose hash or event id an earlier one of the namespace has."""
+    t = F.lit(since).cast("timestamp_ntz")
+    return already_stored(deliveries.filter(F.col("delivered_at") >= t), deliveries.filter(F.col("delivered_at") < t))

@@ -16,7 +16,7 @@ QUERIES = {
     "optional_filter_none": of(k.filtered_facts, FA),
     "point_lookup": of(k.fact_points, FA),
     "tri_state_filter": of(k.not_done, EP),
-    "predicate_packs_any": of(k.predicates_of_packs, PR, packs=["core", "work"]),
+    "predicate_packs_any": of(k.predicates_of_packs, PR, packs=["audit", "none"]),
     "candidates_over_threshold": of(k.review_candidates, FA, PR),
     "recent_errors": of(k.recent_errors, EP),
     "strip_code_fences": of(k.unfenced, DO),
@@ -26,8 +26,12 @@ QUERIES = {
     "entity_insert_if_absent": of(k.new_entities, EN),
     "fact_state_upsert": of(k.fact_state, FA),
     "learn_status": of(k.learn_status, NEW, EP),
-    "resolve_pass2_alias": of(k.resolve_deleted, EN),
-    "log_conflict": of(r.conflicts, EM, least=0.35),
+    "resolve_pass2_alias": of(k.resolve_mentions, EN),
+    "content_hash_deliveries": of(k.delivery_hashes, NEW),
+    "dedup_by_content_hash_deliveries": of(k.delivery_repeats, NEW, keys=["namespace", "content_hash"]),
+    "dedup_by_source_event_deliveries": of(k.delivery_repeats, NEW, keys=["namespace", "source", "source_event_id"]),
+    "seed_exists_deliveries": of(k.stored_before, NEW),
+    "log_conflict": of(r.conflicts, EM, least=0.25, gap=0.05),
     "episode_scores": of(k.episode_scores, EP),
     "audit_page": of(k.audit_page, AU),
     "compilations_per_minute": of(k.compilations_per_minute, AU),
@@ -40,6 +44,7 @@ QUERIES = {
 
 _CAND = """WITH m AS (SELECT predicate, id FROM (SELECT DISTINCT ON (lower(id)) * FROM loom_facts WHERE deleted_at IS NULL ORDER BY lower(id)) WHERE predicate IS NOT NULL AND predicate NOT IN (SELECT predicate FROM loom_predicates WHERE predicate IS NOT NULL))
     , q AS (SELECT *, row_number() OVER (PARTITION BY predicate ORDER BY id) AS rn FROM m)"""
+_AGAIN = """WITH r AS (SELECT delivery_id::VARCHAR AS id, first_value(delivery_id::VARCHAR) OVER (PARTITION BY {k} ORDER BY delivered_at NULLS LAST, delivery_id::VARCHAR) AS first_id FROM loom_new_episodes WHERE {nn}) SELECT id, first_id FROM r WHERE id <> first_id"""
 _DECAY = "coalesce(exp(-greatest(floor((1751328000 - epoch_us(occurred_at) // 1000000) / 3600.0::DOUBLE) / 24.0::DOUBLE, 0.0::DOUBLE) * ln(2.0::DOUBLE) / 30), 0)"
 _AUTH = "CASE evidence_status WHEN 'user_asserted' THEN 1.0 WHEN 'observed' THEN 0.8 WHEN 'promoted' THEN 0.7 WHEN 'extracted' THEN 0.6 WHEN 'inferred' THEN 0.4 WHEN 'deprecated' THEN 0.2 WHEN 'superseded' THEN 0.1 ELSE 0.5 END"
 _FOUND = _WAYS + f""", seed AS (SELECT namespace, seed FROM way WHERE hop = 0)
@@ -59,7 +64,7 @@ ORACLES = {
     "optional_filter_none": FN_ + "SELECT id, namespace, subject_id, predicate, object_id FROM f",
     "point_lookup": "SELECT DISTINCT ON (lower(id)) id, namespace, predicate FROM loom_facts WHERE lower(id) IN (SELECT lower(superseded_by) FROM loom_facts WHERE deleted_at IS NULL AND superseded_by IS NOT NULL) ORDER BY lower(id)",
     "tri_state_filter": E_ + "SELECT id, namespace FROM e WHERE processed = false OR processed IS NULL",
-    "predicate_packs_any": "SELECT predicate, pack, category FROM loom_predicates WHERE pack = ANY(['core', 'work'])",
+    "predicate_packs_any": "SELECT predicate, pack, category FROM loom_predicates WHERE pack = ANY(['audit', 'none'])",
     "candidates_over_threshold": _CAND + " SELECT predicate, count(*) AS occurrences, string_agg(id, ',' ORDER BY id) FILTER (WHERE rn <= 3) AS examples FROM q GROUP BY 1 HAVING count(*) >= 5",
     "recent_errors": """WITH x AS (SELECT lower(id) AS id, namespace, processing_last_attempt AS t, processing_last_error AS error, row_number() OVER (PARTITION BY lower(id) ORDER BY processing_last_attempt DESC NULLS LAST, namespace DESC NULLS LAST, processing_last_error DESC) AS k FROM loom_episodes WHERE deleted_at IS NULL AND processing_last_error IS NOT NULL AND id IS NOT NULL)
         , y AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY t DESC NULLS LAST, id) AS rank FROM x WHERE k = 1) SELECT namespace, rank::INT AS rank, id, error FROM y WHERE rank <= 10""",
@@ -77,15 +82,21 @@ ORACLES = {
         SELECT subject_id, coalesce(max(c) FILTER (WHERE NOT old), max(c) FILTER (WHERE old)) AS confidence, CASE WHEN count(*) FILTER (WHERE NOT old) > 0 THEN count(*) FILTER (WHERE NOT old) ELSE count(*) END AS facts, max(us) AS last_us FROM p GROUP BY 1""",
     "learn_status": _MSG + r""", h AS (SELECT delivery_id, namespace, source, source_event_id, coalesce(regexp_replace(lower(content_hash), '^sha256:', ''), sha256(content)) AS h FROM loom_new_episodes)
         , st AS (SELECT delivery_id FROM h WHERE EXISTS (SELECT 1 FROM loom_episodes e WHERE e.namespace = h.namespace AND regexp_replace(lower(e.content_hash), '^sha256:', '') = h.h) OR EXISTS (SELECT 1 FROM loom_episodes e WHERE e.namespace = h.namespace AND e.source = h.source AND e.source_event_id = h.source_event_id))
-        SELECT delivery_id, CASE WHEN rn > 1 OR delivery_id IN (SELECT delivery_id FROM st) THEN 'duplicate' ELSE 'queued' END AS status FROM k""",
-    "resolve_pass2_alias": "WITH " + N_ + ", " + _ALIAS + """, d AS (SELECT DISTINCT ON (lower(id)) lower(id) AS mention_id, name, entity_type, namespace, json_extract_string(properties, '$.aliases[*]') AS aliases FROM loom_entities WHERE deleted_at IS NOT NULL AND id IS NOT NULL ORDER BY lower(id))
+        SELECT delivery_id, CASE WHEN bool_and(rn > 1) OR delivery_id IN (SELECT delivery_id FROM st) THEN 'duplicate' ELSE 'queued' END AS status FROM k WHERE delivery_id IS NOT NULL GROUP BY 1""",
+    "resolve_pass2_alias": "WITH " + N_ + ", " + _ALIAS + """, d AS (SELECT lower(id) AS mention_id, upper(name) AS name, entity_type, namespace, list_append(coalesce(json_extract_string(properties, '$.aliases[*]'), []), name) AS aliases FROM n WHERE id IS NOT NULL)
         , fw AS (SELECT mention_id, entity_id FROM d JOIN al ON al.alias = d.name AND al.entity_type = d.entity_type AND al.namespace = d.namespace)
         , nm AS (SELECT lower(name) AS k, entity_type, namespace, min(lower(id)) AS entity_id FROM n GROUP BY 1, 2, 3)
         , bk AS (SELECT mention_id, nm.entity_id FROM (SELECT mention_id, entity_type, namespace, unnest(aliases) AS a FROM d) x JOIN nm ON nm.k = lower(x.a) AND nm.entity_type = x.entity_type AND nm.namespace = x.namespace)
         , hit AS (SELECT mention_id, min(entity_id) AS entity_id FROM (SELECT * FROM fw UNION SELECT * FROM bk) GROUP BY 1 HAVING count(*) = 1)
         SELECT mention_id, hit.entity_id, 0.95::DOUBLE AS confidence, NOT EXISTS (SELECT 1 FROM al WHERE al.entity_id = hit.entity_id AND lower(al.alias) = lower(d.name)) AS append FROM hit JOIN d USING (mention_id)""",
+    "content_hash_deliveries": "SELECT delivery_id::VARCHAR AS id, sha256(content) AS sha FROM loom_new_episodes WHERE sha256(content) IS DISTINCT FROM regexp_replace(lower(content_hash), '^sha256:', '')",
+    "dedup_by_content_hash_deliveries": _AGAIN.format(k="namespace, content_hash", nn="namespace IS NOT NULL AND content_hash IS NOT NULL"),
+    "dedup_by_source_event_deliveries": _AGAIN.format(k="namespace, source, source_event_id", nn="namespace IS NOT NULL AND source IS NOT NULL AND source_event_id IS NOT NULL"),
+    "seed_exists_deliveries": r"""WITH d AS (SELECT *, delivered_at >= TIMESTAMP '2025-06-15 00:00:00' AS new, regexp_replace(lower(content_hash), '^sha256:', '') AS bare FROM loom_new_episodes), o AS (SELECT * FROM d WHERE NOT new)
+        SELECT delivery_id, 'content_hash' AS matched FROM d WHERE new AND EXISTS (SELECT 1 FROM o WHERE o.namespace = d.namespace AND o.bare = coalesce(d.bare, sha256(d.content)))
+        UNION ALL SELECT delivery_id, 'source_event_id' FROM d WHERE new AND EXISTS (SELECT 1 FROM o WHERE o.namespace = d.namespace AND o.source = d.source AND o.source_event_id = d.source_event_id)""",
     "log_conflict": _COS + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s WHERE ql = vl), t AS (SELECT *, max(similarity) OVER (PARTITION BY query_id) AS best FROM k WHERE rank <= 10)
-        SELECT query_id, '[' || string_agg(printf('{"id":%d,"score":%.6f,"method":"semantic"}', vec_id, similarity), ',' ORDER BY rank) || ']' AS candidates FROM t WHERE best >= 0.35 AND similarity > best - 0.03 GROUP BY 1 HAVING count(*) > 1""",
+        SELECT query_id, '[' || string_agg(printf('{"id":%d,"score":%.6f,"method":"semantic"}', vec_id, similarity), ',' ORDER BY rank) || ']' AS candidates FROM t WHERE best >= 0.25 AND similarity > best - 0.05 GROUP BY 1 HAVING count(*) > 1""",
     "episode_scores": E_ + f"SELECT id, greatest(20, least(200, coalesce(strlen(content) // 4, 0)))::INT AS tokens, round({_DECAY}, 5) AS recency, round(0.8::DOUBLE * CASE ingestion_mode WHEN 'live_mcp_capture' THEN 1.0 WHEN 'user_authored_seed' THEN 0.8 WHEN 'vendor_import' THEN 0.6 ELSE 1.0 END::DOUBLE, 5) AS provenance FROM e",
     "audit_page": A_ + ", q AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY created_at DESC NULLS LAST, id DESC) AS rank FROM a) SELECT namespace, rank::INT AS rank, id, task_class FROM q WHERE rank BETWEEN 6 AND 10",
     "compilations_per_minute": A_ + "SELECT strftime(date_trunc('minute', created_at), '%Y-%m-%d %H:%M') AS minute, count(*) AS compilations FROM a WHERE created_at IS NOT NULL GROUP BY 1",
