@@ -32,7 +32,7 @@ def retrieved(facts: DataFrame, entities: DataFrame, episodes: DataFrame) -> Dat
 
 
 def scored(candidates: DataFrame) -> DataFrame:
-    score = F.round(0.5 * F.col("relevance") + 0.25 * F.col("recency") + 0.25 * F.col("stability"), 5)
+    score = F.round(0.5 * F.col("relevance") + 0.25 * F.col("recency") + 0.25 * F.col("stability"), 7)
     return candidates.withColumn("score", score)
 
 

@@ -54,7 +54,7 @@ _FOUND = _WAYS + f""", seed AS (SELECT namespace, seed FROM way WHERE hop = 0)
     , found AS (SELECT seed, 0 AS profile, 'fact' AS kind, id, c AS relevance, 0.6::DOUBLE AS recency, 0.6::DOUBLE + 0.3::DOUBLE * au AS stability FROM g
         UNION ALL SELECT seed, 1, 'graph', fs[-1], CASE hop WHEN 1 THEN 0.9 ELSE 0.7 END::DOUBLE, CASE hop WHEN 1 THEN 0.8 ELSE 0.6 END::DOUBLE, CASE hop WHEN 1 THEN 0.7 ELSE 0.5 END::DOUBLE FROM way WHERE hop > 0
         UNION ALL SELECT seed, 2, 'episode', ci.id, 0.5::DOUBLE, round({_DECAY}, 5), 0.8::DOUBLE FROM ci JOIN ep ON ep.id = ci.id)
-    , sc AS (SELECT *, round(0.5::DOUBLE * relevance + 0.25::DOUBLE * recency + 0.25::DOUBLE * stability, 5) AS score FROM found WHERE id NOT IN (SELECT lower(id) FROM f WHERE evidence_status = 'user_asserted'))
+    , sc AS (SELECT *, round(0.5::DOUBLE * relevance + 0.25::DOUBLE * recency + 0.25::DOUBLE * stability, 7) AS score FROM found WHERE id NOT IN (SELECT lower(id) FROM f WHERE evidence_status = 'user_asserted'))
     , dd AS (SELECT *, row_number() OVER (PARTITION BY seed, id ORDER BY profile, score DESC) AS dn FROM sc)
     , rk AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, profile, id) AS rank FROM dd WHERE dn = 1)"""
 
