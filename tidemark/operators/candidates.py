@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.common import episodes_once
+from tidemark.operators.common import episodes_once, live, once
 from tidemark.operators.memory import facts_once, fact_ends
-from tidemark.operators.ranking import AUTHORITY, ITEM_TOKENS
+from tidemark.operators.ranking import AUTHORITY, ITEM_TOKENS, xml_escape
 from tidemark.operators.retrieval import recency, seeds, walks
 
 
@@ -76,3 +76,32 @@ def audit_entries(facts: DataFrame, entities: DataFrame, episodes: DataFrame, bu
     rows = ranked(facts, entities, episodes).withColumn("cost", cost).withColumn("upto", F.sum(cost).over(w))
     fits = F.col("upto") <= budget
     return rows.groupBy("seed").agg(F.count(F.lit(1)).alias("found"), F.count(F.when(fits, 1)).alias("selected"), F.count(F.when(~fits, 1)).alias("rejected"), F.coalesce(F.sum(F.when(fits, F.col("cost"))), F.lit(0)).cast("bigint").alias("tokens"))
+
+
+def packages(facts: DataFrame, entities: DataFrame, episodes: DataFrame, budget: int = 500) -> DataFrame:
+    """``seed, context, tokens``: of each seed the ranked candidates that fit the budget, facts and episodes in sections of one text.
+
+    A fact costs 50, one from the graph 30, an episode a quarter of its bytes, 20 to 200; a running sum over the ranking decides, so a text
+    holds at most budget / 20 elements and nothing longer is gathered.  Tokens are 20 and a quarter of each element's bytes.
+    Facts whose ends have no live entity are written with empty names.
+    """
+    n = once(live(entities).select("id", "name")).select(F.lower("id").alias("e"), "name")
+    f = facts_once(facts, "subject_id", "predicate", "object_id", "evidence_status", "valid_from").select(F.lower("id").alias("id"), "subject_id", "predicate", "object_id", "evidence_status", "valid_from")
+    text = lambda c: xml_escape(F.coalesce(c, F.lit("")))
+    attr = lambda name, c: F.concat(F.lit(f' {name}="'), text(c), F.lit('"'))
+    ep = episodes_once(episodes, "occurred_at", "source", "content").select(F.lower("id").alias("id"), "occurred_at", "source", "content")
+    size = F.greatest(F.lit(20), F.least(F.lit(200), F.coalesce(F.floor(F.octet_length("content") / 4), F.lit(0))))
+    costs = ep.select("id", size.alias("size"))
+    cost = F.when(F.col("kind") == "episode", F.col("size")).when(F.col("kind") == "graph", 30).otherwise(50)
+    w = Window.partitionBy("seed").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = ranked(facts, entities, episodes).join(costs, "id", "left").withColumn("upto", F.sum(cost).over(w)).filter(F.col("upto") <= budget).select("seed", "rank", "kind", "id")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    ends = chosen.filter("kind <> 'episode'").join(f, "id").join(n.toDF("subject_id", "s"), "subject_id", "left").join(n.toDF("object_id", "o"), "object_id", "left")
+    fact = ends.select("seed", "rank", F.lit("facts").alias("part"), F.concat(F.lit("<fact"), attr("subject", F.col("s")), attr("predicate", F.col("predicate")), attr("object", F.col("o")), attr("evidence", F.col("evidence_status")), attr("observed", day("valid_from")), F.lit("/>")).alias("x"))
+    said = chosen.filter("kind = 'episode'").join(ep, "id")
+    episode = said.select("seed", "rank", F.lit("episodes").alias("part"), F.concat(F.lit("<episode"), attr("date", day("occurred_at")), attr("source", F.col("source")), F.lit(' id="'), "id", F.lit('">'), text(F.col("content")), F.lit("</episode>")).alias("x"))
+    rows = fact.unionByName(episode).groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("rank", "part", "x"))).alias("xs"))
+    part = lambda name: F.transform(F.filter("xs", lambda x: x["part"] == name), lambda x: x["x"])
+    section = lambda name, tag: F.when(F.size(part(name)) > 0, F.concat(F.lit(f"<{tag}>\n"), F.array_join(part(name), "\n"), F.lit(f"\n</{tag}>\n"))).otherwise(F.lit(""))
+    tokens = F.aggregate("xs", F.lit(20).cast("bigint"), lambda t, x: t + F.floor(F.octet_length(x["x"]) / 4))
+    return rows.select("seed", F.concat(F.lit("<context>\n"), section("facts", "knowledge"), section("episodes", "episodes"), F.lit("</context>")).alias("context"), tokens.alias("tokens"))

@@ -111,12 +111,17 @@ def _grams(c: str):
 def term_entities(log: DataFrame, entities: DataFrame) -> DataFrame:
     """``namespace, term, name, entity_id``: for each term of a namespace's queries every entity whose name contains it.
 
-    Terms meet names through their first three characters, or all of a shorter term, an equi-join on (namespace, gram), and are then checked as a whole;
-    no term is held against every name.
+    Terms meet names through the rarest of their trigrams in the namespace (a shorter term through all of itself), an equi-join on (namespace, gram), and
+    are then checked as a whole; so common beginnings bring nothing together, and a term with a trigram that no name has drops out at once.
     """
-    terms = query_terms(log).withColumn("gram", F.substring("term", 1, 3))
     names = once(live(entities).select("id", "name", "namespace")).withColumn("low", F.lower("name"))
-    hit = terms.join(names.withColumn("gram", F.explode(_grams("low"))), ["namespace", "gram"]).filter(F.contains("low", "term"))
+    grams = names.withColumn("gram", F.explode(_grams("low")))
+    known = grams.groupBy("namespace", "gram").agg(F.count(F.lit(1)).alias("c"))
+    long = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("term") - 2)), lambda i: F.substring(F.col("term"), i, 3))
+    parts = query_terms(log).withColumn("gs", F.array_distinct(long)).withColumn("need", F.size("gs"))
+    parts = parts.select("namespace", "term", "need", F.explode("gs").alias("gram")).join(known, ["namespace", "gram"])
+    best = parts.groupBy("namespace", "term", "need").agg(F.min(F.struct("c", "gram")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n = need")
+    hit = best.select("namespace", "term", F.col("x.gram").alias("gram")).join(grams, ["namespace", "gram"]).filter(F.contains("low", "term"))
     return hit.select("namespace", "term", "name", F.lower("id").alias("entity_id"))
 
 

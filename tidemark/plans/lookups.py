@@ -8,7 +8,7 @@ from tidemark.operators import retrieval as r
 from tidemark.plans.memory import FN_, NEW, _ALIAS
 from tidemark.plans.metrics import A_, AU, E_, EN, EP, FA, N_, PR, of
 from tidemark.plans.problems import _MSG
-from tidemark.plans.retrieval import _COS, _WAYS, DO, EM, IT
+from tidemark.plans.retrieval import _COS, _WAYS, _XML, DO, EM, IT
 
 QUERIES = {
     "optional_filter_entities": of(k.filtered_entities, EN, entity_type="service", part="vault"),
@@ -39,6 +39,7 @@ QUERIES = {
     "retrieval_union": of(c.union_counts, FA, EN, EP),
     "candidate_dedup": of(c.repeats, FA, EN, EP),
     "rank_candidates": of(c.ranked, FA, EN, EP),
+    "compile_package": of(c.packages, FA, EN, EP),
     "build_audit_entry": of(c.audit_entries, FA, EN, EP),
 }
 
@@ -105,6 +106,13 @@ ORACLES = {
     "retrieval_union": _FOUND + " SELECT seed, profile, kind, count(*) AS found, max(relevance) AS best FROM found GROUP BY 1, 2, 3",
     "candidate_dedup": _FOUND + " SELECT seed, kind, count(*) FILTER (WHERE dn = 1) AS kept, count(*) FILTER (WHERE dn > 1) AS rejected FROM dd GROUP BY 1, 2",
     "rank_candidates": _FOUND + " SELECT seed, rank::INT AS rank, kind, id, score FROM rk",
+    "compile_package": _FOUND + f""", te AS (SELECT DISTINCT ON (lower(id)) lower(id) AS id, occurred_at, source, content FROM loom_episodes WHERE deleted_at IS NULL ORDER BY lower(id), ingested_at NULLS LAST)
+        , u AS (SELECT rk.seed, rk.rank, rk.kind, rk.id, sum(CASE kind WHEN 'fact' THEN 50 WHEN 'graph' THEN 30 ELSE greatest(20, least(200, coalesce(strlen(content) // 4, 0))) END) OVER (PARTITION BY seed ORDER BY rank) AS upto FROM rk LEFT JOIN te ON te.id = rk.id)
+        , el AS (SELECT seed, rank, 'facts' AS part, concat('<fact subject="', {_XML("coalesce(s.name, '')")}, '" predicate="', {_XML("coalesce(predicate, '')")}, '" object="', {_XML("coalesce(o.name, '')")}, '" evidence="', coalesce(evidence_status, ''), '" observed="', coalesce(strftime(valid_from, '%Y-%m-%d'), ''), '"/>') AS x
+            FROM u JOIN f ON lower(f.id) = u.id LEFT JOIN n s ON lower(s.id) = f.subject_id LEFT JOIN n o ON lower(o.id) = f.object_id WHERE kind <> 'episode' AND upto <= 500
+          UNION ALL SELECT seed, rank, 'episodes', concat('<episode date="', coalesce(strftime(occurred_at, '%Y-%m-%d'), ''), '" source="', {_XML("coalesce(source, '')")}, '" id="', u.id, '">', {_XML("coalesce(content, '')")}, '</episode>') FROM u JOIN te ON te.id = u.id WHERE kind = 'episode' AND upto <= 500)
+        SELECT seed, '<context>' || chr(10) || coalesce('<knowledge>' || chr(10) || string_agg(x, chr(10) ORDER BY rank) FILTER (WHERE part = 'facts') || chr(10) || '</knowledge>' || chr(10), '')
+          || coalesce('<episodes>' || chr(10) || string_agg(x, chr(10) ORDER BY rank) FILTER (WHERE part = 'episodes') || chr(10) || '</episodes>' || chr(10), '') || '</context>' AS context, (20 + sum(strlen(x) // 4))::BIGINT AS tokens FROM el GROUP BY 1""",
     "build_audit_entry": _FOUND + """, u AS (SELECT seed, CASE kind WHEN 'fact' THEN 50 WHEN 'graph' THEN 30 ELSE 100 END AS cost, sum(CASE kind WHEN 'fact' THEN 50 WHEN 'graph' THEN 30 ELSE 100 END) OVER (PARTITION BY seed ORDER BY rank) AS upto FROM rk)
         SELECT seed, count(*) AS found, count(*) FILTER (WHERE upto <= 500) AS selected, count(*) FILTER (WHERE upto > 500) AS rejected, coalesce(sum(cost) FILTER (WHERE upto <= 500), 0)::BIGINT AS tokens FROM u GROUP BY 1""",
 }
