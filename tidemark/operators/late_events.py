@@ -90,33 +90,39 @@ def closings(records: DataFrame, period_us: int = DAY, bound_us: int | None = No
     pooled: the closing of E is the greatest over all steps that begin before E.  As min(a, max(b, E)) = max(min(a, b), min(a, E)), two
     running maxima over the steps, one row per period, suffice; no source is held against every period.
     """
-    return _closings(progress(records, bound_us or 0, period_us, min(bucket_us, idle_us or bucket_us)), period_us, bound_us is not None, punctuations, idle_us)
+    seen = progress(records, bound_us or 0, period_us, min(bucket_us, idle_us or bucket_us))
+    if punctuations is not None:  # only the words of sources that have records count
+        punctuations = punctuations.select("source", "asserted_us", "at_us").dropna().join(seen.select("source").distinct(), "source", "left_semi")
+    return _closings(seen, period_us, bound_us is not None, punctuations, idle_us)
 
 
 def _closings(seen: DataFrame, period_us: int, marked: bool, punctuations: DataFrame | None, idle_us: int | None) -> DataFrame:
     end, forever = F.col("period_us") + F.lit(period_us), F.lit(FOREVER)
-    sources = seen.select("source").distinct()
     none = F.lit(None).cast("bigint")
-    # every source takes part, also one without mark or silence: its row at k = -FOREVER is never passed
-    rows = sources.select("source", (-forever).alias("k"), none.alias("pass_us"), none.alias("idle_us"))
+    streams = []
     if marked:
-        rows = rows.unionByName(mark_passes(seen).select("source", "k", "pass_us", none.alias("idle_us")))
-    if punctuations is not None:
-        # only assertions of sources that have records count; of those within one period the earliest is enough
-        said = punctuations.dropna().groupBy("source", floor_to(F.col("asserted_us"), period_us).alias("k")).agg(F.min("at_us").alias("pass_us"))
-        rows = rows.unionByName(said.join(sources, "source", "left_semi").select("source", "k", "pass_us", none.alias("idle_us")))
+        streams.append(mark_passes(seen).select("source", "k", "pass_us", none.alias("idle_us")))
     if idle_us is not None:
         # a silence [at + idle, next) passes every end before its own end, hence k = next - 1
-        rows = rows.unionByName(silences(seen, idle_us).select("source", (F.col("next_us") - 1).alias("k"), none.alias("pass_us"), (F.col("at_us") + F.lit(idle_us)).alias("idle_us")))
-    # The streams of a source are merged by k and read backwards: a step is what is still to come at or after k; it holds for ends after the k before.
-    w = Window.partitionBy("source").orderBy(F.desc("k")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = rows.select("source", "k", F.coalesce(F.min("pass_us").over(w), forever).alias("a"), F.coalesce(F.min("idle_us").over(w), forever).alias("b"))
-    steps = steps.withColumn("after_us", F.lag("k").over(Window.partitionBy("source").orderBy("k", F.desc("a"), F.desc("b"))))
-    last = steps.groupBy("source").agg(F.max("k").alias("after_us")).select("after_us", forever.alias("a"), forever.alias("b"))
-    pooled = steps.select("after_us", "a", "b").filter("after_us is not null").unionByName(last)
+        streams.append(silences(seen, idle_us).select("source", (F.col("next_us") - 1).alias("k"), none.alias("pass_us"), (F.col("at_us") + F.lit(idle_us)).alias("idle_us")))
+    if not streams:  # a source without any word holds all open: its row at k = -FOREVER is passed by nothing
+        streams.append(seen.select("source").distinct().select("source", (-forever).alias("k"), none.alias("pass_us"), none.alias("idle_us")))
+    if punctuations is not None:
+        streams.append(punctuations.select("source", floor_to(F.col("asserted_us"), period_us).alias("k"), F.col("at_us").alias("pass_us"), none.alias("idle_us")))
+    rows = streams[0]
+    for more in streams[1:]:
+        rows = rows.unionByName(more)
+    # The streams of a source are merged by k and read backwards: a step is what is still to come at or after k; it holds for ends after the k before,
+    # and after the last one nothing passes.
+    w = Window.partitionBy("source").orderBy(F.desc("k"))
+    back, before, after = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), F.lead("k").over(w), F.lag("k").over(w)
+    steps = rows.select(F.coalesce(before, -forever).alias("after_us"), F.coalesce(F.min("pass_us").over(back), forever).alias("a"), F.coalesce(F.min("idle_us").over(back), forever).alias("b"), "k", after.alias("next_k"))
+    step = lambda at, x, y: F.struct(at.alias("after_us"), x.alias("a"), y.alias("b"))
+    own = step(F.col("after_us"), F.col("a"), F.col("b"))
+    pooled = steps.select(F.explode(F.when(F.col("next_k").isNull(), F.array(own, step(F.col("k"), forever, forever))).otherwise(F.array(own))).alias("x")).select("x.*")
     # an end E lies after a step's begin where floor(begin) + period <= E; steps are counted per period before anything is ordered
     at = F.when(F.col("after_us") <= -forever, -forever).when(F.col("after_us") >= forever - 1, forever).otherwise(floor_to(F.col("after_us"), period_us) + F.lit(period_us))
-    begin = pooled.groupBy(at.alias("e")).agg(F.max(F.least("a", "b")).alias("both"), F.max("a").alias("mark"), none.alias("period_us"))
+    begin = pooled.groupBy(at.alias("e")).agg(F.max(F.least("a", "b")).alias("both"), F.max("a").alias("mark")).withColumn("period_us", none)
     periods = seen.select("period_us").distinct()
     calendar = begin.unionByName(periods.select(end.alias("e"), none.alias("both"), none.alias("mark"), "period_us"))
     up = Window.orderBy("e").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # one row a day, a calendar
