@@ -9,6 +9,7 @@ from tidemark.operators.common import episodes_once, live, once
 from tidemark.operators.memory import facts_once, fact_ends
 from tidemark.operators.ranking import AUTHORITY, ITEM_TOKENS, xml_escape
 from tidemark.operators.retrieval import recency, seeds, walks
+from tidemark.session import shared_dir
 
 
 def retrieved(facts: DataFrame, entities: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -83,8 +84,10 @@ def packages(facts: DataFrame, entities: DataFrame, episodes: DataFrame, budget:
 
     A fact costs 50, one from the graph 30, an episode a quarter of its bytes, 20 to 200; a running sum over the ranking decides, so a text
     holds at most budget / 20 elements and nothing longer is gathered.  Tokens are 20 and a quarter of each element's bytes.
-    Facts whose ends have no live entity are written with empty names.
+    Facts whose ends have no live entity are written with empty names.  What was chosen is small and read for facts and for episodes, so it is
+    kept in the shared folder.
     """
+    shared_dir(facts.sparkSession)
     n = once(live(entities).select("id", "name")).select(F.lower("id").alias("e"), "name")
     f = facts_once(facts, "subject_id", "predicate", "object_id", "evidence_status", "valid_from").select(F.lower("id").alias("id"), "subject_id", "predicate", "object_id", "evidence_status", "valid_from")
     text = lambda c: xml_escape(F.coalesce(c, F.lit("")))
@@ -94,7 +97,7 @@ def packages(facts: DataFrame, entities: DataFrame, episodes: DataFrame, budget:
     costs = ep.select("id", size.alias("size"))
     cost = F.when(F.col("kind") == "episode", F.col("size")).when(F.col("kind") == "graph", 30).otherwise(50)
     w = Window.partitionBy("seed").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chosen = ranked(facts, entities, episodes).join(costs, "id", "left").withColumn("upto", F.sum(cost).over(w)).filter(F.col("upto") <= budget).select("seed", "rank", "kind", "id")
+    chosen = ranked(facts, entities, episodes).join(costs, "id", "left").withColumn("upto", F.sum(cost).over(w)).filter(F.col("upto") <= budget).select("seed", "rank", "kind", "id").checkpoint()
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     ends = chosen.filter("kind <> 'episode'").join(f, "id").join(n.toDF("subject_id", "s"), "subject_id", "left").join(n.toDF("object_id", "o"), "object_id", "left")
     fact = ends.select("seed", "rank", F.lit("facts").alias("part"), F.concat(F.lit("<fact"), attr("subject", F.col("s")), attr("predicate", F.col("predicate")), attr("object", F.col("o")), attr("evidence", F.col("evidence_status")), attr("observed", day("valid_from")), F.lit("/>")).alias("x"))
