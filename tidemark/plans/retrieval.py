@@ -126,6 +126,10 @@ ORACLES = {
     "latency_thresholds": A_ + "SELECT namespace, CASE WHEN latency_total_ms >= 1000 THEN 'critical' WHEN latency_total_ms >= 500 THEN 'warn' ELSE 'ok' END AS level, count(*) AS n FROM a WHERE latency_total_ms >= 0 GROUP BY 1, 2",
     "entity_match_fraction": "SELECT item_id, (CASE WHEN len(coalesce(expected_entities, [])) > 0 THEN round(len(list_filter(expected_entities, lambda n: contains(lower(concat_ws(' ', query, passage)), lower(n)))) / len(expected_entities)::DOUBLE, 6) ELSE 0.0 END)::DOUBLE AS fraction FROM eval_items",
     "running_compilations": A_ + ", d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n FROM a WHERE created_at IS NOT NULL GROUP BY 1) SELECT day, n, (sum(n) OVER (ORDER BY day))::BIGINT AS so_far FROM d",
+    "session_chunker": """WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(text, chr(10)) AS l FROM documents WHERE doc_kind = 'session' AND text <> '')
+        , c AS (SELECT *, list_reduce(l, lambda acc, x: CASE WHEN len(acc.c) > 0 AND acc.size + 1 + strlen(x) > 4096 THEN {'size': strlen(x), 'c': list_append(acc.c, acc.c[-1] + 1)} ELSE {'size': acc.size + 1 + strlen(x), 'c': list_append(acc.c, coalesce(acc.c[-1], 0))} END, {'size': -1::BIGINT, 'c': []::INT[]}) AS q FROM d)
+        , u AS (SELECT doc_id, r, unnest(l) AS line, unnest(q.c) AS chunk, unnest(range(1, len(l) + 1)) AS pos FROM c)
+        SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY pos) AS text, count(*)::INT AS lines FROM u GROUP BY doc_id, r, chunk""",
     "event_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
     "event_sliding": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (h) HOUR, '%Y-%m-%d %H:%M') AS start, count(*) AS events FROM events, range(0, 6) AS t(h) WHERE ts IS NOT NULL GROUP BY 1",
     "event_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
