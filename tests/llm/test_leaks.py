@@ -151,3 +151,67 @@ def test_empty(spark, items):
     counts = leaks.leak_counts(df, items)
     assert counts.count() == items.count() and counts.agg(F.sum("documents")).first()[0] == 0
     assert leaks.leaks(docs, items.withColumn("passage", F.lit(None).cast("string"))).count() == 0
+
+
+def test_own_stretch_of_seeds_that_other_items_have(spark):
+    """Every seed of item 1 stands in another item, and every word in three others, but all twelve words stand in no other."""
+    w = [f"w{k}" for k in range(12)]
+    x = [[f"x{n}a{k}" for k in range(9)] for n in range(5)]
+    rows = [(1, w), (2, w[:8] + x[0] + w[4:]), (3, x[1] + w[:7]), (4, w[5:] + x[2]), (5, x[3] + w[2:10] + x[4])]
+    rows += [(6, w[:5] + x[0] + w[5:7] + x[1] + w[7:])]
+    items = spark.createDataFrame([(n, " ".join(p)) for n, p in rows], "item_id bigint, passage string")
+    texts = {1: " ".join(w), 2: "So it says: " + " ".join(w).upper() + ".", 3: " ".join(w[:8]), 4: " ".join(w[2:10]), 5: " ".join(w[:6] + ["and"] + w[6:])}
+    assert find(spark, texts, items) == {(1, 1), (2, 1), (5, 1)}
+
+
+def test_text_of_as_many_items_as_may_share_it(spark):
+    p = " ".join(f"p{k}" for k in range(20))
+    items = spark.createDataFrame([(n, f"{p} {' '.join(f'e{n}x{k}' for k in range(14))}") for n in range(1, 5)], "item_id bigint, passage string")
+    df = spark.createDataFrame([(7, p)], "doc_id bigint, text string")
+    assert {tuple(r) for r in leaks.leaks(df, items, shared=4).collect()} == {(7, n) for n in range(1, 5)}
+    assert leaks.leaks(df, items, shared=3).count() == 0
+
+
+def by_force(texts: dict[int, str], passages: dict[int, str], shared: int) -> set[tuple[int, int]]:
+    """All items against all texts, nothing left out beforehand."""
+    known = {g: leaks.tokens(p) for g, p in passages.items()}
+    held: dict[int, dict[int, list[int]]] = {}
+    for g, toks in known.items():
+        for h, p in zip(*[x.tolist() for x in (leaks.seeds([toks])[0], leaks.seeds([toks])[2])]):
+            held.setdefault(h, {}).setdefault(g, []).append(p)
+    of = {t: sum(t in toks for toks in known.values()) for toks in known.values() for t in toks}
+    out = set()
+    for doc, text in texts.items():
+        toks = leaks.tokens(text)
+        h, _, at = leaks.seeds([toks])
+        for g, passage in known.items():
+            hits = [(d, x, False) for x, d in zip(h.tolist(), at.tolist()) if g in held.get(x, ())]
+            rare = {t for t in passage if of[t] <= max(2, shared)}
+            for _, on in leaks.stretches(toks, passage, rare, hits, {x: held[x][g] for _, x, _ in hits}):
+                marks = [(d, p, held[x]) for x, d, p in on]
+                having = [
+                    k for k in known
+                    if any(all(d + t in m.get(k, ()) for d, _, m in marks) or all(p + t in m.get(k, ()) for _, p, m in marks) for t in range(-100, 100))
+                ]
+                if len(having) <= shared:
+                    out.add((doc, g))
+    return out
+
+
+@pytest.mark.parametrize("shared", [1, 2, 4])
+def test_all_items_against_all_texts(spark, shared):
+    """Passages put together from the same few phrases and words, with repeats within a passage."""
+    rnd = random.Random(shared)
+    phrases = [[f"t{rnd.randrange(30)}" for _ in range(rnd.randrange(3, 9))] for _ in range(7)]
+    passages = {n: " ".join(sum((rnd.choice(phrases) for _ in range(rnd.randrange(2, 6))), [])) for n in range(1, 25)}
+    passages |= {30: "a " * 20, 31: "a " * 30 + "b", 32: "a b " * 10}
+    passages = {min(k for k in passages if passages[k].split() == p.split()): p for p in passages.values()}
+    texts = {n: " ".join(sum((rnd.choice(phrases) for _ in range(rnd.randrange(2, 5))), [])) for n in range(60)}
+    for n in range(60, 100):
+        part = rnd.choice(list(passages.values())).split()[:34]
+        part[rnd.randrange(len(part))] = rnd.choice(["", "q", "q r"])
+        texts[n] = " ".join(part)
+    items = spark.createDataFrame(list(passages.items()), "item_id bigint, passage string")
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = by_force(texts, passages, shared)
+    assert {tuple(r) for r in leaks.leaks(df, items, shared).collect()} == want and len(want) > 5

@@ -1,10 +1,15 @@
 """Evaluation passages in training texts, by spaced seeds.
 
 A seed is the hash of the tokens under a fixed mask; places the mask leaves out may differ.  Items with equal passages are one group and are
-reported together; seeds of more than ``shared`` groups are common text and are dropped.  Texts are read once: a task keeps the places whose
-seed may be one of the items' (a Bloom filter sized by their number) together with the tokens around them, in windows that are written to
-the shared folder.  Spark joins seeds and places alone, brings the tokens of the windows concerned back by window, once for each
-window and item, and the tokens around the hits are aligned with the passage, tolerating changed, dropped and added tokens.
+reported together.  Texts are read once: a task keeps the places whose seed may be one of the items' (a Bloom filter sized by their number)
+together with the tokens around them, in windows that are written to the shared folder.  Spark joins seeds and places alone, brings the tokens
+of the windows concerned back by window, once for each window and item, and the tokens around the hits are aligned with the passage,
+tolerating changed, dropped and added tokens.
+
+Common is a stretch, never a seed: a stretch is common text where the seeds on it stand, at the same distances, in the passages of more than
+``shared`` groups.  A seed of at most ``shared`` groups proves a stretch not to be common.  Where there is none, groups all of whose seeds in a
+window stand in enough other groups as they stand in the document are left out before tokens are brought back (no part of them can be anything
+but common), once for each pattern of seeds, however many windows have it; the stretches of the others are looked up in all passages.
 
 Tokens are words of NFKC-folded text without markup; Han, Hiragana and Katakana count by character.
 """
@@ -14,9 +19,9 @@ from __future__ import annotations
 import re as plain_re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex as re
 import xxhash
@@ -87,8 +92,8 @@ def groups(known: DataFrame) -> DataFrame:
     return known.groupBy("same").agg(F.min(F.struct("item_id", "toks")).alias("x")).select(F.col("x.item_id").alias("g"), "x.toks")
 
 
-def item_seeds(passages: DataFrame, shared: int = 1) -> DataFrame:
-    """``hash, g, p_at``: seeds of the passages (g, toks) that at most ``shared`` groups have, each once per group."""
+def item_seeds(passages: DataFrame) -> DataFrame:
+    """``hash, held``: every seed of the passages (g, toks) with all groups that have it and all its places there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,9 +101,8 @@ def item_seeds(passages: DataFrame, shared: int = 1) -> DataFrame:
                 h, _, at = seeds([toks])
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), g)), pa.array(at.astype(np.int32))], names=["hash", "g", "p_at"])
 
-    each = passages.mapInArrow(run, "hash bigint, g bigint, p_at int").groupBy("hash", "g").agg(F.min("p_at").alias("p_at"))
-    few = each.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= shared).select("hash")
-    return each.join(few, "hash")
+    each = passages.mapInArrow(run, "hash bigint, g bigint, p_at int").groupBy("hash", "g").agg(F.sort_array(F.collect_list("p_at")).alias("at"))
+    return each.groupBy("hash").agg(F.collect_list(F.struct("g", "at")).alias("held"))
 
 
 SHIFTS = (0, 21, 36)  # each seed sets the bits at these shifts of its hash and at their mix; all four must be set
@@ -191,72 +195,189 @@ def _walk(a: list[str], b: list[str], i: int, j: int, step: int) -> list[tuple[i
     return out
 
 
-def reads_like(doc: list[str], passage: list[str], rare: set[str], hits: list[tuple[int, int]]) -> bool:
-    """Whether the document has a long enough stretch of the passage around one of the hits.
+def not_covered(marks: list[tuple[int, list[tuple[int, int]]]], shared: int) -> dict[int, list[int]]:
+    """The groups that may have a stretch of their own among ``marks`` (place in the window, groups with a place in the passage), with their marks.
 
-    The stretch must reach MIN_WORDS words (MIN_CHARS characters where the passage is mostly wide script) in the document,
-    agree in most tokens, and agree in at least half of the tokens that are the item's own (names, numbers), so that the same
-    wording about other names, which several items share, makes no case.
+    A group is left out where ``shared`` others have all of its marks at the distances of the document, hence every part of them.
     """
-    wide = sum(len(t) == 1 and WIDE.match(t) is not None for t in passage) * 2 > len(passage)
-    size = (lambda ts: sum(len(t) for t in ts)) if wide else len
-    done: set[int] = set()
-    for d, p in sorted(hits):
-        if d in done or d >= len(doc) or p >= len(passage):
-            continue
-        right = _walk(doc, passage, d, p, 1)
-        left = _walk(doc, passage, d - 1, p - 1, -1)
-        same = left[::-1] + right
-        if not same:
-            continue
-        done.update(x for x, _ in same)
-        # trim ends where fewer than half of the tokens agree
-        while len(same) > 3 and same[3][0] - same[0][0] > 7:
-            same = same[1:]
-        while len(same) > 3 and same[-1][0] - same[-4][0] > 7:
-            same = same[:-1]
-        (d0, p0), (d1, p1) = same[0], same[-1]
-        if size(doc[d0 : d1 + 1]) < (MIN_CHARS if wide else MIN_WORDS) and size(passage[p0 : p1 + 1]) < (MIN_CHARS if wide else MIN_WORDS):
-            continue
-        agree = len(same) / max(d1 - d0 + 1, p1 - p0 + 1)
-        own = [k for k in range(p0, p1 + 1) if passage[k] in rare]
-        hit = {y for _, y in same}
-        if agree >= 0.65 and own and 2 * sum(k in hit for k in own) >= len(own):
-            return True
-    return False
+    whole: dict[int, int] = {}
+    least: dict[int, int] = {}  # of the marks of a group, the one that the fewest groups have
+    lines: dict[tuple[int, int], int] = {}
+    for i, (d, held) in enumerate(marks):
+        for g, p in held:
+            whole[g] = whole.get(g, 0) | 1 << i
+            lines[g, d - p] = lines.get((g, d - p), 0) | 1 << i
+            if g not in least or len(held) < len(marks[least[g]][1]):
+                least[g] = i
+    covers: dict[int, set[int]] = {}
+    out = {}
+    for g, mine in whole.items():
+        if mine not in covers:
+            covers[mine] = some = set()
+            d, held = marks[least[g]]
+            for h, p in held:
+                if mine & ~lines[h, d - p] == 0:
+                    some.add(h)
+                    if len(some) > shared:
+                        break
+        if len(covers[mine] - {g}) < shared:
+            out[g] = [i for i in range(len(marks)) if mine >> i & 1]
+    return out
+
+
+def shared_hits(places: DataFrame, common: DataFrame, shared: int) -> DataFrame:
+    """``win, g, hits`` from the seeds that more than ``shared`` groups have, where they may make a stretch that no more than those have."""
+    each = places.join(common.select("hash"), "hash").groupBy("win").agg(F.sort_array(F.collect_list(F.struct("d_at", "hash"))).alias("x"))
+    lists = each.select("win", F.col("x")[0]["d_at"].alias("from"), F.transform("x", lambda m: F.struct((m["d_at"] - F.col("x")[0]["d_at"]).alias("d_at"), m["hash"].alias("hash"))).alias("x"))
+    lists = lists.withColumn("pattern", F.sha2(F.to_json("x"), 256))
+    marks = lists.groupBy("pattern").agg(F.first("x").alias("x")).select("pattern", F.explode("x").alias("m")).select("pattern", "m.d_at", "m.hash")
+    firsts = common.select("hash", F.transform("held", lambda h: F.struct(h["g"].alias("g"), h["at"][0].alias("p_at"))).alias("held"))  # enough to leave groups out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = pa.list_(pa.struct([("d_at", pa.int32()), ("hash", pa.int64())]))
+        for b in batches:
+            for pattern, rows in zip(b.column("pattern"), b.column("marks")):
+                rows = rows.as_py()
+                left = not_covered([(m["d_at"], [(h["g"], h["p_at"]) for h in m["held"]]) for m in rows], shared)
+                if left:
+                    hits = [[{"d_at": rows[i]["d_at"], "hash": rows[i]["hash"]} for i in own] for own in left.values()]
+                    yield pa.RecordBatch.from_arrays([pa.array([pattern.as_py()] * len(left)), pa.array(list(left), pa.int64()), pa.array(hits, hit)], names=["pattern", "g", "hits"])
 
+    gathered = marks.join(firsts, "hash").groupBy("pattern").agg(F.collect_list(F.struct("d_at", "hash", "held")).alias("marks"))
+    left = gathered.mapInArrow(run, "pattern string, g bigint, hits array<struct<d_at: int, hash: bigint>>")
+    hits = F.transform("hits", lambda m: F.struct((m["d_at"] + F.col("from")).alias("d_at"), m["hash"].alias("hash"), F.lit(False).alias("few")))
+    return left.join(lists.select("win", "from", "pattern"), "pattern").select("win", "g", hits.alias("hits"))
 
-def verified(pairs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``doc_id, g`` of pairs (doc_id, g, toks, hits) whose tokens read like the group's passage."""
-    # a token is the passage's own where at most two groups have it
+
+def stretches(doc: list[str], passage: list[str], rare: set[str], hits: list[tuple[int, int, bool]], places: dict[int, list[int]]) -> Iterator[tuple[bool, list[tuple[int, int, int]]]]:
+    """Long enough stretches of the document that read like the passage around ``hits`` (place, seed, whether few groups have it).
+
+    A stretch must reach MIN_WORDS words (MIN_CHARS characters where the passage is mostly wide script) in the document,
+    agree in most tokens, and agree in at least half of the tokens that are the item's own (names, numbers), if it has any, so that the same
+    wording about other names makes no case.  Whether a seed of few groups is on it, and the seeds on it as (hash, d_at, p_at).
+    """
+    wide = sum(len(t) == 1 and WIDE.match(t) is not None for t in passage) * 2 > len(passage)
+    size = (lambda ts: sum(len(t) for t in ts)) if wide else len
+    least = MIN_CHARS if wide else MIN_WORDS
+    here: dict[int, dict[int, bool]] = {}
+    for d, h, few in hits:
+        here.setdefault(d, {})[h] = few
+    there: dict[int, set[int]] = {}
+    for h in {h for _, h, _ in hits}:
+        for p in places.get(h, ()):
+            there.setdefault(p, set()).add(h)
+    done: set[tuple[int, int]] = set()
+    for d in sorted(here):
+        for p in sorted({p for h in here[d] for p in places.get(h, ())}):
+            if (d, p) in done:
+                continue
+            same = _walk(doc, passage, d - 1, p - 1, -1)[::-1] + _walk(doc, passage, d, p, 1)
+            done.update(same)
+            # trim ends where fewer than half of the tokens agree
+            while len(same) > 3 and same[3][0] - same[0][0] > 7:
+                same = same[1:]
+            while len(same) > 3 and same[-1][0] - same[-4][0] > 7:
+                same = same[:-1]
+            if not same:
+                continue
+            (d0, p0), (d1, p1) = same[0], same[-1]
+            if size(doc[d0 : d1 + 1]) < least and size(passage[p0 : p1 + 1]) < least:
+                continue
+            agree = len(same) / max(d1 - d0 + 1, p1 - p0 + 1)
+            own = [k for k in range(p0, p1 + 1) if passage[k] in rare]
+            hit = {y for _, y in same}
+            if agree >= 0.65 and 2 * sum(k in hit for k in own) >= len(own):
+                on = [(h, x, y) for x, y in same for h in here.get(x, ()) if h in there.get(y, ())]
+                if on:
+                    yield any(here[x][h] for h, x, _ in on), on
+
+
+def aligned(pairs: DataFrame, passages: DataFrame, shared: int) -> DataFrame:
+    """``doc_id, g, on`` of pairs (doc_id, g, toks, hits) whose tokens read like the group's passage; ``on`` is null where few groups have a
+    seed of the stretch, otherwise the seeds on it as (hash, d_at from the first on, p_at), a row for each stretch."""
+    # a token is the passage's own where at most two groups have it, or as many as may share a text
     each = passages.select("g", F.explode(F.array_distinct("toks")).alias("tok"))
-    few = each.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).filter("k <= 2").select("tok")
+    few = each.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= max(2, shared)).select("tok")
     rare = each.join(few, "tok").groupBy(F.col("g").alias("r")).agg(F.collect_list("tok").alias("rare"))
     known = passages.select(F.col("g").alias("i"), F.col("toks").alias("passage")).join(rare, F.col("i") == F.col("r"), "left").drop("r")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(1000)
+        def places(passage: tuple[str, ...]) -> dict[int, list[int]]:
+            out: dict[int, list[int]] = {}
+            h, _, at = seeds([list(passage)])
+            for x, y in zip(h.tolist(), at.tolist()):
+                out.setdefault(x, []).append(y)
+            return out
+
+        on = pa.list_(pa.struct([("hash", pa.int64()), ("d_at", pa.int32()), ("p_at", pa.int32())]))
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for r in b.to_pylist():
+                found: list | None = []
+                for sure, at in stretches(r["toks"], r["passage"], set(r["rare"] or ()), [(h["d_at"], h["hash"], h["few"]) for h in r["hits"]], places(tuple(r["passage"]))):
+                    if sure:
+                        found = None
+                        break
+                    found.append([{"hash": h, "d_at": d - at[0][1], "p_at": p} for h, d, p in sorted(at, key=lambda a: (a[1], a[2], a[0]))])
+                for x in [None] if found is None else found:
+                    out[0].append(r["doc_id"]), out[1].append(r["g"]), out[2].append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], on)], names=["doc_id", "g", "on"])
+
+    rows = pairs.join(known, F.col("g") == F.col("i")).select("doc_id", "g", "toks", "passage", "rare", "hits")
+    return rows.mapInArrow(run, "doc_id bigint, g bigint, on array<struct<hash: bigint, d_at: int, p_at: int>>")
+
+
+def is_common(marks: list[tuple[int, int, dict[int, list[int]]]], shared: int) -> bool:
+    """Whether more than ``shared`` groups have all ``marks`` (d_at, p_at, places by group) at the distances of the document or of the passage."""
+    at = [(d, p, {g: set(q) for g, q in held.items()}) for d, p, held in marks]
+    d0, p0, first = min(at, key=lambda m: len(m[2]))
+    n = 0
+    for g, places in first.items():
+        if all(g in held for _, _, held in at):
+            n += any(all(q - d0 + d in held[g] for d, _, held in at) or all(q - p0 + p in held[g] for _, p, held in at) for q in places)
+            if n > shared:
+                return True
+    return False
+
+
+def not_common(asked: DataFrame, own: DataFrame, shared: int) -> DataFrame:
+    """``text`` of the stretches (text, on) that at most ``shared`` groups have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [reads_like(list(t), list(p), set(r if r is not None else ()), [(h["d_at"], h["p_at"]) for h in hs]) for t, p, r, hs in zip(b["toks"], b["passage"], b["rare"], b["hits"])]
-            yield b.loc[ok, ["doc_id", "g"]]
+            keep = []
+            for text, marks in zip(b.column("text").to_pylist(), b.column("marks")):
+                if not is_common([(m["d_at"], m["p_at"], {h["g"]: h["at"] for h in m["held"]}) for m in marks.as_py()], shared):
+                    keep.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], names=["text"])
 
-    return pairs.join(known, F.col("g") == F.col("i")).select("doc_id", "g", "toks", "passage", "rare", "hits").mapInPandas(run, "doc_id bigint, g bigint").distinct()
+    marks = asked.select("text", F.explode("on").alias("m")).select("text", "m.hash", "m.d_at", "m.p_at").join(own, "hash")
+    return marks.groupBy("text").agg(F.collect_list(F.struct("d_at", "p_at", "held")).alias("marks")).mapInArrow(run, "text string")
 
 
 def leaks(documents: DataFrame, items: DataFrame, shared: int = 1) -> DataFrame:
     """``doc_id, item_id``: documents and the items that they leak.  Null and empty texts leak nothing; items without passage are not leaked.
 
-    ``shared``: seeds that more groups of equal passages have are common text.
+    ``shared``: stretches that more groups of equal passages have are common text.
     """
     shared_dir(documents.sparkSession)
     known = item_tokens(items)
     passages = groups(known)
-    own = item_seeds(passages, shared).checkpoint()  # counted, turned into the bit table and joined
+    own = item_seeds(passages).checkpoint()  # counted, turned into the bit table and joined
     windows = hit_windows(documents, bit_table(own)).withColumn("win", F.monotonically_increasing_id()).checkpoint()  # read for its places and for its tokens
     places = windows.select("win", F.explode("hits").alias("h")).select("win", "h.hash", "h.d_at")
-    hits = places.join(own, "hash").groupBy("win", "g").agg(F.collect_list(F.struct("d_at", "p_at")).alias("hits"))  # at most the places of a window
+    few = own.filter(F.size("held") <= shared).select("hash", F.col("held")["g"].alias("gs"))
+    direct = places.join(few, "hash").select("win", F.explode("gs").alias("g"), F.struct("d_at", "hash", F.lit(True).alias("few")).alias("h"))
+    direct = direct.groupBy("win", "g").agg(F.collect_list("h").alias("hits"))  # at most the places of a window
+    both = direct.unionByName(shared_hits(places, own.filter(F.size("held") > shared), shared))
+    hits = both.groupBy("win", "g").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     pairs = hits.join(windows.select("win", "doc_id", "toks"), "win")
+    found = aligned(pairs, passages, shared).withColumn("text", F.sha2(F.to_json("on"), 256)).checkpoint()  # read for the stretches to look up and for the rest
+    asked = found.filter("text IS NOT NULL").groupBy("text").agg(F.first("on").alias("on"))
+    cases = found.filter("text IS NULL").select("doc_id", "g").unionByName(found.join(not_common(asked, own, shared), "text").select("doc_id", "g"))
     members = known.select("item_id", "same").join(known.groupBy("same").agg(F.min("item_id").alias("g")), "same").select("item_id", "g")
-    return verified(pairs, passages).join(members, "g").select("doc_id", "item_id").distinct()
+    return cases.join(members, "g").select("doc_id", "item_id").distinct()
 
 
 def leak_counts(documents: DataFrame, items: DataFrame) -> DataFrame:
