@@ -195,6 +195,16 @@ def _walk(a: list[str], b: list[str], i: int, j: int, step: int) -> list[tuple[i
     return out
 
 
+def _rows(lists: pa.ListArray, *fields: str) -> Iterator[list[tuple]]:
+    """The structs of each list as tuples of plain values; a list field gives a list of such tuples.  Much quicker than one by one."""
+    flat = lists.flatten()
+    columns = [list(_rows(c, *[f.name for f in c.type.value_type])) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False).tolist() for c in map(flat.field, fields)]
+    values = list(zip(*columns))
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    for i, j in zip([0, *ends], ends):
+        yield values[i:j]
+
+
 def not_covered(marks: list[tuple[int, list[tuple[int, int]]]], shared: int) -> dict[int, list[int]]:
     """The groups that may have a stretch of their own among ``marks`` (place in the window, groups with a place in the passage), with their marks.
 
@@ -236,12 +246,11 @@ def shared_hits(places: DataFrame, common: DataFrame, shared: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = pa.list_(pa.struct([("d_at", pa.int32()), ("hash", pa.int64())]))
         for b in batches:
-            for pattern, rows in zip(b.column("pattern"), b.column("marks")):
-                rows = rows.as_py()
-                left = not_covered([(m["d_at"], [(h["g"], h["p_at"]) for h in m["held"]]) for m in rows], shared)
+            for pattern, rows in zip(b.column("pattern").to_pylist(), _rows(b.column("marks"), "d_at", "hash", "held")):
+                left = not_covered([(d, held) for d, _, held in rows], shared)
                 if left:
-                    hits = [[{"d_at": rows[i]["d_at"], "hash": rows[i]["hash"]} for i in own] for own in left.values()]
-                    yield pa.RecordBatch.from_arrays([pa.array([pattern.as_py()] * len(left)), pa.array(list(left), pa.int64()), pa.array(hits, hit)], names=["pattern", "g", "hits"])
+                    hits = [[{"d_at": rows[i][0], "hash": rows[i][1]} for i in own] for own in left.values()]
+                    yield pa.RecordBatch.from_arrays([pa.array([pattern] * len(left)), pa.array(list(left), pa.int64()), pa.array(hits, hit)], names=["pattern", "g", "hits"])
 
     gathered = marks.join(firsts, "hash").groupBy("pattern").agg(F.collect_list(F.struct("d_at", "hash", "held")).alias("marks"))
     left = gathered.mapInArrow(run, "pattern string, g bigint, hits array<struct<d_at: int, hash: bigint>>")
@@ -293,7 +302,7 @@ def stretches(doc: list[str], passage: list[str], rare: set[str], hits: list[tup
 
 
 def aligned(pairs: DataFrame, passages: DataFrame, shared: int) -> DataFrame:
-    """``doc_id, g, on`` of pairs (doc_id, g, toks, hits) whose tokens read like the group's passage; ``on`` is null where few groups have a
+    """``doc_id, g, on`` of pairs (win, doc_id, g, toks, hits) whose tokens read like the group's passage; ``on`` is null where few groups have a
     seed of the stretch, otherwise the seeds on it as (hash, d_at from the first on, p_at), a row for each stretch."""
     # a token is the passage's own where at most two groups have it, or as many as may share a text
     each = passages.select("g", F.explode(F.array_distinct("toks")).alias("tok"))
@@ -303,28 +312,32 @@ def aligned(pairs: DataFrame, passages: DataFrame, shared: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(1000)
-        def places(passage: tuple[str, ...]) -> dict[int, list[int]]:
-            out: dict[int, list[int]] = {}
-            h, _, at = seeds([list(passage)])
+        def item(g: int) -> tuple[list[str], set[str], dict[int, list[int]]]:
+            passage, places = b.column("passage")[i].as_py(), {}
+            h, _, at = seeds([passage])
             for x, y in zip(h.tolist(), at.tolist()):
-                out.setdefault(x, []).append(y)
-            return out
+                places.setdefault(x, []).append(y)
+            return passage, set(b.column("rare")[i].as_py() or ()), places
 
+        last, toks = None, []
         on = pa.list_(pa.struct([("hash", pa.int64()), ("d_at", pa.int32()), ("p_at", pa.int32())]))
         for b in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for r in b.to_pylist():
+            for i, (win, doc, g, hits) in enumerate(zip(b.column("win").to_pylist(), b.column("doc_id").to_pylist(), b.column("g").to_pylist(), _rows(b.column("hits"), "d_at", "hash", "few"))):
+                if win != last:  # the items of a window mostly come one after the other
+                    last, toks = win, b.column("toks")[i].as_py()
+                passage, rare, places = item(g)
                 found: list | None = []
-                for sure, at in stretches(r["toks"], r["passage"], set(r["rare"] or ()), [(h["d_at"], h["hash"], h["few"]) for h in r["hits"]], places(tuple(r["passage"]))):
+                for sure, at in stretches(toks, passage, rare, hits, places):
                     if sure:
                         found = None
                         break
                     found.append([{"hash": h, "d_at": d - at[0][1], "p_at": p} for h, d, p in sorted(at, key=lambda a: (a[1], a[2], a[0]))])
                 for x in [None] if found is None else found:
-                    out[0].append(r["doc_id"]), out[1].append(r["g"]), out[2].append(x)
+                    out[0].append(doc), out[1].append(g), out[2].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], on)], names=["doc_id", "g", "on"])
 
-    rows = pairs.join(known, F.col("g") == F.col("i")).select("doc_id", "g", "toks", "passage", "rare", "hits")
+    rows = pairs.join(known, F.col("g") == F.col("i")).select("win", "doc_id", "g", "toks", "passage", "rare", "hits")
     return rows.mapInArrow(run, "doc_id bigint, g bigint, on array<struct<hash: bigint, d_at: int, p_at: int>>")
 
 
