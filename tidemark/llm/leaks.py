@@ -206,7 +206,7 @@ def _rows(lists: pa.ListArray, *fields: str) -> Iterator[list[tuple]]:
 
 
 def not_covered(marks: list[tuple[int, list[tuple[int, int]]]], shared: int) -> dict[int, list[int]]:
-    """The groups that may have a stretch of their own among ``marks`` (place in the window, groups with a place in the passage), with their marks.
+    """The groups that may have a stretch of their own among ``marks`` (place in the window, groups with places in the passage), with their marks.
 
     A group is left out where ``shared`` others have all of its marks at the distances of the document, hence every part of them.
     """
@@ -241,7 +241,8 @@ def shared_hits(places: DataFrame, common: DataFrame, shared: int) -> DataFrame:
     lists = each.select("win", F.col("x")[0]["d_at"].alias("from"), F.transform("x", lambda m: F.struct((m["d_at"] - F.col("x")[0]["d_at"]).alias("d_at"), m["hash"].alias("hash"))).alias("x"))
     lists = lists.withColumn("pattern", F.sha2(F.to_json("x"), 256))
     marks = lists.groupBy("pattern").agg(F.first("x").alias("x")).select("pattern", F.explode("x").alias("m")).select("pattern", "m.d_at", "m.hash")
-    firsts = common.select("hash", F.transform("held", lambda h: F.struct(h["g"].alias("g"), h["at"][0].alias("p_at"))).alias("held"))  # enough to leave groups out
+    # eight places of a seed in a passage: without the rest fewer groups are left out here, so nothing is lost
+    some = common.select("hash", F.flatten(F.transform("held", lambda h: F.transform(F.slice(h["at"], 1, 8), lambda p: F.struct(h["g"].alias("g"), p.alias("p_at"))))).alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = pa.list_(pa.struct([("d_at", pa.int32()), ("hash", pa.int64())]))
@@ -252,7 +253,7 @@ def shared_hits(places: DataFrame, common: DataFrame, shared: int) -> DataFrame:
                     hits = [[{"d_at": rows[i][0], "hash": rows[i][1]} for i in own] for own in left.values()]
                     yield pa.RecordBatch.from_arrays([pa.array([pattern] * len(left)), pa.array(list(left), pa.int64()), pa.array(hits, hit)], names=["pattern", "g", "hits"])
 
-    gathered = marks.join(firsts, "hash").groupBy("pattern").agg(F.collect_list(F.struct("d_at", "hash", "held")).alias("marks"))
+    gathered = marks.join(some, "hash").groupBy("pattern").agg(F.collect_list(F.struct("d_at", "hash", "held")).alias("marks"))
     left = gathered.mapInArrow(run, "pattern string, g bigint, hits array<struct<d_at: int, hash: bigint>>")
     hits = F.transform("hits", lambda m: F.struct((m["d_at"] + F.col("from")).alias("d_at"), m["hash"].alias("hash"), F.lit(False).alias("few")))
     return left.join(lists.select("win", "from", "pattern"), "pattern").select("win", "g", hits.alias("hits"))
