@@ -263,8 +263,8 @@ def stretches(doc: list[str], passage: list[str], rare: set[str], hits: list[tup
     """Long enough stretches of the document that read like the passage around ``hits`` (place, seed, whether few groups have it).
 
     A stretch must reach MIN_WORDS words (MIN_CHARS characters where the passage is mostly wide script) in the document,
-    agree in most tokens, and agree in at least half of the tokens that are the item's own (names, numbers), if it has any, so that the same
-    wording about other names makes no case.  Whether a seed of few groups is on it, and the seeds on it as (hash, d_at, p_at).
+    agree in most tokens, and agree in at least half of the tokens that are the item's own (names, numbers), or in every token of the passage
+    where none is, so that the same wording about other names makes no case.  Whether a seed of few groups is on it, and the seeds on it as (hash, d_at, p_at).
     """
     wide = sum(len(t) == 1 and WIDE.match(t) is not None for t in passage) * 2 > len(passage)
     size = (lambda ts: sum(len(t) for t in ts)) if wide else len
@@ -293,10 +293,11 @@ def stretches(doc: list[str], passage: list[str], rare: set[str], hits: list[tup
             (d0, p0), (d1, p1) = same[0], same[-1]
             if size(doc[d0 : d1 + 1]) < least and size(passage[p0 : p1 + 1]) < least:
                 continue
+            hit = {y for _, y in same}
             agree = len(same) / max(d1 - d0 + 1, p1 - p0 + 1)
             own = [k for k in range(p0, p1 + 1) if passage[k] in rare]
-            hit = {y for _, y in same}
-            if agree >= 0.65 and 2 * sum(k in hit for k in own) >= len(own):
+            must = 2 * sum(k in hit for k in own) >= len(own) if own else len(hit) == p1 - p0 + 1
+            if agree >= 0.65 and must:
                 on = [(h, x, y) for x, y in same for h in here.get(x, ()) if h in there.get(y, ())]
                 if on:
                     yield any(here[x][h] for h, x, _ in on), on
